@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, sharding
+from . import exact_dedup, language_id, packing, secret_scan, sharding, url_filter
 from .common import read
 
 
@@ -33,12 +33,51 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(rows, 16).withColumns(law)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secret_scan.findings(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(r.kind).cast("long").alias(f"n_{r.kind}") for r in secret_scan.RULES]
+    spans = secret_scan.listed(secret_scan.RULES)
+    return found.select("doc_id", *counts, F.sha2(F.encode(spans, "utf-8"), 256).alias("base_sha256"), spans.alias("spans"))
+
+
+#: The rules of the URL query, and the patterns that block where no rule fits.
+URL_RULES = [
+    url_filter.Rule("org", "/", "allow"),
+    url_filter.Rule("example.org", "/es/", "block"),
+    url_filter.Rule("example.org", "/en/1", "block"),
+    url_filter.Rule("com", "/fr/", "allow"),
+    url_filter.Rule("com", "/de/", "block"),
+]
+URL_BLOCK = ["spam-*/**", "*.spam-*/**", "*-pills.*/**", "*casino*/**"]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"), URL_RULES, URL_BLOCK)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = language_id.fit(docs)
+    out = language_id.predict(docs.select("doc_id", "text"), net)
+    return out.select("doc_id", F.coalesce(language_id.fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_url_filter": """
+            with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end as rest from pages),
+            p as (select page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from u),
+            r (h, p, verdict) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+            f as (select page_id, arg_max(h || r.p, length(h || r.p)) as rule, arg_max(verdict, length(h || r.p)) as verdict
+                  from p join r on (p.host = h or ends_with(p.host, '.' || h)) and starts_with(p.path, r.p) group by page_id)
+            select page_id, host, path, rule, coalesce(verdict, case when regexp_matches(host || path, '^([^/]*[.])?spam-[^/]*/') or regexp_matches(host || path, '^[^/]*-pills[.][^/]*/')
+                   or regexp_matches(host || path, '^[^/]*casino[^/]*/') then 'block' else 'allow' end) as verdict
+            from p left join f using (page_id)""",
         "op2_exact_dedup": """
             with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body from documents)
             select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(body) as text_sha256
