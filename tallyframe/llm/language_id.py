@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -179,13 +179,13 @@ def predict(docs: DataFrame, net: Net, text_col: str = "text", label_to: str = "
     docs = docs.drop(label_to, score_to)
     schema = ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes), f"`{label_to}` string", f"`{score_to}` double"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables()
         for b in batches:
-            labels, scores = predict_texts(net, tables, b[text_col].tolist())
-            yield b.assign(**{label_to: labels, score_to: scores})
+            labels, scores = predict_texts(net, tables, b.column(text_col).to_pylist())
+            yield b.append_column(label_to, pa.array(labels, pa.string())).append_column(score_to, pa.array(scores, pa.float64()))
 
-    return spread(docs).mapInPandas(run, schema)
+    return spread(docs).mapInArrow(run, schema)  # other columns pass as they are
 
 
 def fold(id_col: str = "doc_id") -> Column:

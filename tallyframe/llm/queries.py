@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, packing, secret_scan, sharding, url_filter
+from . import chat_format, exact_dedup, language_id, minhash, packing, secret_scan, sharding, url_filter
 from .common import read
 
 
@@ -70,6 +70,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(language_id.fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.groups(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("th")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
