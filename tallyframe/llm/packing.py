@@ -25,6 +25,7 @@ from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,9 +35,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, small, spread
+from .tokens import chunks
 
 #: Words whose ids a worker keeps; the table starts anew beyond that.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_200_000
 #: The splitting pattern that the fast path knows, and what it comes to for lower-cased text below U+0100.
 _KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+").findall
@@ -60,26 +62,39 @@ class WordTokenizer:
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.known = [s["pattern"]["Regex"] for s in steps if s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"]] == [_KNOWN]
         self.words = regex.compile(_KNOWN).findall
+        vocabulary, suffix = self.tokenizer.get_vocab(), spec["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self._clear()
 
     def _clear(self) -> None:
         self.table: dict[str, int] = {}
         self.flat, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)  # ids of word i: flat[starts[i]:starts[i + 1]]
 
-    def encode(self, text: str) -> np.ndarray:
-        if not self.known or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = self._split(text)
-        if not words:
-            return np.zeros(0, np.uint32)
-        try:
-            at = np.fromiter(map(self.table.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            self._learn(words)
-            at = np.fromiter(map(self.table.__getitem__, words), np.int64, len(words))
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """ids of each text."""
+        out: list[np.ndarray] = []
+        for at, end in chunks(texts, 1 << 19):
+            own = texts[at:end]
+            whole = [not self.known or any(s in t for s in self.special) for t in own]
+            words = [[] if w else self._split(t) for t, w in zip(own, whole, strict=True)]
+            ids = self._look_up(words)
+            for i in np.flatnonzero(whole).tolist():
+                ids[i] = np.array(self.tokenizer.encode(own[i], add_special_tokens=False).ids, np.uint32)
+            out += ids
+        return out
+
+    def _look_up(self, words: list[list[str]]) -> list[np.ndarray]:
+        new = set().union(*words).difference(self.table)
+        if new:
+            self._learn(sorted(new) if len(self.table) <= CACHE_WORDS else self._clear() or sorted(set().union(*words)))
+        counts = np.cumsum([0, *map(len, words)])
+        at = np.fromiter(map(self.table.__getitem__, chain.from_iterable(words)), np.int64, int(counts[-1]))
         starts, lengths = self.starts[at], self.starts[at + 1] - self.starts[at]
-        ends = np.cumsum(lengths)
-        return self.flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1])]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        flat = self.flat[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])]
+        cuts = ends[counts].tolist()
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _split(self, text: str) -> list[str]:
         try:
@@ -88,21 +103,21 @@ class WordTokenizer:
             return self.words(self.tokenizer.normalizer.normalize_str(text))
         return self.words(self.tokenizer.normalizer.normalize_str(text)) if _ODD_SPACE(text) else _LATIN(text.lower())
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.table) > CACHE_WORDS:
-            self._clear()
-        new = list({w for w in words if w not in self.table})
-        # the tokenizer normalises again, which leaves its own output as it is
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            i, ids = len(self.table), e.ids
-            start = self.starts[i]
-            if i + 2 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            while start + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[start : start + len(ids)] = ids
-            self.starts[i + 1] = start + len(ids)
-            self.table[w] = i
+    def _learn(self, new: list[str]) -> None:
+        # the tokenizer normalises again, which leaves its own output as it is, and splits at the spaces
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, np.uint32)
+        sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(sizes) != len(new) or sizes.sum() != len(ids):  # a word was split further, or the vocabulary doesn't mark ends
+            each = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            ids, sizes = np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each])
+        n, used = len(self.table), int(self.starts[len(self.table)])
+        while n + len(new) >= len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[used : used + len(ids)] = ids
+        self.starts[n + 1 : n + 1 + len(new)] = used + np.cumsum(sizes)
+        self.table.update(zip(new, range(n, n + len(new)), strict=True))
 
 
 @lru_cache(2)
@@ -118,8 +133,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
         tokenizer, part, seen = word_tokenizer(tokenizer_path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out = []
-            for i, text in zip(batch["id"].tolist(), batch["text"].tolist(), strict=True):
-                ids = np.append(tokenizer.encode(text or ""), np.uint32(end_id)).astype("<u4")
+            for i, encoded in zip(batch["id"].tolist(), tokenizer.encode([t or "" for t in batch["text"]]), strict=True):
+                ids = np.append(encoded, np.uint32(end_id)).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     own = ids[start : start + capacity]
                     out.append((i, k, start, len(own), zlib.crc32(own.tobytes()), part, seen[len(own)], *([own.astype(np.int32)] if with_ids else [])))
