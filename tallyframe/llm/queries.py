@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, language_id, minhash, packing, secret_scan, sharding, url_filter
+from . import chat_format, exact_dedup, language_id, line_dedup, minhash, packing, secret_scan, sharding, url_filter
 from .common import read
 
 
@@ -41,6 +41,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(rows, 16).withColumns(law)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), report="removed")
+    return out.select("doc_id", F.greatest(F.coalesce(F.size("removed"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"), "removed", "text")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secret_scan.findings(read(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(r.kind).cast("long").alias(f"n_{r.kind}") for r in secret_scan.RULES]
