@@ -88,8 +88,8 @@ def _chain(tokenizer_path: str | None):
         node, path, k, position = b"", bytearray(), 0, 0
         for batch in batches:
             out = []
-            for conv, role, text in zip(batch["id"].tolist(), batch["role"].tolist(), batch["text"].tolist(), strict=True):
-                conv = None if pd.isna(conv) else int(conv)
+            for conv, none, role, text in zip(*(batch[c].tolist() for c in ("id", "none", "role", "text")), strict=True):
+                conv = None if none else conv
                 if number < 0 or conv != now:
                     if last is not None:
                         out.append((*last[:10], bytes(path), last[11]))
@@ -117,7 +117,7 @@ def _chain(tokenizer_path: str | None):
 
 def _turns(rows: list[tuple]) -> pd.DataFrame:
     columns = ["cid", "id", "k", "node", "parent", "segment", "loss_from", "loss_to", "length", "position", "path", "ids"]
-    return pd.DataFrame(rows, columns=columns).astype({"id": "Int64"})
+    return pd.DataFrame(rows, columns=columns).assign(id=pd.array([r[1] for r in rows], "Int64"))
 
 
 def _ancestors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,8 +144,9 @@ def build(rows: DataFrame, tokenizer_path: str | None = None, id_col: str = "con
     start (place in the stream), position (id of the first token), ancestors (intervals of the stream), conversations.
     Paths: a row for each turn: cid (a number for the conversation), id_col, k (from 0), node.
     """
-    picked = rows.select(F.col(id_col).cast("long").alias("id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    sorted_rows = picked.repartition(F.xxhash64("id")).sortWithinPartitions("id", "turn", "role", "text")
+    own = F.col(id_col).cast("long")  # pandas has no null integers
+    picked = rows.select(F.coalesce(own, F.lit(0)).alias("id"), own.isNull().alias("none"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
+    sorted_rows = picked.repartition(F.xxhash64("id", "none")).sortWithinPartitions("none", "id", "turn", "role", "text")
     turns = cut(sorted_rows.mapInPandas(_chain(tokenizer_path), TURNS), "chat-turns")
     ends = turns.where(F.col("path").isNotNull()).select("cid", "path").orderBy("path", "cid")
     ranks = cut(ends.select("cid", F.monotonically_increasing_id().alias("rank")), "chat-ranks")  # grows along the sort
@@ -185,11 +186,11 @@ def digests(segments: DataFrame, id_col: str = "conv_id") -> DataFrame:
 
         for batch in batches:
             out = []
-            for cid, conv, body, a, b in zip(batch["cid"].tolist(), batch["id"].tolist(), batch["segment"], batch["loss_from"].tolist(), batch["loss_to"].tolist(), strict=True):
+            for cid, conv, none, body, a, b in zip(*(batch[c].tolist() for c in ("cid", "id", "none", "segment", "loss_from", "loss_to")), strict=True):
                 if cid != now:
                     if state:
                         out.append(done())
-                    now, state = cid, [None if pd.isna(conv) else int(conv), 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    now, state = cid, [None if none else conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
                 for role, text in read_back(body):
                     state[1] += 1
                     state[2].update(f"{role}\n{text}\n".encode())
@@ -202,7 +203,8 @@ def digests(segments: DataFrame, id_col: str = "conv_id") -> DataFrame:
             yield _digests([done()])
 
     def _digests(out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"id": "Int64"})
+        frame = pd.DataFrame(out, columns=["id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+        return frame.assign(id=pd.array([r[0] for r in out], "Int64"))
 
-    rows = segments.withColumnRenamed(id_col, "id").repartition("cid").sortWithinPartitions("cid", "k")
+    rows = segments.withColumn("none", F.col(id_col).isNull()).withColumn("id", F.coalesce(F.col(id_col), F.lit(0))).repartition("cid").sortWithinPartitions("cid", "k")
     return rows.mapInPandas(run, "id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumnRenamed("id", id_col)

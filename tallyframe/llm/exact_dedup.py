@@ -158,17 +158,18 @@ def _local(largest: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base, row = TaskContext.get().partitionId() << 33, 0
         trie, rows, number = Trie(), [], 0
-        columns = ["rid", "id", "cid", "sha", "key", "best_id", "best_rid", "n"]
+        columns = ["rid", "id", "cid", "sha", "key", "best_id", "best_none", "best_rid", "n"]
 
         def flush() -> pd.DataFrame:
-            out = pd.DataFrame([(*r, None, None, None, None) for r in rows], columns=columns)
-            tops = [(None, None, v[2][0], None, k, v[0][1] if v[0][0] == 0 else None, v[0][2], v[1]) for k, v in ((k, node[2]) for k, node in trie.terminals())]
-            tops = [(*t[:5], None if t[5] is None else (-t[5] if largest else t[5]), *t[6:]) for t in tops]
-            return pd.concat([out, pd.DataFrame(tops, columns=columns)]).astype({c: "Int64" for c in ("rid", "id", "cid", "best_id", "best_rid", "n")})
+            out = pd.DataFrame(rows, columns=["rid", "id", "cid", "sha"], dtype=object)
+            tops = [(v[2][0], k, v[0][1], v[0][0], v[0][2], v[1]) for k, v in ((k, node[2]) for k, node in trie.terminals())]
+            tops = pd.DataFrame(tops, columns=["cid", "key", "best_id", "best_none", "best_rid", "n"], dtype=object)
+            both = pd.concat([out, tops])[columns]
+            return both.assign(**{c: pd.array(both[c].where(both[c].notna(), None), "Int64") for c in columns if c not in ("sha", "key")})
 
         for batch in batches:
-            for i, text in zip(batch["id"].tolist(), batch["text"].tolist(), strict=True):
-                i = None if pd.isna(i) else int(i)
+            for i, none, text in zip(batch["id"].tolist(), batch["none"].tolist(), batch["text"].tolist(), strict=True):
+                i = None if none else i
                 body = normalise(text)
                 sha = hashlib.sha256(body)
                 key = sha.digest()[:8] + struct.pack(">Q", len(body)) + body
@@ -196,9 +197,8 @@ def _final(largest: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def entries():
             for b in batches:
-                for key, best, rid, n, cid in zip(b["key"], b["best_id"].tolist(), b["best_rid"].tolist(), b["n"].tolist(), b["cid"].tolist(), strict=True):
-                    none = pd.isna(best)
-                    yield bytes(key), (1, 0, int(rid)) if none else (0, -int(best) if largest else int(best), int(rid)), int(n), int(cid)
+                for key, none, best, rid, n, cid in zip(b["key"], *(b[c].tolist() for c in ("best_none", "best_id", "best_rid", "n", "cid")), strict=True):
+                    yield bytes(key), (none, best, rid), n, cid
 
         out: list[tuple] = []
         for (none, best, rid), n, members in owners(entries()):
@@ -211,7 +211,7 @@ def _final(largest: bool):
             yield _frame(out)
 
     def _frame(out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=["cid", "keep_id", "keep_rid", "group_size"]).astype("Int64")
+        return pd.DataFrame({c: pd.array(v, "Int64") for c, v in zip(("cid", "keep_id", "keep_rid", "group_size"), zip(*out, strict=True), strict=True)})
 
     return run
 
@@ -220,10 +220,11 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     """A row for each row of docs: id_col, keep_id, group_size, kept, text_sha256. keep: the 'smallest' or 'largest' id of equal texts stays."""
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep is smallest or largest, not {keep}")
-    rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    own = F.col(id_col).cast("long")  # pandas has no null integers
+    rows = spread(docs.select(F.coalesce(own, F.lit(0)).alias("id"), own.isNull().alias("none"), F.col(text_col).alias("text")))
     largest = keep == "largest"
-    local = cut(rows.mapInPandas(_local(largest), "rid long, id long, cid long, sha string, key binary, best_id long, best_rid long, n long"), "trie-classes")
-    classes = local.where("key is not null").select("cid", "key", "best_id", "best_rid", "n")
+    local = cut(rows.mapInPandas(_local(largest), "rid long, id long, cid long, sha string, key binary, best_id long, best_none long, best_rid long, n long"), "trie-classes")
+    classes = local.where("key is not null").select("cid", "key", "best_id", "best_none", "best_rid", "n")
     shuffled = classes.repartition(F.substring("key", 1, 16))  # the content hash and the length
     whole = shuffled.mapInPandas(_final(largest), "cid long, keep_id long, keep_rid long, group_size long")
     members = local.where("key is null").select("rid", "id", "cid", "sha")

@@ -133,15 +133,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
         tokenizer, part, seen = word_tokenizer(tokenizer_path), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out = []
-            for i, encoded in zip(batch["id"].tolist(), tokenizer.encode([t or "" for t in batch["text"]]), strict=True):
-                ids = np.append(encoded, np.uint32(end_id)).astype("<u4")
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    own = ids[start : start + capacity]
+            ids = [None if none else i for i, none in zip(batch["id"].tolist(), batch["none"].tolist(), strict=True)]
+            for i, encoded in zip(ids, tokenizer.encode([t or "" for t in batch["text"]]), strict=True):
+                tokens = np.append(encoded, np.uint32(end_id)).astype("<u4")
+                for k, start in enumerate(range(0, len(tokens), capacity)):
+                    own = tokens[start : start + capacity]
                     out.append((i, k, start, len(own), zlib.crc32(own.tobytes()), part, seen[len(own)], *([own.astype(np.int32)] if with_ids else [])))
                     seen[len(own)] += 1
-            yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32", "part", "nth", *(["ids"] if with_ids else [])]).astype({"id": "Int64"})
+            frame = pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32", "part", "nth", *(["ids"] if with_ids else [])])
+            yield frame.assign(id=pd.array([x[0] for x in out], "Int64"))
 
-    rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    own_id = F.col(id_col).cast("long")  # pandas has no null integers
+    rows = spread(docs.select(F.coalesce(own_id, F.lit(0)).alias("id"), own_id.isNull().alias("none"), F.col(text_col).alias("text")))
     schema = "id long, piece int, start long, length int, ids_crc32 long, part int, nth long" + ", ids array<int>" * with_ids
     return rows.mapInPandas(run, schema).withColumnRenamed("id", id_col)
 
