@@ -33,6 +33,8 @@ WINDOWS = 5
 LENGTH = 256
 WIDTHS = (2, 3, 4)
 EMBED, FILTERS, EPOCHS, BATCH = 8, 16, 6, 64
+#: A small sample is gone through more often, to this number of steps.
+LEAST_STEPS = 1000
 PAD = 256
 _LETTER = regex.compile(r"\p{L}").search
 
@@ -90,9 +92,11 @@ def train(texts: list[str], labels: list[str], seed: int = 5) -> Net:
         p |= {f"w{w}": rng.normal(0, (w * EMBED) ** -0.5, (w * EMBED, FILTERS)), f"b{w}": np.zeros(FILTERS)}
     p = {k: v.astype(np.float32) for k, v in p.items()}
     net, x, target = Net(names, p), np.array(picked), np.array(y)
-    steps = EPOCHS * -(-len(x) // BATCH)
+    per_epoch = -(-len(x) // BATCH)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // max(1, per_epoch))) if len(names) > 1 else 0
+    steps = epochs * per_epoch
     first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    for _ in range(EPOCHS if len(names) > 1 else 0):
+    for _ in range(epochs):
         order = rng.permutation(len(x))
         for at in range(0, len(x), BATCH):
             own = order[at : at + BATCH]
