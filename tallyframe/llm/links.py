@@ -3,27 +3,31 @@
 Any two items that share a bucket are a candidate pair, the similarity is 1 minus a metric, and classes are the connected
 components of the pairs that are close enough. All pairs of a bucket need not be looked at:
 
-1. Each bucket's smallest item leads it; every other member is compared with its leader (a star, as many pairs as rows).
-   Members close enough are linked.
-2. A pair that the stars leave open shares a bucket in which one of the two, the outsider, is not close to the leader.
-   Outsiders are compared with the members of their buckets that are in other classes and that the triangle inequality
-   leaves possible: |d(leader, a) - d(leader, b)| must be within the radius. Where nearly all members are close to the
-   leader this rules out nearly all pairs; where items came together by chance they are far from it.
-
-So no link between two items that share a bucket is lost. Components come from hash-to-min steps with a table written to
-the shared folder after each; the number of steps grows with the logarithm of a component's diameter.
+1. Each bucket has a leader, the member whose buckets are the largest, and each item has a pivot, the weightiest leader of
+   its buckets. In a group of edited copies that is the text which they were made from. Every item is compared with its
+   pivot, and where the members of a bucket have different pivots also with the bucket's leader: about as many pairs as
+   rows. What is close enough is linked.
+2. A pair that is left open has been compared with one and the same leader, at least one of the two, the outsider, is not
+   close to it, and the two are in different classes. For these the operator names the pairs that can still be close,
+   from what has been measured. In general the triangle inequality says so: |d(leader, a) - d(leader, b)| must be within
+   the radius. Sets have a much sharper rule, see by_sets.
+
+So no link between two items that share a bucket is lost. Components come from large-star and small-star steps with a
+table written to the shared folder after each; their number grows with the logarithm of a component's diameter.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, small
 
 Distances = Callable[[DataFrame], DataFrame]
+OpenPairs = Callable[[DataFrame], DataFrame]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -45,37 +49,104 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
 
 
-def classes(members: DataFrame, distances: Distances, radius: float, name: str) -> tuple[DataFrame, DataFrame]:
+def stars(members: DataFrame, name: str) -> DataFrame:
+    """(leader, id, pivot) for all comparisons of step 1; pivot is the item's own."""
+    bucket = Window.partitionBy("bucket")
+    shared = members.select("*", F.count("*").over(bucket).alias("n"), F.min("id").over(bucket).alias("low"), F.max("id").over(bucket).alias("high"))
+    shared = cut(shared.where("low < high").select("bucket", "id", "n").distinct(), f"{name}-shared")  # items without a like end here
+    weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
+    lead = shared.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("w", "id")).alias("lead"))
+    led = shared.select("bucket", "id").join(lead, "bucket")
+    pivot = led.groupBy("id").agg(F.max("lead")["id"].alias("pivot"))
+    led = cut(led.select("bucket", "id", F.col("lead.id").alias("leader")).join(pivot, "id"), f"{name}-led")
+    mixed = led.groupBy("bucket").agg(F.min("pivot").alias("p"), F.max("pivot").alias("q")).where("p < q").select("bucket")
+    own = led.select(F.col("pivot").alias("leader"), "id", "pivot")
+    return own.union(led.join(mixed, "bucket").select("leader", "id", "pivot")).where("leader <> id").distinct()
+
+
+def classes(members: DataFrame, distances: Distances, radius: float, name: str, open_pairs: OpenPairs | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, label) of items that are linked to another, and the links (a, b) that were found.
 
     members: (bucket, id), a row for each bucket of an item. distances: adds `d` to pairs (a, b) of items; where that is
-    over 2 * radius, any lower bound that is over 2 * radius itself may stand for it.
+    over 2 * radius, any lower bound that is over 2 * radius itself may stand for it. open_pairs: for step 2, takes
+    (leader, id, pivot, d, label, outsider) of all leaders that have an outsider and gives the pairs (a, b) to compare.
     """
-    first = Window.partitionBy("bucket").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    led = members.withColumn("leader", F.min("id").over(first)).where("id <> leader")
-    led = cut(led.distinct(), f"{name}-led")  # buckets with one item end here
-    pairs = led.select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    near = cut(distances(pairs).select("a", "b", "d"), f"{name}-stars")
-    links = near.where(F.col("d") <= radius).select("a", "b")
-    far = near.where(F.col("d") > radius).select("a", "b")
-    if far.isEmpty():
-        return components(links), links
+    led = cut(stars(members, name), f"{name}-stars")
+    near = cut(distances(led.select(F.col("leader").alias("a"), F.col("id").alias("b"))).select(F.col("a").alias("leader"), F.col("b").alias("id"), "d"), f"{name}-near")
+    links = near.where(F.col("d") <= radius).select(F.col("leader").alias("a"), F.col("id").alias("b"))
     labels = cut(components(links), f"{name}-labels")
-    # what the stars say of each member of a bucket that has an outsider
-    measured = led.join(near, (F.col("leader") == F.col("a")) & (F.col("id") == F.col("b"))).select("bucket", "id", "leader", "d")
-    label = labels.select(F.col("id"), "label")
-    measured = measured.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    leader_label = labels.select(F.col("id").alias("leader"), F.col("label").alias("leader_label"))
-    measured = measured.join(leader_label, "leader", "left").withColumn("leader_label", F.coalesce("leader_label", "leader"))
-    measured = cut(measured, f"{name}-measured")
-    outsiders = measured.where((F.col("d") > radius) & (F.col("label") != F.col("leader_label")))
-    outsiders = outsiders.select("bucket", F.col("id").alias("o"), F.col("d").alias("od"), F.col("label").alias("ol"))
-    open_pairs = outsiders.join(measured, "bucket").where((F.col("ol") != F.col("label")) & (F.abs(F.col("od") - F.col("d")) <= radius))
-    open_pairs = open_pairs.select(F.least("o", "id").alias("a"), F.greatest("o", "id").alias("b")).distinct()
-    open_pairs = cut(open_pairs.join(near.select("a", "b"), ["a", "b"], "left_anti"), f"{name}-open")
-    more = cut(distances(open_pairs).where(F.col("d") <= radius).select("a", "b"), f"{name}-more")
-    links = links.union(more)
-    return components(links), links
+    known = small(labels)
+    told = near.join(led, ["leader", "id"]).join(known, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    told = told.join(known.select(F.col("id").alias("leader"), F.col("label").alias("leader_label")), "leader", "left")
+    told = told.withColumn("outsider", (F.col("d") > radius) & (F.col("label") != F.coalesce("leader_label", "leader"))).drop("leader_label")
+    told = cut(told.join(told.where("outsider").select("leader").distinct(), "leader"), f"{name}-told")
+    if told.isEmpty():
+        return labels, links
+    left = open_pairs(told) if open_pairs else by_triangle(told, radius)
+    left = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = cut(distances(left).where(F.col("d") <= radius).select("a", "b"), f"{name}-more")
+    return components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(more)), links.union(more)
+
+
+#: Whether x and y of one leader are for this leader to settle: in different classes, and not both of another pivot.
+OPEN = "xlabel <> label and (xpivot <> pivot or pivot = leader)"
+
+
+def by_triangle(told: DataFrame, radius: float) -> DataFrame:
+    """Pairs of an outsider and another whose distances to their leader differ by the radius at most."""
+    x = told.where("outsider").select("leader", F.col("id").alias("a"), F.col("d").alias("xd"), F.col("label").alias("xlabel"), F.col("pivot").alias("xpivot"))
+    y = told.select("leader", F.col("id").alias("b"), "d", "label", "pivot")
+    return x.join(y, "leader").where(F.expr(OPEN) & (F.abs(F.col("xd") - F.col("d")) <= radius)).select("a", "b")
+
+
+def by_sets(told: DataFrame, sets: DataFrame, low: Column, high: Column, need: Column, name: str, bags: dict[str, int] | None = None) -> DataFrame:
+    """Pairs of an outsider x and another member y of the same leader whose sets can share `need` elements.
+
+    sets: (leader, id, n, o, cells, rest, front) of all members told of: the size of its set, how many of these the
+    leader's set has, the same by cells of a partition of the leader's set, those that the leader lacks, and how many
+    elements of any order must be looked at so that a set which shares `need` has a shared one among them.
+
+    The order common to all members of a leader puts first what it lacks, the rarest among its members first, then what
+    it has. The first element that x and y share then is either one that the leader lacks, and at the front of both; this
+    is an equi-join on rare elements. Or all that they share is the leader's: then it is no more than the least of the two
+    overlaps with the leader, also when taken by cells. low and high bound the size of y from xn and xo, the size of x
+    and its overlap, and need is from xn and n; this is an equi-join on the size.
+
+    bags: columns of sets with counts by cell, and how many may be in x but not in y at most, or the other way round.
+    """
+    bag = list(bags or {})
+    xbag = [F.col(c).alias(f"x{c}") for c in bag]
+    beyond = lambda p, q, most: F.aggregate(F.zip_with(p, q, lambda a, b: F.greatest(a - b, F.lit(0))), F.lit(0), lambda s, v: s + v) <= most
+    fit = F.expr(OPEN)
+    for c, most in (bags or {}).items():
+        fit = fit & beyond(f"x{c}", c, most) & beyond(c, f"x{c}", most)
+    known = cut(sets.join(told.select("leader", "id", "pivot", "label", "outsider"), ["leader", "id"]), name)
+    alone = Window.partitionBy("leader", "s")
+    rare = known.select("leader", "id", "front", F.size("rest").alias("r"), F.explode("rest").alias("s")).withColumn("c", F.count("*").over(alone)).where("c > 1")
+    own = Window.partitionBy("leader", "id")
+    rare = rare.withColumn("at", F.row_number().over(own.orderBy("c", "s")) + F.col("r") - F.count("*").over(own))  # those of one member only come before
+    rare = rare.where("at <= front").select("leader", "id", "s").join(known.select("leader", "id", "pivot", "label", "outsider", *bag), ["leader", "id"])
+    rare = cut(rare, f"{name}-rare")
+    x = rare.where("outsider").select("leader", "s", F.col("id").alias("a"), F.col("label").alias("xlabel"), F.col("pivot").alias("xpivot"), *xbag)
+    both = x.join(rare.select("leader", "s", F.col("id").alias("b"), "label", "pivot", *bag), ["leader", "s"]).where(fit)
+    x = known.where("outsider").select("leader", F.col("id").alias("a"), F.col("label").alias("xlabel"), F.col("pivot").alias("xpivot"), F.col("n").alias("xn"), F.col("o").alias("xo"), F.col("cells").alias("xc"), *xbag)
+    sized = x.where(low <= high).withColumn("n", F.explode(F.sequence(low, high)))
+    most = F.least("xo", "o")
+    by_cell = F.aggregate(F.zip_with("xc", "cells", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
+    y = known.select("leader", F.col("id").alias("b"), "label", "pivot", "n", "o", "cells", *bag)
+    within = sized.join(y, ["leader", "n"]).where(fit & (most >= need) & (by_cell >= need))
+    return both.select("a", "b").union(within.select("a", "b"))
+
+
+#: Cells that a leader's set is dealt into for the bound on what two members share of it.
+CELLS = 64
+
+
+def against(own: np.ndarray, lead: np.ndarray, behind: int) -> tuple[int, int, np.ndarray, np.ndarray, int]:
+    """n, o, cells, rest and front of a set (sorted hashes) against its leader's; what is shared may lie in so many elements behind the front."""
+    shared = np.isin(own, lead, assume_unique=True)
+    cells = np.bincount((own[shared] % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+    return len(own), int(shared.sum()), cells, own[~shared].view(np.int64), max(0, len(own) - behind)
 
 
 def restrict(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:

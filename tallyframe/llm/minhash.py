@@ -7,10 +7,18 @@ from hashes of the shingle, so equal shingles of two texts hit alike. Generation
 time by which all registers are expected to be hit, and once they are, no later arrival can matter; texts that still
 have an empty register go on to twice the time.
 
-Signatures are cut into bands; texts alike in a band share a bucket. Candidates are verified with the exact J_P of their
-whole texts, and classes are the components of the pairs of 0.8 or more (see links.py: no pair that shares a bucket is
-lost, and no bucket's pairs are all made). 1 - J_P is a metric, as that needs. With 24 bands of 4 registers, a pair at
-0.8 shares no bucket with a probability of 3 in a million.
+Signatures are cut into bands; texts alike in a band share a bucket. With 24 bands of 4 registers, a pair at 0.8 shares
+no bucket with a probability of 3 in a million. Candidates are verified on their whole texts: a link is a Jaccard
+similarity of the two sets of shingles of 0.8 or more, which J_P is where all counts are one. Classes are the components
+of the links (see links.py: no pair that shares a bucket is lost, and no bucket's pairs are all made).
+
+Step 2 there, for sets. Let x be an outsider of leader L and y another of L's members. If they are alike, then either
+they share a shingle that L lacks: with those first in a common order, the rarest first, the first of all shared ones is
+such a one and is in both prefixes (the front 1 - 0.8 of a set, by prefix filtering), so an equi-join on (leader, shingle)
+finds the pair.
+Or all they share is in L, and there are at most min(|x & L|, |y & L|) of these, and at most the sum of these minima
+taken for cells of a partition of L; this leaves a short range of sizes of y, another equi-join. Edited copies of one
+text, which are many, have edits of their own, so that hardly a pair is left.
 
 Texts with the same words in the same order are one item from the start, so exact copies cost a count.
 
@@ -148,8 +156,14 @@ def _sign(size: int, bands: int, rows: int):
     return run
 
 
-def _verify(size: int):
-    """For rows sorted by (a, salt), the leader's text first: a, b, d."""
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays of distinct values."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common) if common else 0.0
+
+
+def _against_leader(size: int, threshold: float, details: bool):
+    """For rows sorted by (a, salt), the leader's text first: a, b, d; or what step 2 needs of b: its size, shingles shared with a by cell, and the front of the rest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, lead = None, None
@@ -159,13 +173,18 @@ def _verify(size: int):
             for at, end in chunks(texts):
                 hashes, first, _, _ = words(texts[at:end])
                 for i in range(at, end):
-                    own = weighted(hashes[first[i - at] : first[i - at + 1]], size)
+                    own, _ = weighted(hashes[first[i - at] : first[i - at + 1]], size)
                     if is_lead[i]:
                         now, lead = a_ids[i], own
+                        continue
+                    if a_ids[i] != now:
+                        raise ValueError(f"no text for leader {a_ids[i]}")
+                    if details:
+                        behind = int(np.ceil(threshold * len(own) - 1e-9)) - 1
+                        out.append((now, b_ids[i], *links.against(own, lead, behind)))
                     else:
-                        assert a_ids[i] == now
-                        out.append((now, b_ids[i], 1 - probability_jaccard(lead, own)))
-            yield pd.DataFrame(out, columns=["a", "b", "d"])
+                        out.append((now, b_ids[i], 1 - jaccard(lead, own)))
+            yield pd.DataFrame(out, columns=["a", "b", "n", "o", "cells", "rest", "front"] if details else ["a", "b", "d"])
 
     return run
 
@@ -179,7 +198,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     items = cut(items, "items")
     members = items.select(F.explode("buckets").alias("bucket"), F.col("item").alias("id"))
 
-    def distances(pairs: DataFrame) -> DataFrame:
+    def against_leader(pairs: DataFrame, details: bool) -> DataFrame:
         pairs = cut(pairs, "pairs")
         needed = pairs.select(F.col("a").alias("item")).union(pairs.select(F.col("b").alias("item"))).distinct()
         wanted = cut(items.select("item", "th").join(needed, "item"), "wanted")
@@ -189,9 +208,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
         leads = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("item", "a"), "a").select("a", "salt", F.lit(0).cast("long").alias("b"), F.lit(True).alias("lead"), "text")
         others = salted.join(texts.withColumnRenamed("item", "b"), "b").select("a", "salt", "b", F.lit(False).alias("lead"), "text")
         dealt = leads.union(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("lead"))
-        return dealt.mapInPandas(_verify(size), "a long, b long, d double")
+        schema = "a long, b long, n long, o long, cells array<int>, rest array<long>, front int" if details else "a long, b long, d double"
+        return dealt.mapInPandas(_against_leader(size, threshold, details), schema)
+
+    def open_pairs(told: DataFrame) -> DataFrame:
+        sets = against_leader(told.select(F.col("leader").alias("a"), F.col("id").alias("b")), True).withColumnsRenamed({"a": "leader", "b": "id"})
+        xn, n = F.col("xn"), F.col("n")
+        low, high = F.ceil(threshold * xn - 1e-9), F.floor((1 + threshold) / threshold * F.col("xo") - xn + 1e-9)
+        return links.by_sets(told, sets, low, high, threshold / (1 + threshold) * (xn + n) - 1e-9, "against-leaders")
 
-    labels, _ = links.classes(members, distances, 1 - threshold + 1e-12, "minhash")
+    labels, _ = links.classes(members, lambda pairs: against_leader(pairs, False), 1 - threshold + 1e-12, "minhash", open_pairs)
     labelled = items.select("item", "least", "n").join(labels.withColumnRenamed("id", "item"), "item", "left").withColumn("label", F.coalesce("label", "item"))
     whole = labelled.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
     of_item = cut(labelled.select("item", "label").join(whole, "label").select("item", "class_id", "class_size"), "classes")
