@@ -89,6 +89,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        # the template adds 19 characters to a turn, 7 to an assistant's, and one for each backslash or control string
+        "op3_chat_format": r"""
+            with c as (select conv_id, turn, role, coalesce(text, '') as text from conversations
+                union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+            t as (select *, role = 'assistant' as loss, case when role = 'assistant' then text else role || text end as shown from c)
+            select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+                coalesce(sum(length(text)) filter (loss), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn) filter (loss), '')) as loss_sha256,
+                sum(case when loss then 7 else 19 end + length(shown) + len(regexp_extract_all(shown, '\\|\[INST\]|\[TEXT\]|\[/INST\]|<s>|</s>')))::bigint as formatted_chars
+            from t group by conv_id""",
+        "op10_minhash": r"""
+            with recursive w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') as ws from documents),
+            s as (select distinct doc_id, array_to_string(ws[i:i+4], ' ') as sh from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, case when len(ws) > 0 then 2 else 1 end))) as i from w)),
+            n as (select doc_id, count(*) as n from s group by 1),
+            p as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+            l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where o >= 0.8 * (x.n + y.n - o) - 1e-9),
+            e as (select a, b from l union all select b, a from l),
+            r as (select doc_id as a, doc_id as b from documents union select r.a, e.b from r join e on r.b = e.a),
+            c as (select a, min(b) as c from r group by 1)
+            select a as doc_id, c as class_id, count(*) over (partition by c) as class_size, a = c as kept from c""",
         "op8_url_filter": """
             with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end as rest from pages),
             p as (select page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
