@@ -10,7 +10,9 @@ files its own segments, by length and segment number, and probes with those of i
 a line 0 to EDITS characters shorter (only the starts that the other segments' edits allow). Rolling hashes give all of
 them for a batch of lines at once. Lines that share a filed substring are candidates; a banded bit-parallel edit
 distance verifies them, many pairs in step. Copies of a line are one item, and a bucket's pairs are not all made (see
-links.py; edit distance is a metric).
+links.py; edit distance is a metric). In step 2 there a line is the set of its runs of GRAM characters, each with its
+number among equals: an edit changes GRAM of them at most, so lines that are alike share all but EDITS * GRAM. Nor can
+more than EDITS characters, or twice as many pairs of neighbours, be in one and not in the other.
 
 Defined results: a null text has no lines and stays null; a null id comes after all others; rows alike in id and text
 are one document and treated alike; a document all of whose lines go is left with an empty text; an empty table gives an
@@ -28,9 +30,11 @@ from pyspark.sql import functions as F
 
 from . import links
 from .common import cut, doc_key, small, spread
-from .tokens import chunks, mix
+from .tokens import chunks, mix, shingles
 
-MIN_CHARS, NEAR_CHARS, EDITS = 20, 40, 2
+MIN_CHARS, NEAR_CHARS, EDITS, GRAM = 20, 40, 2, 6
+#: What is trimmed from a line's ends.
+SPACE = " \t\r\x0b\x0c"
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -157,7 +161,7 @@ def _band(pairs: list[tuple[str, str]], limit: int) -> np.ndarray:
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """A row for each line that is judged: id, dk (the document's key), pos (from 0), line, h and h2 (hashes of the line)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), doc_key(id_col, text_col).alias("dk"), F.posexplode(F.split(text_col, "\n")).alias("pos", "raw"))
-    line = F.regexp_replace("raw", r"^\s+|\s+$", "")
+    line = F.btrim("raw", F.lit(SPACE))
     rows = rows.where(F.length("raw") >= min_chars).withColumn("line", line).where(F.length("line") >= min_chars)
     return rows.select("id", "dk", "pos", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"))
 
@@ -182,19 +186,51 @@ def _verify(limit: int):
     return run
 
 
+def grams(text: str) -> np.ndarray:
+    """Runs of GRAM characters of a line as sorted distinct hashes, equal ones told apart by number."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    runs = np.sort(shingles(mix(chars + np.uint64(1)), GRAM))
+    first = np.ones(len(runs), bool)
+    first[1:] = runs[1:] != runs[:-1]
+    number = np.arange(len(runs)) - np.maximum.accumulate(np.where(first, np.arange(len(runs)), 0))
+    return np.sort(mix(runs + number.astype(np.uint64) * np.uint64(_BASE)))
+
+
+def _sets(edits: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for leader, own, ta, tb in zip(b["a"].tolist(), b["b"].tolist(), b["ta"], b["tb"], strict=True):
+                g = grams(tb)
+                chars = np.frombuffer(tb.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                bag = [np.bincount((x % np.uint64(links.CELLS)).astype(np.int64), minlength=links.CELLS) for x in (chars, shingles(chars, 2))]
+                out.append((leader, own, *links.against(g, grams(ta), len(g) - edits * GRAM - 1), *bag))
+            yield pd.DataFrame(out, columns=["leader", "id", "n", "o", "cells", "rest", "front", "chars", "twos"])
+
+    return run
+
+
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, edits: int = EDITS) -> DataFrame:
     """A row for each document that loses lines: dk (see doc_key), removed: the lines' places and, for each, where its class's first line is."""
-    lines = lines_of(spread(docs.select(id_col, text_col)), id_col, text_col, min_chars)
+    lines = cut(lines_of(spread(docs.select(id_col, text_col)), id_col, text_col, min_chars), "lines")  # texts are split once
     members = lines.where(F.length("line") >= near_chars).select("h", "line").mapInPandas(_file(edits, near_chars), "bucket long, id long")
 
-    def distances(pairs: DataFrame) -> DataFrame:
+    def with_texts(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs, "line-pairs")
         needed = cut(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct(), "line-needed")
         texts = cut(links.restrict(lines.select("h", "line"), needed, "h").groupBy("h").agg(F.first("line").alias("line")), "line-texts")
-        both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("ta")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("tb")), "b")
-        return both.mapInPandas(_verify(2 * edits), "a long, b long, d double")
+        return pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("ta")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("tb")), "b")
+
+    def distances(pairs: DataFrame) -> DataFrame:
+        return with_texts(pairs).mapInPandas(_verify(2 * edits), "a long, b long, d double")
+
+    def open_pairs(told: DataFrame) -> DataFrame:
+        sets = with_texts(told.select(F.col("leader").alias("a"), F.col("id").alias("b")))
+        sets = sets.mapInPandas(_sets(edits), "leader long, id long, n long, o long, cells array<int>, rest array<long>, front int, chars array<int>, twos array<int>")
+        xn, n = F.col("xn"), F.col("n")
+        return links.by_sets(told, sets, xn - edits, xn + edits, F.greatest(xn, n) - edits * GRAM, "line-sets", {"chars": edits, "twos": 2 * edits})
 
-    labels, _ = links.classes(members, distances, edits, "lines")
+    labels, _ = links.classes(members, distances, edits, "lines", open_pairs)
     labels = small(cut(labels, "line-labels"))
     found = lines.drop("line").join(labels.withColumnRenamed("id", "h"), "h", "left")
     found = found.select("id", "dk", "pos", F.coalesce("label", "h").alias("c"), F.when(F.col("label").isNull(), F.col("h2")).otherwise(0).alias("c2"))
