@@ -65,7 +65,7 @@ URL_RULES = [
     url_filter.Rule("com", "/fr/", "allow"),
     url_filter.Rule("com", "/de/", "block"),
 ]
-URL_BLOCK = ["spam-*/**", "*.spam-*/**", "*-pills.*/**", "*casino*/**"]
+URL_BLOCK = ["spam-**", "*.spam-**", "*-pills.**", "*casino**"]
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +115,8 @@ def oracle_sql() -> dict[str, str]:
             r (h, p, verdict) as (values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
             f as (select page_id, arg_max(h || r.p, length(h || r.p)) as rule, arg_max(verdict, length(h || r.p)) as verdict
                   from p join r on (p.host = h or ends_with(p.host, '.' || h)) and starts_with(p.path, r.p) group by page_id)
-            select page_id, host, path, rule, coalesce(verdict, case when regexp_matches(host || path, '^([^/]*[.])?spam-[^/]*/') or regexp_matches(host || path, '^[^/]*-pills[.][^/]*/')
-                   or regexp_matches(host || path, '^[^/]*casino[^/]*/') then 'block' else 'allow' end) as verdict
+            select page_id, host, path, rule, coalesce(verdict, case when regexp_matches(host || path, '^([^/]*[.])?spam-') or regexp_matches(host || path, '^[^/]*-pills[.]')
+                   or regexp_matches(host || path, '^[^/]*casino') then 'block' else 'allow' end) as verdict
             from p left join f using (page_id)""",
         "op2_exact_dedup": """
             with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as body from documents)
