@@ -17,7 +17,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals rows out anew only where the scan has fewer partitions than the cluster has cores (a single small file)."""
+    """Deals rows out anew only where a plain scan has fewer partitions than the cluster has cores (a single small file).
+
+    A plan with a shuffle is left alone: Spark sizes its partitions, and asking for their number would run it.
+    """
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -49,7 +54,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote, once nothing that is still to run reads them."""
+    for t in tables:
+        drop_path(t.sparkSession, t.shared_path)
 
 
 def doc_key(id_col: str, text_col: str):

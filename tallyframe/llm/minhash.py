@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import links
-from .common import cut, small, spread
+from .common import cut, release, small, spread
 from .tokens import chunks, mix, shingles, words
 
 SIZE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
@@ -198,12 +198,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     items = cut(items, "items")
     members = items.select(F.explode("buckets").alias("bucket"), F.col("item").alias("id"))
 
+    scratch: list[DataFrame] = []
+
     def against_leader(pairs: DataFrame, details: bool) -> DataFrame:
         pairs = cut(pairs, "pairs")
         needed = pairs.select(F.col("a").alias("item")).union(pairs.select(F.col("b").alias("item"))).distinct()
         wanted = cut(items.select("item", "th").join(needed, "item"), "wanted")
         texts = source.select("th", "text").join(small(wanted), "th").groupBy("item").agg(F.first("text").alias("text"))
         texts = cut(texts, "texts")
+        scratch.append(texts)
         salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
         leads = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("item", "a"), "a").select("a", "salt", F.lit(0).cast("long").alias("b"), F.lit(True).alias("lead"), "text")
         others = salted.join(texts.withColumnRenamed("item", "b"), "b").select("a", "salt", "b", F.lit(False).alias("lead"), "text")
@@ -218,6 +221,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
         return links.by_sets(told, sets, low, high, threshold / (1 + threshold) * (xn + n) - 1e-9, "against-leaders")
 
     labels, _ = links.classes(members, lambda pairs: against_leader(pairs, False), 1 - threshold + 1e-12, "minhash", open_pairs)
+    release(*scratch)
     labelled = items.select("item", "least", "n").join(labels.withColumnRenamed("id", "item"), "item", "left").withColumn("label", F.coalesce("label", "item"))
     whole = labelled.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
     of_item = cut(labelled.select("item", "label").join(whole, "label").select("item", "class_id", "class_size"), "classes")

@@ -191,7 +191,7 @@ def pack(rows: DataFrame, capacity: int = 4096) -> DataFrame:
     counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a number for each length up to the capacity
     runs = rows.sparkSession.createDataFrame(match(counts, capacity), "length int, first long, beyond long, sequence long, offset long")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = small(cut(per_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "piece-starts"))
+    starts = small(cut(per_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "piece-starts"), 50_000)
     ranked = rows.join(starts, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
     fits = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("beyond"))
     placed = ranked.join(small(runs), "length").where(fits)
