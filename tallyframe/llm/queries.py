@@ -46,8 +46,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), report="removed")
-    return out.select("doc_id", F.greatest(F.coalesce(F.size("removed"), F.lit(0)), F.lit(0)).cast("long").alias("n_removed"), "removed", "text")
+    out = line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"), report="gone")
+    gone = F.coalesce("gone", F.array().cast("array<struct<pos: int, first_id: bigint, first_pos: int>>"))
+    told = F.array_join(F.transform(gone, lambda x: F.concat_ws(":", x["pos"], x["first_id"], x["first_pos"])), ",")  # line:document:line of the first
+    return out.select("doc_id", F.size(gone).cast("long").alias("n_removed"), told.alias("removed"), "text")
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,6 +100,21 @@ def oracle_sql() -> dict[str, str]:
                 coalesce(sum(length(text)) filter (loss), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn) filter (loss), '')) as loss_sha256,
                 sum(case when loss then 7 else 19 end + length(shown) + len(regexp_extract_all(shown, '\\|\[INST\]|\[TEXT\]|\[/INST\]|<s>|</s>')))::bigint as formatted_chars
             from t group by conv_id""",
+        # of lines within two edits, one at least of the first 13, the last 13 and all between is unchanged
+        "op6_line_dedup": r"""
+            with recursive r as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents),
+            l as (select * from (select doc_id, pos, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as line from r) where length(line) >= 20),
+            d as (select line, length(line) as n, row_number() over (order by line) as id from (select distinct line from l)),
+            p as (select a.id as a, b.id as b from d a, unnest([0, 1, 2]) k(k), d b where b.n = a.n + k and a.n >= 40 and a.id <> b.id
+                and (left(a.line, 13) = left(b.line, 13) or right(a.line, 13) = right(b.line, 13) or contains(b.line, substr(a.line, 14, a.n - 26))) and levenshtein(a.line, b.line) <= 2),
+            e as (select a, b from p union select b, a from p),
+            c as (select id as a, id as b from d union select c.a, e.b from c join e on c.b = e.a),
+            k as (select a as id, min(b) as k from c group by 1),
+            f as (select doc_id, pos, k, first_value(doc_id) over w as fd, first_value(pos) over w as fp from l join d using (line) join k using (id) window w as (partition by k order by doc_id, pos)),
+            g as (select doc_id, count(*) as n, string_agg(pos || ':' || fd || ':' || fp, ',' order by pos) as removed from f where (doc_id, pos) <> (fd, fp) group by 1)
+            select t.doc_id, coalesce(g.n, 0) as n_removed, coalesce(g.removed, '') as removed,
+                coalesce((select string_agg(raw, chr(10) order by pos) from r where r.doc_id = t.doc_id and not exists (select 1 from f where f.doc_id = r.doc_id and f.pos = r.pos and (f.doc_id, f.pos) <> (f.fd, f.fp))), '') as text
+            from documents t left join g using (doc_id)""",
         "op10_minhash": r"""
             with recursive w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') as ws from documents),
             s as (select distinct doc_id, array_to_string(ws[i:i+4], ' ') as sh from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, case when len(ws) > 0 then 2 else 1 end))) as i from w)),
