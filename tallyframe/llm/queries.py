@@ -100,6 +100,31 @@ def oracle_sql() -> dict[str, str]:
                 coalesce(sum(length(text)) filter (loss), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn) filter (loss), '')) as loss_sha256,
                 sum(case when loss then 7 else 19 end + length(shown) + len(regexp_extract_all(shown, '\\|\[INST\]|\[TEXT\]|\[/INST\]|<s>|</s>')))::bigint as formatted_chars
             from t group by conv_id""",
+        "op7_secret_scan": r"""
+            with d as (select doc_id, translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), '___') as text from documents),
+            r (k, kind, least, whole) as (values (0, 'assign', 6, false), (1, 'access', 20, true), (2, 'hex', 24, false)),
+            m as (select doc_id, k, kind, least, whole, string_split(case k when 0 then regexp_replace(text, '((?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?)([A-Za-z0-9+/_.=-]+)', chr(1) || '\1' || chr(2) || '\2' || chr(3), 'g')
+                when 1 then regexp_replace(text, '(AKIA)([A-Z0-9]+)', chr(1) || '\1' || chr(2) || '\2' || chr(3), 'g') else regexp_replace(text, '()([0-9a-f]+)', chr(1) || '\1' || chr(2) || '\2' || chr(3), 'g') end, chr(1)) as ps from d, r),
+            p as (select doc_id, k, kind, least, whole, unnest(ps) as piece, generate_subscripts(ps, 1) as i from m where len(ps) > 1),
+            s as (select *, sum(length(piece) - case when i > 1 then 2 else 0 end) over (partition by doc_id, k order by i rows between unbounded preceding and 1 preceding)::bigint as a, strpos(piece, chr(3)) - 2 as size, strpos(piece, chr(2)) - 1 as head from p),
+            g as (select doc_id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex, string_agg(kind || ':' || a || ':' || (a + size), ',' order by a, k) as spans
+                from s where i > 1 and size - case when whole then 0 else head end >= least group by 1)
+            select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (doc_id)""",
+        # all items of the tables have 13 words and more; two replaced words of 13 leave four in a row
+        "op1_decontaminate": r"""
+            with dw as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as p from (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') as ws from documents)),
+            iw as (select item_id, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as q from (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') as ws from benchmark) where len(ws) >= 13),
+            d4 as (select doc_id, p, w || ' ' || lead(w, 1) over u || ' ' || lead(w, 2) over u || ' ' || lead(w, 3) over u as g from dw window u as (partition by doc_id order by p)),
+            i4 as (select item_id, q, w || ' ' || lead(w, 1) over u || ' ' || lead(w, 2) over u || ' ' || lead(w, 3) over u as g from iw window u as (partition by item_id order by q)),
+            c as (select distinct doc_id, item_id, p - q as shift from d4 join i4 using (g)),
+            a as (select doc_id, item_id, shift, p, q, (dw.w <> iw.w)::int as off from c join iw using (item_id) join dw using (doc_id) where p = q + shift),
+            w as (select *, sum(off) over u as bad, count(*) over u as n from a window u as (partition by doc_id, item_id, shift order by p rows between current row and 12 following)),
+            f as (select *, p - lag(p) over (partition by doc_id, item_id, shift order by p) > 13 as gap from w where n = 13 and bad <= 2),
+            g as (select *, sum(coalesce(gap, false)::int) over (partition by doc_id, item_id, shift order by p) as k from f),
+            s as (select doc_id, item_id, shift, k, min(p) as text_word, min(q) as item_word, max(p) + 13 - min(p) as n_words from g group by all),
+            t as (select s.*, (select sum(off) from a where a.doc_id = s.doc_id and a.item_id = s.item_id and a.shift = s.shift and a.p >= text_word and a.p < text_word + n_words)::bigint as n_replaced from s)
+            select doc_id, item_id, text_word, item_word, n_words, n_replaced from t
+            qualify row_number() over (partition by doc_id, item_id order by n_words desc, text_word, item_word, n_replaced desc) = 1""",
         # of lines within two edits, one at least of the first 13, the last 13 and all between is unchanged
         "op6_line_dedup": r"""
             with recursive r as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents),

@@ -40,7 +40,7 @@ def test_run_packs_what_is_left(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_and_twin_agree(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     df, twin = queries.queries()[name](spark, DATA), con.sql(queries.oracle_sql()[name])
     order = sorted(df.columns)
