@@ -41,8 +41,8 @@ from .common import cut, release, small, spread
 from .tokens import chunks, mix, shingles, words
 
 SIZE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
-#: A leader's pairs are verified by so many tasks.
-SALTS = 16
+#: Pairs of one leader that are verified together; a leader with more is dealt to several tasks.
+PAIRS = 2000
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -207,7 +207,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
         texts = source.select("th", "text").join(small(wanted), "th").groupBy("item").agg(F.first("text").alias("text"))
         texts = cut(texts, "texts")
         scratch.append(texts)
-        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+        many = cut(pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS).alias("salts")).where("salts > 1"), "many")
+        salted = pairs.join(small(many), "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1)))).drop("salts")
         leads = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("item", "a"), "a").select("a", "salt", F.lit(0).cast("long").alias("b"), F.lit(True).alias("lead"), "text")
         others = salted.join(texts.withColumnRenamed("item", "b"), "b").select("a", "salt", "b", F.lit(False).alias("lead"), "text")
         dealt = leads.union(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("lead"))
