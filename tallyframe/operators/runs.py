@@ -50,3 +50,30 @@ def opening_is_empty(runs: DataFrame, keys: list[str], empty: Column, order: str
     """For each key whether its first runs, that many at least, are all empty: the sign of a broken setup."""
     ranked = runs.withColumn("__empty", empty).withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where(F.col("__n") <= first)
     return ranked.groupBy(*keys).agg(F.count("*").alias("n_opening"), ((F.count("*") == first) & F.min("__empty")).alias("abort"))
+
+
+def session(runs: DataFrame, bench_run_id: Column | str, column: str = "bench_run_id") -> DataFrame:
+    """Runs of one session; models are compared inside a session."""
+    return runs.where(F.col(column) == bench_run_id)
+
+
+def scored_only(runs: DataFrame, repeat: str = "repeat") -> DataFrame:
+    """Without warm-up calls, whose repeat isn't positive."""
+    return runs.where(F.col(repeat) > 0)
+
+
+def registered(runs: DataFrame, registry: DataFrame, label: str = "model_label") -> DataFrame:
+    """Runs with what the registry says of their model; runs of unknown models are an error of the log and are left out. The registry is small by nature."""
+    return runs.join(F.broadcast(registry), label)
+
+
+def progress(cases: DataFrame, best: DataFrame, judged: DataFrame, prompt: str = "prompt_id") -> DataFrame:
+    """Counters of a judging run: prompts, those with an answer, those judged, those skipped."""
+    answered, done = best.select(prompt).distinct().withColumn("__a", F.lit(1)), judged.select(prompt).distinct().withColumn("__j", F.lit(1))
+    joined = cases.select(prompt).distinct().join(answered, prompt, "left").join(done, prompt, "left")
+    return joined.agg(F.count("*").alias("prompts"), F.count("__a").alias("answered"), F.count("__j").alias("judged"), (F.count("*") - F.count("__j")).alias("skipped"))
+
+
+def shortened(c: Column, first: int | None = None, last: int | None = None) -> Column:
+    """The first or the last so many characters of a text."""
+    return F.left(c, F.lit(first)) if first is not None else F.right(c, F.lit(last))

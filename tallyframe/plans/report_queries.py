@@ -154,6 +154,52 @@ def model_catalogue(spark, sf_dir):
     return generators.catalogue(spark, {m: {"served_model": s, "quant": q} for m, s, q in f.MODELS}, {"lm_eval": ["ifeval"]})
 
 
+@query(
+    "session_leaderboard",
+    f"""select model_label, count(*) as n_total, count(*) filter (valid) as n_valid, count(score) filter (valid) as n_scored, round_even(avg(score) filter (valid), 6) as mean_score
+    from {a.RUNS} where strftime(arrival, '%Y%m') = (select max(strftime(ts, '%Y%m')) from events) group by 1""",
+)
+def session_leaderboard(spark, sf_dir):
+    log = a.runs(spark, sf_dir).withColumn("bench_run_id", F.date_format("arrival", "yyyyMM"))
+    last = F.broadcast(log.agg(F.max("bench_run_id").alias("last")))  # one row
+    return reports.leaderboard(runs.session(log.crossJoin(last), F.col("last")))
+
+
+@query("warm_up_filter", "select count(*) as n, sum(l_linenumber)::bigint as repeats from lineitem where l_linenumber - 2 > 0")
+def warm_up_filter(spark, sf_dir):
+    log = a.log(spark, sf_dir).withColumn("call", F.col("repeat") - 2)  # the first two calls warm up
+    return runs.scored_only(log, "call").agg(F.count("*").alias("n"), F.sum("repeat").alias("repeats"))
+
+
+@query("registry_lookup", "select s_suppkey as model_label, n_name as served_model, count(*) as n from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey where n_regionkey < 3 group by 1, 2")
+def registry_lookup(spark, sf_dir):
+    nations = a.table(spark, sf_dir, "nation").where("n_regionkey < 3")
+    registry = a.table(spark, sf_dir, "supplier").join(nations, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("model_label"), F.col("n_name").alias("served_model"))
+    return runs.registered(a.log(spark, sf_dir), registry).groupBy("model_label", "served_model").agg(F.count("*").alias("n"))
+
+
+@query(
+    "progress_counts",
+    f"""with p as (select distinct user_id from events), b as (select distinct prompt_id from {a.RUNS} where valid and score > 90), j as (select distinct prompt_id from {a.RUNS} where valid and score > 95)
+    select count(*) as prompts, count(b.prompt_id) as answered, count(j.prompt_id) as judged, count(*) - count(j.prompt_id) as skipped from p left join b on b.prompt_id = user_id left join j on j.prompt_id = user_id""",
+)
+def progress_counts(spark, sf_dir):
+    log = a.runs(spark, sf_dir)
+    return runs.progress(log, log.where("valid and score > 90"), log.where("valid and score > 95"))
+
+
+@query("shortened_output", "select doc_id, right(text, 2000) as tail, left(text, 200) as head from documents")
+def shortened_output(spark, sf_dir):
+    docs = a.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", runs.shortened(F.col("text"), last=2000).alias("tail"), runs.shortened(F.col("text"), first=200).alias("head"))
+
+
+@query("rounded_metrics", "select event_id, round_even(value, 1) as one, round_even(value, 2) as two, round_even(value, 4) as four, '[\"' || event_type || '\",\"' || user_id || '\"]' as encoded from events")
+def rounded_metrics(spark, sf_dir):
+    e = a.table(spark, sf_dir, "events")
+    return e.select("event_id", *(F.bround("value", n).alias(c) for n, c in ((1, "one"), (2, "two"), (4, "four"))), F.to_json(F.array("event_type", F.col("user_id").cast("string"))).alias("encoded"))
+
+
 # --- judging --------------------------------------------------------------------------------------
 
 _LABELS = f"(select list_sort(list(distinct model_label))[1] as l, list_sort(list(distinct model_label))[2] as r from {a.RUNS})"
