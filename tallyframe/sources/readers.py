@@ -40,11 +40,22 @@ def chunks(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     return reader.schema(schemas.struct(schemas.CHUNK)).json(path)
 
 
+def raw_streams(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded responses of a model server, a file for each: run_id (the file's name), turn 1, seq, arrival (null), line.
+
+    A last line that no newline ends was cut off and is left out.
+    """
+    files = spark.read.text(path, wholetext=True)
+    whole = F.slice(F.split("value", "\n"), 1, F.greatest(F.size(F.split("value", "\n")) - 1, F.lit(0)))
+    rows = files.select(F.regexp_extract("_metadata.file_name", r"^([^.]*)", 1).alias("run_id"), F.posexplode(whole).alias("seq", "line"))
+    return rows.select("run_id", F.lit(1).alias("turn"), F.col("seq").cast("long").alias("seq"), F.lit(None).cast("double").alias("arrival"), "line")
+
+
 def result_files(spark: SparkSession, root: str, file_name: str) -> DataFrame:
     """Whole files of that name anywhere under <root>/<model>/<run>/: model, run_ts, inner (path below the run), content."""
     if not exists(spark, root):
         return empty(spark, "model string, run_ts string, inner string, content string")
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", file_name).text(root)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_name).text(root, wholetext=True)
     name = root.rstrip("/").rsplit("/", 1)[-1]
     path = F.col("_metadata.file_path")
     part = lambda i: F.regexp_extract(path, rf"/\Q{name}\E/([^/]+)/([^/]+)/(.+)$", i)

@@ -60,7 +60,7 @@ def test_readers(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text("{broken\n")
     with pytest.raises(Exception, match="(?i)malformed"):
         readers.transcripts(spark, str(tmp_path / "bad.jsonl")).collect()
-    for run, text in (("20260101_000000", '{"results": {"t": {"acc": 0.5}}}'), ("20260201_000000", '{"results": {"t": {"acc": 0.25}}}')):
+    for run, text in (("20260101_000000", '{"results": {"t": {"acc": 0.5}}}'), ("20260201_000000", '{"results":\n {"t": {"acc": 0.25}}}\n')):
         (tmp_path / "lm" / "m1" / run / "deep").mkdir(parents=True)
         (tmp_path / "lm" / "m1" / run / "deep" / "results.json").write_text(text)
     files = readers.result_files(spark, str(tmp_path / "lm"), "results.json")
@@ -125,6 +125,13 @@ def test_chunks_can_be_streamed(spark, tmp_path):
     assert counts.run_to_end(parsed, "chunks_test", "append").first()["content"] == "x"
 
 
+def test_recorded_streams(spark, tmp_path):
+    lines = ['data: {"choices": [{"delta": {"content": "a"}}]}', "", 'data: {"choices": [{"delta": {"content": "b"}, "finish_reason": "stop"}]}', "data: [DONE]"]
+    (tmp_path / "run7.txt").write_text("\n".join(lines) + "\n" + 'data: {"choices": [{"delta": {"content": "cut"}}]}')
+    row = sse.fold(sse.parse(readers.raw_streams(spark, str(tmp_path)))).first()
+    assert (row["run_id"], row["response_text"], row["finish_reason"]) == ("run7", "ab", "stop")
+
+
 def test_merging_keeps_order_of_first_sight(spark):
     rows = [("r", 1, 1, 1, "b", "g", "{"), ("r", 1, 2, 0, None, "f", "1"), ("r", 1, 3, 1, "", None, "}"), ("r", 1, 4, 0, "a", "", "2")]
     got = sse.merge_calls(spark.createDataFrame(rows, "run_id string, turn int, seq long, index int, id string, name string, arguments string")).first()["calls"]
