@@ -31,11 +31,10 @@ def metrics(files: DataFrame, framework: str) -> DataFrame:
     parsed = files.withColumn("v", F.try_parse_json("content")).where("v is not null")
     if framework == "lm_eval":
         parsed = parsed.withColumn("v", F.try_variant_get("v", "$.results", "variant")).where("v is not null")
-    parsed.createOrReplaceTempView("__files")
-    spark = files.sparkSession
-    flat = spark.sql(
-        """select model, t.key as task, m.key as metric, m.value as value from __files, lateral variant_explode(v) t, lateral variant_explode(t.value) m
-        where schema_of_variant(v) like 'OBJECT%' and schema_of_variant(t.value) like 'OBJECT%'"""
+    flat = files.sparkSession.sql(
+        """select model, t.key as task, m.key as metric, m.value as value from {parsed}, lateral variant_explode(v) t, lateral variant_explode(t.value) m
+        where schema_of_variant(v) like 'OBJECT%' and schema_of_variant(t.value) like 'OBJECT%'""",
+        parsed=parsed,
     )
     kind = F.schema_of_variant("value")
     numeric = kind.isin("BIGINT", "DOUBLE", "BOOLEAN", "FLOAT") | kind.startswith("DECIMAL")
