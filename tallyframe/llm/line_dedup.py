@@ -22,6 +22,7 @@ empty one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,55 +30,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import links
-from .common import cut, doc_key, small, spread
+from .common import cut, doc_key, release, small, spread
 from .tokens import chunks, mix, shingles
 
 MIN_CHARS, NEAR_CHARS, EDITS, GRAM = 20, 40, 2, 6
+#: Rows of labels that are broadcast at most; the lines they are joined with are small numbers too.
+FEW = 50_000
 #: What is trimmed from a line's ends.
 SPACE = " \t\r\x0b\x0c"
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 
 
+@lru_cache(4)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
-    np.multiply.accumulate(out, out=out)
-    return out
-
-
-def probes(length: int, edits: int) -> list[tuple[int, int, int, int]]:
-    """What a line of so many characters files and probes: (length of the filed line, segment, start, size)."""
-    out = []
-    for shorter in range(edits + 1):
-        other = length - shorter
-        for i in range(edits + 1):
-            start, end = i * other // (edits + 1), (i + 1) * other // (edits + 1)
-            low = max(start - i, start + shorter - (edits - i), 0)
-            high = min(start + i, start + shorter + (edits - i), length - (end - start))
-            out += [(other, i, s, end - start) for s in range(low, high + 1)]
-    return out
+    return np.multiply.accumulate(out)
 
 
 def buckets(lines: list[str], edits: int = EDITS, near: int = NEAR_CHARS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a batch of lines, and which line each is of. Lines with under `near` characters have none."""
+    """Buckets of a batch of lines, and which line each is of. Lines with under `near` characters have none.
+
+    For each number of characters that a filed line may be shorter, each of its segments and each shift that the edits
+    before and behind the segment allow, all lines are probed at once. With nothing shorter and no shift, a line files.
+    """
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     begins = np.cumsum(sizes) - sizes
+    room = 1 << max(10, int(len(chars)).bit_length())  # few sizes, so that the tables of powers are kept
     before = np.zeros(len(chars) + 1, np.uint64)
-    np.cumsum((chars + np.uint64(1)) * _powers(_BASE, len(chars)), out=before[1:])
-    back = _powers(_INVERSE, len(chars) + 1)
-    keys, owners = [], []
-    for n in np.unique(sizes[sizes >= near]).tolist():
-        own = np.flatnonzero(sizes == n)
-        ask = np.array([p for p in probes(n, edits) if p[0] >= near], np.int64)
-        start = begins[own][:, None] + ask[None, :, 2]
-        value = (before[start + ask[None, :, 3]] - before[start]) * back[start]
-        tag = mix((ask[:, 0] * (edits + 1) + ask[:, 1]).astype(np.uint64))
-        keys.append(mix(value ^ tag[None, :]).ravel())
-        owners.append(np.repeat(own, len(ask)))
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    np.cumsum((chars + np.uint64(1)) * _powers(_BASE, room)[: len(chars)], out=before[1:])
+    back = _powers(_INVERSE, room)
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for shorter in range(edits + 1):
+        own = np.flatnonzero(sizes - shorter >= near)
+        other, n, at = sizes[own] - shorter, sizes[own], begins[own]
+        for i in range(edits + 1):
+            start, end = i * other // (edits + 1), (i + 1) * other // (edits + 1)
+            tag = mix((other * (edits + 1) + i).astype(np.uint64))
+            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
+                s, e = start + shift, end + shift
+                good = (s >= 0) & (e <= n)
+                s, e = (at + s)[good], (at + e)[good]
+                keys.append(mix(((before[e] - before[s]) * back[s]) ^ tag[good]))
+                owners.append(own[good])
     return np.concatenate(keys), np.concatenate(owners)
 
 
@@ -213,12 +210,14 @@ def _sets(edits: int):
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, edits: int = EDITS) -> DataFrame:
     """A row for each document that loses lines: dk (see doc_key), removed: the lines' places and, for each, where its class's first line is."""
     lines = cut(lines_of(spread(docs.select(id_col, text_col)), id_col, text_col, min_chars), "lines")  # texts are split once
+    scratch = [lines]
     members = lines.where(F.length("line") >= near_chars).select("h", "line").mapInPandas(_file(edits, near_chars), "bucket long, id long")
 
     def with_texts(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs, "line-pairs")
         needed = cut(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct(), "line-needed")
         texts = cut(links.restrict(lines.select("h", "line"), needed, "h").groupBy("h").agg(F.first("line").alias("line")), "line-texts")
+        scratch.append(texts)
         return pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("ta")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("tb")), "b")
 
     def distances(pairs: DataFrame) -> DataFrame:
@@ -231,13 +230,14 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         return links.by_sets(told, sets, xn - edits, xn + edits, F.greatest(xn, n) - edits * GRAM, "line-sets", {"chars": edits, "twos": 2 * edits})
 
     labels, _ = links.classes(members, distances, edits, "lines", open_pairs)
-    labels = small(cut(labels, "line-labels"))
+    labels = small(cut(labels, "line-labels"), FEW)
     found = lines.drop("line").join(labels.withColumnRenamed("id", "h"), "h", "left")
     found = found.select("id", "dk", "pos", F.coalesce("label", "h").alias("c"), F.when(F.col("label").isNull(), F.col("h2")).otherwise(0).alias("c2"))
     found = cut(found, "line-places")
+    release(*scratch)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "dk", "pos")
     first = found.groupBy("c", "c2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    repeated = found.join(small(cut(first, "line-firsts")), ["c", "c2"]).where(place != F.col("first"))
+    repeated = found.join(small(cut(first, "line-firsts"), FEW), ["c", "c2"]).where(place != F.col("first"))
     one = F.struct("pos", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos"))
     return repeated.groupBy("dk").agg(F.sort_array(F.collect_set(one)).alias("removed"))
 
