@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import readers
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,7 +32,7 @@ BEST = f"""(select * from (select *, row_number() over (partition by prompt_id,
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as responses: id, model_label, category, response, finish_reason (cut off for every ninth)."""
-    d = table(spark, sf_dir, "documents")
+    d = readers.balanced(table(spark, sf_dir, "documents"))  # whole texts are scored, which is worth a shuffle of one file
     reason = F.when(F.col("doc_id") % 9 == 0, "length").when(F.col("doc_id") % 31 == 0, "error").when(F.col("doc_id") % 2 == 0, "stop")
     category = F.when(F.col("lang") == "fr", "creative").otherwise(F.col("lang"))
     return d.select(F.col("doc_id").alias("id"), F.col("source").alias("model_label"), category.alias("category"), F.col("text").alias("response"), reason.alias("finish_reason"))

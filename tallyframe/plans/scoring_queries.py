@@ -78,8 +78,6 @@ def contain_join(spark, sf_dir):
 def containment(responses: DataFrame, items: DataFrame, block: int = 2000) -> DataFrame:
     """(id, item_id) for every item text that a response holds, whatever the case. Items are broadcast in blocks of a bounded number; each response is lowered once."""
     lowered = responses.select("id", F.lower("response").alias("body"))
-    cores = responses.sparkSession.sparkContext.defaultParallelism
-    lowered = lowered.repartition(cores) if lowered.rdd.getNumPartitions() < cores else lowered
     n = -(-items.count() // block) or 1
     out = None
     for k in range(n):

@@ -19,6 +19,12 @@ def empty(spark: SparkSession, ddl: str) -> DataFrame:
     return spark.createDataFrame([], schemas.struct(ddl))
 
 
+def balanced(scan: DataFrame) -> DataFrame:
+    """A plain scan that has fewer partitions than the cluster has cores, such as one small file, dealt out anew; any other as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def suite(spark: SparkSession, path: str) -> DataFrame:
     """A prompt suite: a JSON array of cases."""
     return spark.read.schema(schemas.struct(schemas.CASE)).option("multiLine", True).json(path)
