@@ -38,7 +38,7 @@ from .common import cut, small, spread
 from .tokens import chunks
 
 #: Words whose ids a worker keeps; the table starts anew beyond that.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 500_000
 #: The splitting pattern that the fast path knows, and what it comes to for lower-cased text below U+0100.
 _KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+").findall
