@@ -1,16 +1,17 @@
 """MinHash near-dedup by ProbMinHash.
 
-A text is a weighted set of shingles, runs of five words, with their counts as weights. Its signature estimates the
-probability Jaccard similarity J_P: each shingle is a Poisson process whose rate is its weight, the n-th arrival of a
-shingle hits one of the signature's registers, and a register keeps the shingle that hit it first. All arrivals come
-from hashes of the shingle, so equal shingles of two texts hit alike. Generation ends early: arrivals are made up to a
-time by which all registers are expected to be hit, and once they are, no later arrival can matter; texts that still
-have an empty register go on to twice the time.
+A text is a set of shingles, runs of five words. Its signature estimates the probability Jaccard similarity J_P of
+weighted sets: each shingle is a Poisson process whose rate is its weight, the n-th arrival of a shingle hits one of the
+signature's registers, and a register keeps the shingle that hit it first. All arrivals come from hashes of the shingle,
+so equal shingles of two texts hit alike. Generation ends early: arrivals are made up to a time by which all registers
+are expected to be hit, and once they are, no later arrival can matter; texts that still have an empty register go on to
+twice the time. All weights are one, however often a shingle is repeated: J_P is then the Jaccard similarity of the sets,
+by which links are told. With counts as weights, copies that repeat a passage in different numbers would not meet.
 
 Signatures are cut into bands; texts alike in a band share a bucket. With 24 bands of 4 registers, a pair at 0.8 shares
 no bucket with a probability of 3 in a million. Candidates are verified on their whole texts: a link is a Jaccard
-similarity of the two sets of shingles of 0.8 or more, which J_P is where all counts are one. Classes are the components
-of the links (see links.py: no pair that shares a bucket is lost, and no bucket's pairs are all made).
+similarity of the two sets of shingles of 0.8 or more. Classes are the components of the links (see links.py: no pair
+that shares a bucket is lost, and no bucket's pairs are all made).
 
 Step 2 there, for sets. Let x be an outsider of leader L and y another of L's members. If they are alike, then either
 they share a shingle that L lacks: with those first in a common order, the rarest first, the first of all shared ones is
@@ -99,8 +100,8 @@ def signatures(keys: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int,
     return held.reshape(n, registers)
 
 
-def _batch(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a run of texts: distinct shingles, counts and owners; each text's words; its number as an item."""
+def _batch(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For a run of texts: distinct shingles and owners; each text's words; its number as an item."""
     hashes, first, _, _ = words(texts)
     n_words = np.diff(first)
     owner = np.repeat(np.arange(len(texts)), n_words)
@@ -122,8 +123,7 @@ def _batch(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray,
     keys, owners = keys[order], owners[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
-    at = np.flatnonzero(new)
-    return keys[at], np.diff(at, append=len(keys)).astype(np.float64), owners[at], n_words, items
+    return keys[new], owners[new], n_words, items
 
 
 def band_keys(held: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -139,10 +139,10 @@ def _sign(size: int, bands: int, rows: int):
         for b in batches:
             texts = b["text"].tolist()
             for at, end in chunks(texts):
-                keys, weights, owner, n_words, items = _batch(texts[at:end], size)
+                keys, owner, n_words, items = _batch(texts[at:end], size)
                 has = n_words > 0
                 rank = np.cumsum(has) - 1
-                buckets = band_keys(signatures(keys, weights, rank[owner], int(has.sum()), bands * rows), bands, rows)
+                buckets = band_keys(signatures(keys, np.ones(len(keys)), rank[owner], int(has.sum()), bands * rows), bands, rows)
                 own = b.iloc[at:end]
                 yield pd.DataFrame(
                     {

@@ -193,6 +193,17 @@ def test_near_duplicates_against_brute_force(spark):
     assert kept.columns == source.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in want.items() if i == r}
 
 
+def test_near_duplicates_that_repeat_a_passage_in_different_numbers(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(8):
+        text, passage = prose(rng, 200), prose(rng, 12)
+        rows += [(10 * i, f"{text} {passage}"), (10 * i + 1, text + f" {passage}" * 50)]
+    want = brute_groups(rows)
+    assert all(want[10 * i + 1] == 10 * i for i in range(8))
+    assert {r["doc_id"]: r["class_id"] for r in minhash.groups(docs(spark, rows)).collect()} == want
+
+
 def test_near_duplicates_of_nulls_repeats_and_nothing(spark):
     text = prose(random.Random(1), 40)
     out = minhash.groups(docs(spark, [(1, text), (1, text), (None, text), (None, "alone in this table it stands"), (2, None)])).collect()
