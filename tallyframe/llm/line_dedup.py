@@ -14,6 +14,12 @@ links.py; edit distance is a metric). In step 2 there a line is the set of its r
 number among equals: an edit changes GRAM of them at most, so lines that are alike share all but EDITS * GRAM. Nor can
 more than EDITS characters, or twice as many pairs of neighbours, be in one and not in the other.
 
+With `every`, lines of NEAR_CHARS characters and FEW_WORDS words are alike too if at most one word in so many, of the
+shorter line's and one at least, is edited. Words are what blanks separate, and each character of a script written without
+blanks. They are joined as above, words in the place of characters, with segments for each number of edits; lines of
+4 * every words and more, whose segments would be too many, file rare runs of words: such a pair has eight words in a row
+unedited, and of any eight the least hashed run of RUN words in each three is filed by both.
+
 Defined results: a null text has no lines and stays null; a null id comes after all others; rows alike in id and text
 are one document and treated alike; a document all of whose lines go is left with an empty text; an empty table gives an
 empty one.
@@ -34,6 +40,8 @@ from .common import cut, doc_key, release, small, spread
 from .tokens import chunks, mix, shingles
 
 MIN_CHARS, NEAR_CHARS, EDITS, GRAM = 20, 40, 2, 6
+#: For comparing words: one in EVERY may be edited, in lines of FEW_WORDS and more; RUN words make a key of a long line.
+EVERY, FEW_WORDS, RUN = 10, 5, 6
 #: Rows of labels that are broadcast at most; the lines they are joined with are small numbers too.
 FEW = 50_000
 #: What is trimmed from a line's ends.
@@ -49,8 +57,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def buckets(lines: list[str], edits: int = EDITS, near: int = NEAR_CHARS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a batch of lines, and which line each is of. Lines with under `near` characters have none.
+def buckets(lines: list[str], edits: int = EDITS, near: int = NEAR_CHARS, top: int = 1 << 62) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a batch of lines, and which line each is of. Lines with under `near` characters have none, and none of `top` or more is filed.
 
     For each number of characters that a filed line may be shorter, each of its segments and each shift that the edits
     before and behind the segment allow, all lines are probed at once. With nothing shorter and no shift, a line files.
@@ -64,7 +72,7 @@ def buckets(lines: list[str], edits: int = EDITS, near: int = NEAR_CHARS) -> tup
     back = _powers(_INVERSE, room)
     keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for shorter in range(edits + 1):
-        own = np.flatnonzero(sizes - shorter >= near)
+        own = np.flatnonzero((sizes - shorter >= near) & (sizes - shorter < top))
         other, n, at = sizes[own] - shorter, sizes[own], begins[own]
         for i in range(edits + 1):
             start, end = i * other // (edits + 1), (i + 1) * other // (edits + 1)
@@ -78,6 +86,55 @@ def buckets(lines: list[str], edits: int = EDITS, near: int = NEAR_CHARS) -> tup
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def word_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all lines, and the offset of each line's first word (one more than lines)."""
+    chars = np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = (chars <= 32) | (chars == 0xA0) | (chars == 0x3000) | ((chars >= 0x2000) & (chars <= 0x200A))
+    alone = np.zeros(len(chars), bool)
+    for low, high in ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)):
+        alone |= (chars >= low) & (chars <= high)
+    start = ~blank
+    start[1:] &= blank[:-1] | alone[1:] | alone[:-1]
+    starts = np.flatnonzero(start)
+    first = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in lines)]))
+    if not len(starts):
+        return np.zeros(0, np.uint64), first
+    place = np.arange(len(chars) - starts[0]) - np.repeat(starts - starts[0], np.diff(starts, append=len(chars)))
+    terms = np.where(blank, 0, chars + np.uint32(1))[starts[0] :].astype(np.uint64) * _powers(_BASE, 1 << max(10, int(place.max()).bit_length()))[place]
+    return mix(np.add.reduceat(terms, starts - starts[0])), first
+
+
+def as_chars(codes: np.ndarray, first: np.ndarray) -> list[str]:
+    """A string for each line with a character for each word; equal codes, equal characters."""
+    codes = codes % 0x10F000
+    whole = (codes + np.where(codes >= 0xD800, 0x800, 0)).astype("<u4").tobytes().decode("utf-32-le")
+    return [whole[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
+
+
+def word_buckets(lines: list[str], every: int = EVERY) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets by words of a batch of lines, and which line each is of."""
+    hashes, first = word_hashes(lines)
+    sizes, words = np.diff(first), as_chars((hashes >> np.uint64(1)).astype(np.int64), first)
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for edits in (1, 2, 3):
+        near, top = FEW_WORDS if edits == 1 else edits * every, (edits + 1) * every
+        own = np.flatnonzero((sizes >= near) & (sizes < top + edits))
+        key, owner = buckets([words[i] for i in own], edits, near, top)
+        keys.append(mix(key + np.uint64(edits)))
+        owners.append(own[owner])
+    runs = shingles(hashes, RUN)
+    if len(runs) > 2:
+        owner = np.repeat(np.arange(len(lines)), sizes)
+        least = np.minimum(np.minimum(runs[:-2], runs[1:-1]), runs[2:])
+        inside = (owner[: len(least)] == owner[RUN + 1 :]) & (sizes[owner[: len(least)]] >= 4 * every)
+        chosen = np.zeros(len(runs), bool)
+        for d in range(3):
+            chosen[d : d + len(least)] |= inside & (runs[d : d + len(least)] == least)
+        keys.append(runs[chosen])
+        owners.append(owner[: len(runs)][chosen])
+    return np.concatenate(keys), np.concatenate(owners)
+
+
 def _common(x: str, y: str, same) -> int:
     """The largest n up to the length of x for which same(n)."""
     low, high = 0, len(x)
@@ -155,6 +212,43 @@ def _band(pairs: list[tuple[str, str]], limit: int) -> np.ndarray:
     return result
 
 
+def word_limit(n, every: int = EVERY):
+    """How many words may be edited if the shorter line has n."""
+    return np.maximum(1, n // every)
+
+
+def _long_distance(x: str, y: str, limit: int) -> int:
+    """Edit distance of two strings, limit + 1 where it is more, row by row over a band; for limits that _band has no bits for."""
+    a, b = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in sorted((x, y), key=len))
+    if len(b) - len(a) > limit:
+        return limit + 1
+    at = np.arange(2 * limit + 1)
+    row = np.where(at >= limit, at - limit, limit + 1)  # column j of row i is at j - i + limit
+    padded = np.full(len(b) + 2 * limit + 1, 0x110000, np.uint32)
+    padded[limit : limit + len(b)] = b
+    for i in range(1, len(a) + 1):
+        other = padded[i - 1 : i + 2 * limit] != a[i - 1]
+        new = np.minimum(row + other, np.append(row[1:], limit) + 1)
+        j = i + at - limit
+        new = np.where(j < 0, limit + 1, np.where(j == 0, i, new))
+        row = np.minimum(np.minimum.accumulate(new - at) + at, limit + 1)
+    return int(row[len(b) - len(a) + limit])
+
+
+def word_distances(a: list[str], b: list[str], every: int = EVERY) -> np.ndarray:
+    """Edited words of each pair of lines as a share of how many may be; over 1 where they are not alike."""
+    hashes, first = word_hashes(a + b)
+    words = as_chars(np.unique(hashes, return_inverse=True)[1], first)
+    x, y, sizes = words[: len(a)], words[len(a) :], np.diff(first)
+    least = np.minimum(sizes[: len(a)], sizes[len(a) :])
+    limits, out = word_limit(least, every), np.full(len(a), 3.0)
+    for limit in np.unique(limits).tolist():
+        at = np.flatnonzero((limits == limit) & (least >= FEW_WORDS))
+        xs, ys = [x[i] for i in at], [y[i] for i in at]
+        out[at] = (edit_distances(xs, ys, limit) if limit <= 31 else np.array([_long_distance(p, q, limit) for p, q in zip(xs, ys, strict=True)])) / limit
+    return out
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """A row for each line that is judged: id, dk (the document's key), pos (from 0), line, h and h2 (hashes of the line)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), doc_key(id_col, text_col).alias("dk"), F.posexplode(F.split(text_col, "\n")).alias("pos", "raw"))
@@ -163,13 +257,13 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Dat
     return rows.select("id", "dk", "pos", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"))
 
 
-def _file(edits: int, near: int):
+def _file(file):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             b = b.drop_duplicates("h")
             lines, h = b["line"].tolist(), b["h"].to_numpy()
             for at, end in chunks(lines):
-                keys, owner = buckets(lines[at:end], edits, near)
+                keys, owner = file(lines[at:end])
                 yield pd.DataFrame({"bucket": keys.view(np.int64), "id": h[at:end][owner]})
 
     return run
@@ -183,10 +277,25 @@ def _verify(limit: int):
     return run
 
 
+def _verify_words(every: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            ta, tb = b["ta"].tolist(), b["tb"].tolist()
+            for at, end in chunks([x + y for x, y in zip(ta, tb, strict=True)]):
+                yield pd.DataFrame({"a": b["a"].iloc[at:end], "b": b["b"].iloc[at:end], "d": word_distances(ta[at:end], tb[at:end], every)})
+
+    return run
+
+
 def grams(text: str) -> np.ndarray:
     """Runs of GRAM characters of a line as sorted distinct hashes, equal ones told apart by number."""
     chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    runs = np.sort(shingles(mix(chars + np.uint64(1)), GRAM))
+    return numbered(shingles(mix(chars + np.uint64(1)), GRAM))
+
+
+def numbered(hashes: np.ndarray) -> np.ndarray:
+    """Hashes as sorted distinct ones, equal ones told apart by number."""
+    runs = np.sort(hashes)
     first = np.ones(len(runs), bool)
     first[1:] = runs[1:] != runs[:-1]
     number = np.arange(len(runs)) - np.maximum.accumulate(np.where(first, np.arange(len(runs)), 0))
@@ -207,11 +316,24 @@ def _sets(edits: int):
     return run
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, edits: int = EDITS) -> DataFrame:
-    """A row for each document that loses lines: dk (see doc_key), removed: the lines' places and, for each, where its class's first line is."""
+def _word_sets(every: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for leader, own, ta, tb in zip(b["a"].tolist(), b["b"].tolist(), b["ta"], b["tb"], strict=True):
+                g, lead = (numbered(word_hashes([t])[0]) for t in (tb, ta))
+                out.append((leader, own, *links.against(g, lead, len(g) - int(word_limit(len(g), every)) - 1)))
+            yield pd.DataFrame(out, columns=["leader", "id", "n", "o", "cells", "rest", "front"])
+
+    return run
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, edits: int = EDITS, every: int | None = None) -> DataFrame:
+    """A row for each document that loses lines: dk (see doc_key), removed: the lines' places and, for each, where its class's first line is. every: one word in so many may be edited; None compares characters alone."""
     lines = cut(lines_of(spread(docs.select(id_col, text_col)), id_col, text_col, min_chars), "lines")  # texts are split once
     scratch = [lines]
-    members = lines.where(F.length("line") >= near_chars).select("h", "line").mapInPandas(_file(edits, near_chars), "bucket long, id long")
+    near = lines.where(F.length("line") >= near_chars).select("h", "line")
+    members = near.mapInPandas(_file(lambda x: buckets(x, edits, near_chars)), "bucket long, id long")
 
     def with_texts(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs, "line-pairs")
@@ -229,7 +351,18 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         xn, n = F.col("xn"), F.col("n")
         return links.by_sets(told, sets, xn - edits, xn + edits, F.greatest(xn, n) - edits * GRAM, "line-sets", {"chars": edits, "twos": 2 * edits})
 
+    def word_open_pairs(told: DataFrame) -> DataFrame:
+        sets = with_texts(told.select(F.col("leader").alias("a"), F.col("id").alias("b")))
+        sets = sets.mapInPandas(_word_sets(every), "leader long, id long, n long, o long, cells array<int>, rest array<long>, front int")
+        xn, n = F.col("xn"), F.col("n")
+        limit = lambda m: F.greatest(F.lit(1).cast("long"), F.floor(m / every))
+        return links.by_sets(told, sets, xn - limit(xn), xn + limit(xn), F.greatest(xn, n) - limit(F.least(xn, n)), "word-sets")
+
     labels, _ = links.classes(members, distances, edits, "lines", open_pairs)
+    if every:
+        members = near.mapInPandas(_file(lambda x: word_buckets(x, every)), "bucket long, id long")
+        by_words, _ = links.classes(members, lambda pairs: with_texts(pairs).mapInPandas(_verify_words(every), "a long, b long, d double"), 1 + 1e-9, "words", word_open_pairs)
+        labels = links.components(labels.union(by_words).select(F.col("id").alias("a"), F.col("label").alias("b")))
     labels = small(cut(labels, "line-labels"), FEW)
     found = lines.drop("line").join(labels.withColumnRenamed("id", "h"), "h", "left")
     found = found.select("id", "dk", "pos", F.coalesce("label", "h").alias("c"), F.when(F.col("label").isNull(), F.col("h2")).otherwise(0).alias("c2"))

@@ -144,6 +144,55 @@ def test_lines_of_repeated_rows_nulls_and_empty_tables(spark):
     assert line_dedup.dedup(docs(spark, [])).count() == 0
 
 
+def reworded(rng, line, n):
+    w = line.split()
+    for _ in range(n):
+        k, what = rng.randrange(len(w)), rng.randrange(3)
+        w[k : k + (what > 0)] = [] if what == 2 else ["".join(rng.choice("klmno") for _ in range(rng.randrange(4, 9)))]
+    return " ".join(w)
+
+
+def words_alike(x, y):
+    a, b = sorted((x.split(), y.split()), key=len)
+    return len(a) >= 5 and edit_distance(a, b) <= max(1, len(a) // 10)
+
+
+def test_lines_with_few_edited_words_share_a_bucket_and_are_verified():
+    rng = random.Random(4)
+    for n in [*range(5, 60), 80, 99, 120, 200, 330, 450]:
+        for _ in range(4):
+            x = prose(rng, n)
+            y = reworded(rng, x, rng.randrange(1, n // 10 + 3))
+            keys, owner = line_dedup.word_buckets([x, y])
+            assert (line_dedup.word_distances([x], [y])[0] <= 1) == words_alike(x, y)
+            if words_alike(x, y):
+                assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
+    a = "这是一个没有空格的句子它很长而且只有两个字不同"
+    assert line_dedup.word_distances([a], [a[:9] + "十" + a[10:]])[0] <= 1
+
+
+def test_lines_with_edited_words_against_brute_force(spark):
+    rng = random.Random(9)
+    base = [prose(rng, n) for n in (10, 16, 25, 60, 100)]
+    rows = [(i, reworded(rng, base[i % 5], rng.choice([0, 1, 1, 2, 3, 6, 10]))) for i in range(150)]
+    top = list(range(150))
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i, (_, x) in enumerate(rows):
+        for j in range(i):
+            y = rows[j][1]
+            if min(len(x), len(y)) >= 20 and (x == y or (min(len(x), len(y)) >= 40 and (words_alike(x, y) or (abs(len(x) - len(y)) <= 2 and edit_distance(x, y) <= 2)))):
+                a, b = root(i), root(j)
+                top[max(a, b)] = min(a, b)
+    want = {i for i in range(150) if root(i) != i}
+    got = line_dedup.dedup(docs(spark, rows), report="gone", every=line_dedup.EVERY).where("gone is not null")
+    assert {r["doc_id"] for r in got.collect()} == want
+
+
 # --- near duplicates ------------------------------------------------------------------------------
 
 
