@@ -31,6 +31,11 @@ def test_stages(spark):
     assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in docs.collect()} - gone
 
 
+def test_language_keeps_documents_where_none_is_labelled(spark):
+    docs = spark.createDataFrame([(1, "clean prose", None), (2, "ελληνικά", None), (3, "12 !?", None), (4, "", None), (5, None, None)], "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, DATA).collect()} == {1, 2}
+
+
 def test_run_packs_what_is_left(spark):
     out = corpus_pipeline.run(spark, DATA).collect()
     docs = {r["doc_id"] for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect()}
