@@ -1,8 +1,9 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A text holds a benchmark item if some WINDOW words of the item stand in the text one after the other with at most
-SUBSTITUTED of them replaced; an item of MIN_ITEM to WINDOW - 1 words if it stands there whole and unchanged. Shorter
-items say too little to be looked for. Case and everything between words is ignored.
+SUBSTITUTED of them replaced; an item of MIN_ITEM to WINDOW - 1 words if it stands there whole and unchanged, or with
+`short` with as large a share replaced, which is one word of 7 to 12: its two halves are masks then, one of which is met.
+Shorter items say too little to be looked for. Case and everything between words is ignored.
 
 Fixed masks read some positions of a run of words and ignore the others, so that a replaced word under an ignored
 position doesn't change the hash. Together the masks meet every way of replacing two words of a window: at least one
@@ -53,16 +54,19 @@ def seeds(hashes: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
 class Block:
     """The items of a block, and for each mask a sorted table of seed, item and place."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]], short: bool = False):
         self.ids = [i for i, _ in items]
         hashes, first, _, _ = words([t for _, t in items])
         self.words = [hashes[a:b] for a, b in zip(first, first[1:], strict=False)]
         whole = sorted({len(w) for w in self.words if MIN_ITEM <= len(w) < WINDOW})
-        self.masks = [*MASKS, *(tuple(range(n)) for n in whole)]
+        self.short = short
+        parts = {n: [(0, n // 2), (n // 2, n)] if self.limit(n) else [(0, n)] for n in whole}
+        self.masks = [*MASKS, *(tuple(range(a, b)) for n in whole for a, b in parts[n])]
+        lengths = [n for n in whole for _ in parts[n]]
         self.tables = []
         for k, mask in enumerate(self.masks):
-            size = WINDOW if k < len(MASKS) else len(mask)
-            own = [(s, i) for i, w in enumerate(self.words) if (len(w) >= size if k < len(MASKS) else len(w) == size) for s in [seeds(w, mask)] if len(s)]
+            size = WINDOW if k < len(MASKS) else lengths[k - len(MASKS)]
+            own = [(s, i) for i, w in enumerate(self.words) if (len(w) >= size if k < len(MASKS) else len(w) == size) for s in [seeds(w, mask) if k < len(MASKS) else seeds(w, mask)[:1]] if len(s)]
             key = np.concatenate([np.zeros(0, np.uint64), *(s for s, _ in own)])
             item = np.concatenate([np.zeros(0, np.int64), *(np.full(len(s), i) for s, i in own)])
             place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(s)) for s, _ in own)])
@@ -71,6 +75,10 @@ class Block:
             maybe[key >> np.uint64(64 - _FILTER_BITS)] = True
             self.tables.append((key[order], item[order], place[order], maybe))
 
+    def limit(self, n: int) -> int:
+        """How many words of an item of n may be replaced in a window."""
+        return SUBSTITUTED if n >= WINDOW else n * SUBSTITUTED // WINDOW if self.short else 0
+
     def hits(self, hashes: np.ndarray) -> np.ndarray:
         """Rows of (item, place in the text less place in the item), each once, for a text's or several texts' words."""
         found = [np.zeros((0, 2), np.int64)]
@@ -90,7 +98,7 @@ class Block:
         for item, shift in self.hits(hashes).tolist():
             own = self.words[item]
             size = min(WINDOW, len(own))
-            limit = SUBSTITUTED if len(own) >= WINDOW else 0
+            limit = self.limit(len(own))
             # the texts that the item laid down here touches: windows may not reach over a text's end
             begin = int(np.searchsorted(first, max(shift, 0), "right")) - 1
             while begin < len(texts) and first[begin] < min(shift + len(own), len(hashes)):
@@ -112,21 +120,21 @@ class Block:
             yield text, item, -at - int(first[text]), -in_item, n, replaced
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Block]:
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, short: bool = False) -> Iterator[Block]:
     """The benchmark in blocks, one after the other; the driver holds one at a time."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
     n = math.ceil((rows.agg(F.sum(F.length("text"))).first()[0] or 0) / BLOCK_CHARS)
     for k in range(n):
         own = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).orderBy("id", "text").collect()
-        yield Block([(r["id"], r["text"]) for r in own])
+        yield Block([(r["id"], r["text"]) for r in own], short)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short: bool = False) -> DataFrame:
     """A row for each row of docs and each item that it holds: id_col, item_col, text_word, item_word (first words of the longest stretch, from 0), n_words, n_replaced."""
     schema = "id long, item long, text_word long, item_word long, n_words long, n_replaced long"
     rows = spread(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
     out = None
-    for block in blocks(benchmark, item_col, item_text_col):
+    for block in blocks(benchmark, item_col, item_text_col, short):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -143,10 +151,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", short: bool = False) -> DataFrame:
     """docs without the rows that hold an item; columns as they are, and no row moves."""
     docs = spread(docs)
-    for block in blocks(benchmark, item_col, item_text_col):
+    for block in blocks(benchmark, item_col, item_text_col, short):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"), short=True)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,19 @@ def test_matches_against_brute_force(spark):
     assert (hit["text_word"], hit["item_word"], hit["n_words"], hit["n_replaced"]) == (0, 0, 13, 2)
 
 
+def test_short_items_with_a_replaced_word():
+    rng = random.Random(6)
+    for n in range(5, 13):
+        item = [f"w{n}x{k}" for k in range(n)]
+        for k in range(n):
+            one = [*item[:k], "other", *item[k + 1 :]]
+            two = [*one[: (k + 2) % n], "more", *one[(k + 2) % n + 1 :]]
+            texts = [" ".join(["so", *x, "ends"][rng.randrange(2) :]) for x in (item, one, two)]
+            for short in (False, True):
+                block = decontaminate.Block([(1, " ".join(item))], short)
+                assert [(t, r) for t, _, _, _, _, r in block.scan(texts)] == [(0, 0), *([(1, 1)] if short and n >= 7 else [])]
+
+
 def test_matches_of_empty_tables_and_blocks(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
     none = spark.createDataFrame([], DOC)
