@@ -32,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import links
@@ -302,6 +302,22 @@ def numbered(hashes: np.ndarray) -> np.ndarray:
     return np.sort(mix(runs + number.astype(np.uint64) * np.uint64(_BASE)))
 
 
+#: What links.by_sets takes of a line.
+SETS = "leader long, id long, n long, o double, cells array<double>, rest array<long>, lacks double"
+
+
+def shares(need: Column, light: bool) -> Column:
+    """Whether x and y of links.by_sets may share so many elements."""
+    outside = F.least("xh", "h") + (F.least("xt", "t") if light else F.lit(0.0))
+    return links.shared_mass("xcells", "cells") + outside >= need
+
+
+def apart(bag: str, most: int) -> Column:
+    """Whether at most so many of the one's counts by cell are in excess of the other's, either way."""
+    beyond = lambda p, q: F.aggregate(F.zip_with(p, q, lambda a, b: F.greatest(a - b, F.lit(0))), F.lit(0), lambda s, v: s + v) <= most
+    return beyond(f"x{bag}", bag) & beyond(bag, f"x{bag}")
+
+
 def _sets(edits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -310,8 +326,8 @@ def _sets(edits: int):
                 g = grams(tb)
                 chars = np.frombuffer(tb.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
                 bag = [np.bincount((x % np.uint64(links.CELLS)).astype(np.int64), minlength=links.CELLS) for x in (chars, shingles(chars, 2))]
-                out.append((leader, own, *links.against(g, grams(ta), len(g) - edits * GRAM - 1), *bag))
-            yield pd.DataFrame(out, columns=["leader", "id", "n", "o", "cells", "rest", "front", "chars", "twos"])
+                out.append((leader, own, *links.against(g, grams(ta)), *bag))
+            yield pd.DataFrame(out, columns=["leader", "id", "n", "o", "cells", "rest", "lacks", "chars", "twos"])
 
     return run
 
@@ -322,8 +338,8 @@ def _word_sets(every: int):
             out = []
             for leader, own, ta, tb in zip(b["a"].tolist(), b["b"].tolist(), b["ta"], b["tb"], strict=True):
                 g, lead = (numbered(word_hashes([t])[0]) for t in (tb, ta))
-                out.append((leader, own, *links.against(g, lead, len(g) - int(word_limit(len(g), every)) - 1)))
-            yield pd.DataFrame(out, columns=["leader", "id", "n", "o", "cells", "rest", "front"])
+                out.append((leader, own, *links.against(g, lead)))
+            yield pd.DataFrame(out, columns=["leader", "id", "n", "o", "cells", "rest", "lacks"])
 
     return run
 
@@ -347,16 +363,17 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
 
     def open_pairs(told: DataFrame) -> DataFrame:
         sets = with_texts(told.select(F.col("leader").alias("a"), F.col("id").alias("b")))
-        sets = sets.mapInPandas(_sets(edits), "leader long, id long, n long, o long, cells array<int>, rest array<long>, front int, chars array<int>, twos array<int>")
-        xn, n = F.col("xn"), F.col("n")
-        return links.by_sets(told, sets, xn - edits, xn + edits, F.greatest(xn, n) - edits * GRAM, "line-sets", {"chars": edits, "twos": 2 * edits})
+        sets = sets.mapInPandas(_sets(edits), f"{SETS}, chars array<int>, twos array<int>").withColumn("slack", F.lit(float(edits * GRAM)))
+        xn = F.col("xn")
+        alike = apart("chars", edits) & apart("twos", 2 * edits)
+        return links.by_sets(told, sets, lambda light: shares(F.greatest("xn", "n") - edits * GRAM, light) & alike, "line-sets", ("n", "chars", "twos"), (xn - edits, xn + edits))
 
     def word_open_pairs(told: DataFrame) -> DataFrame:
         sets = with_texts(told.select(F.col("leader").alias("a"), F.col("id").alias("b")))
-        sets = sets.mapInPandas(_word_sets(every), "leader long, id long, n long, o long, cells array<int>, rest array<long>, front int")
-        xn, n = F.col("xn"), F.col("n")
         limit = lambda m: F.greatest(F.lit(1).cast("long"), F.floor(m / every))
-        return links.by_sets(told, sets, xn - limit(xn), xn + limit(xn), F.greatest(xn, n) - limit(F.least(xn, n)), "word-sets")
+        sets = sets.mapInPandas(_word_sets(every), SETS).withColumn("slack", limit(F.col("n")).cast("double"))
+        xn = F.col("xn")
+        return links.by_sets(told, sets, lambda light: shares(F.greatest("xn", "n") - limit(F.least("xn", "n")), light), "word-sets", ("n",), (xn - limit(xn), xn + limit(xn)))
 
     labels, _ = links.classes(members, distances, edits, "lines", open_pairs)
     if every:

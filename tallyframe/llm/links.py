@@ -10,7 +10,7 @@ components of the pairs that are close enough. All pairs of a bucket need not be
 2. A pair that is left open has been compared with one and the same leader, at least one of the two, the outsider, is not
    close to it, and the two are in different classes. For these the operator names the pairs that can still be close,
    from what has been measured. In general the triangle inequality says so: |d(leader, a) - d(leader, b)| must be within
-   the radius. Sets have a much sharper rule, see by_sets.
+   the radius. Weighted sets have a much sharper rule, see by_sets.
 
 So no link between two items that share a bucket is lost. Components come from large-star and small-star steps with a
 table written to the shared folder after each; their number grows with the logarithm of a component's diameter.
@@ -90,6 +90,8 @@ def classes(members: DataFrame, distances: Distances, radius: float, name: str,
 
 #: Whether x and y of one leader are for this leader to settle: in different classes, and not both of another pivot.
 OPEN = "xlabel <> label and (xpivot <> pivot or pivot = leader)"
+#: An element that more of a leader's members have is common among them, as if the leader had it too.
+HEAVY = 32
 
 
 def by_triangle(told: DataFrame, radius: float) -> DataFrame:
@@ -99,54 +101,63 @@ def by_triangle(told: DataFrame, radius: float) -> DataFrame:
     return x.join(y, "leader").where(F.expr(OPEN) & (F.abs(F.col("xd") - F.col("d")) <= radius)).select("a", "b")
 
 
-def by_sets(told: DataFrame, sets: DataFrame, low: Column, high: Column, need: Column, name: str, bags: dict[str, int] | None = None) -> DataFrame:
-    """Pairs of an outsider x and another member y of the same leader whose sets can share `need` elements.
+def by_sets(told: DataFrame, sets: DataFrame, fit: Callable[[bool], Column], name: str, carry: tuple[str, ...] = (), sizes: tuple[Column, Column] | None = None) -> DataFrame:
+    """Pairs of an outsider x and another member y of the same leader whose weighted sets can still be close.
 
-    sets: (leader, id, n, o, cells, rest, front) of all members told of: the size of its set, how many of these the
-    leader's set has, the same by cells of a partition of the leader's set, those that the leader lacks, and how many
-    elements of any order must be looked at so that a set which shares `need` has a shared one among them.
+    sets: (leader, id, o, cells, rest, lacks, slack) of all members told of, and what `carry` names: the mass of its
+    elements that the leader has, the same by cells of a partition of the leader's set, those that the leader lacks, their
+    mass, and how much mass may come before the first element, in any order, that it shares with one that is close. Each
+    element of rest has the mass 1, or what `mass` has at its place.
 
-    The order common to all members of a leader puts first what it lacks, the rarest among its members first, then what
-    it has. The first element that x and y share then is either one that the leader lacks, and at the front of both; this
-    is an equi-join on rare elements. Or all that they share is the leader's: then it is no more than the least of the two
-    overlaps with the leader, also when taken by cells. low and high bound the size of y from xn and xo, the size of x
-    and its overlap, and need is from xn and n; this is an equi-join on the size.
+    Elements of rest that more than HEAVY members have count as the leader's. That matters in a group of edited copies:
+    where the leader itself was edited, nearly all others have what it lacks. The order common to all members of a
+    leader puts first what it lacks, the rarest among its members first, then all the others. The first element that x
+    and y share then is either in rest and no heavy one, and at the front of both: this is an equi-join on elements that
+    HEAVY members have at most, so the pairs grow in proportion to the rows. Or all that they share is the leader's or
+    heavy: then each has most of its mass there, and sizes, a range of `n` for each x, may say where y is.
 
-    bags: columns of sets with counts by cell, and how many may be in x but not in y at most, or the other way round.
+    fit says for either way (its argument: whether they may share elements of rest that aren't heavy) if x and y can be
+    close, from x's columns (named with an x before) and y's: cells, o, h and t, the mass of heavy elements and of others
+    that some other member has too, label, pivot and what is carried. It is checked inside the joins.
     """
-    bag = list(bags or {})
-    xbag = [F.col(c).alias(f"x{c}") for c in bag]
-    beyond = lambda p, q, most: F.aggregate(F.zip_with(p, q, lambda a, b: F.greatest(a - b, F.lit(0))), F.lit(0), lambda s, v: s + v) <= most
-    fit = F.expr(OPEN)
-    for c, most in (bags or {}).items():
-        fit = fit & beyond(f"x{c}", c, most) & beyond(c, f"x{c}", most)
+    each = F.explode(F.arrays_zip("rest", "mass")) if "mass" in sets.columns else F.explode(F.transform("rest", lambda s: F.struct(s.alias("rest"), F.lit(1.0).alias("mass"))))
     known = cut(sets.join(told.select("leader", "id", "pivot", "label", "outsider"), ["leader", "id"]), name)
-    alone = Window.partitionBy("leader", "s")
-    rare = known.select("leader", "id", "front", F.size("rest").alias("r"), F.explode("rest").alias("s")).withColumn("c", F.count("*").over(alone)).where("c > 1")
+    rest = known.select("leader", "id", "lacks", "slack", each.alias("e")).select("leader", "id", "lacks", "slack", F.col("e.rest").alias("s"), F.col("e.mass").alias("w"))
+    rest = rest.withColumn("c", F.count("*").over(Window.partitionBy("leader", "s"))).where("c > 1")
     own = Window.partitionBy("leader", "id")
-    rare = rare.withColumn("at", F.row_number().over(own.orderBy("c", "s")) + F.col("r") - F.count("*").over(own))  # those of one member only come before
-    rare = rare.where("at <= front").select("leader", "id", "s").join(known.select("leader", "id", "pivot", "label", "outsider", *bag), ["leader", "id"])
-    rare = cut(rare, f"{name}-rare")
-    x = rare.where("outsider").select("leader", "s", F.col("id").alias("a"), F.col("label").alias("xlabel"), F.col("pivot").alias("xpivot"), *xbag)
-    both = x.join(rare.select("leader", "s", F.col("id").alias("b"), "label", "pivot", *bag), ["leader", "s"]).where(fit)
-    x = known.where("outsider").select("leader", F.col("id").alias("a"), F.col("label").alias("xlabel"), F.col("pivot").alias("xpivot"), F.col("n").alias("xn"), F.col("o").alias("xo"), F.col("cells").alias("xc"), *xbag)
-    sized = x.where(low <= high).withColumn("n", F.explode(F.sequence(low, high)))
-    most = F.least("xo", "o")
-    by_cell = F.aggregate(F.zip_with("xc", "cells", lambda p, q: F.least(p, q)), F.lit(0), lambda s, v: s + v)
-    y = known.select("leader", F.col("id").alias("b"), "label", "pivot", "n", "o", "cells", *bag)
-    within = sized.join(y, ["leader", "n"]).where(fit & (most >= need) & (by_cell >= need))
-    return both.select("a", "b").union(within.select("a", "b"))
+    before = F.coalesce(F.sum("w").over(own.orderBy("c", "s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    again, heavy = F.sum("w").over(own), F.coalesce(F.sum(F.when(F.col("c") > HEAVY, F.col("w"))).over(own), F.lit(0.0))
+    rest = rest.select("leader", "id", "s", "c", "slack", again.alias("again"), heavy.alias("h"), (F.col("lacks") - again + before).alias("before"))  # those of one member only come first
+    rest = cut(rest.where((F.col("c") > HEAVY) | (F.col("before") <= F.col("slack"))), f"{name}-rest")
+    sums = rest.groupBy("leader", "id").agg(F.first("h").alias("h"), (F.first("again") - F.first("h")).alias("t"))
+    known = known.drop("rest", "mass", "lacks", "slack").join(sums, ["leader", "id"], "left").fillna(0.0, ["h", "t"])
+    known = cut(known, f"{name}-known")
+    columns = ["label", "pivot", "o", "h", "t", "cells", *carry]
+    outer = lambda t: t.where("outsider").select(*(c for c in t.columns if c in ("leader", "s")), F.col("id").alias("a"), *(F.col(c).alias(f"x{c}") for c in columns))
+    inner = lambda t: t.select(*(c for c in t.columns if c in ("leader", "s")), F.col("id").alias("b"), *columns)
+    front = cut(rest.where(F.col("c") <= HEAVY).select("leader", "id", "s").join(known, ["leader", "id"]), f"{name}-front")
+    light = outer(front).join(inner(front), ["leader", "s"]).where(F.expr(OPEN) & fit(True)).select("a", "b")
+    x, on = outer(known), ["leader"]
+    if sizes:
+        x, on = x.where(sizes[0] <= sizes[1]).withColumn("n", F.explode(F.sequence(*sizes))), ["leader", "n"]
+    within = x.join(inner(known), on).where(F.expr(OPEN) & fit(False)).select("a", "b")
+    return light.union(within)
 
 
 #: Cells that a leader's set is dealt into for the bound on what two members share of it.
 CELLS = 64
 
 
-def against(own: np.ndarray, lead: np.ndarray, behind: int) -> tuple[int, int, np.ndarray, np.ndarray, int]:
-    """n, o, cells, rest and front of a set (sorted hashes) against its leader's; what is shared may lie in so many elements behind the front."""
+def shared_mass(x: str, y: str) -> Column:
+    """The sum of the lesser of two arrays' values at each place."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.least(p, q)), F.lit(0.0), lambda s, v: s + v)
+
+
+def against(own: np.ndarray, lead: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray, int]:
+    """n, o, cells, rest and lacks of a set (sorted hashes) against its leader's."""
     shared = np.isin(own, lead, assume_unique=True)
-    cells = np.bincount((own[shared] % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-    return len(own), int(shared.sum()), cells, own[~shared].view(np.int64), max(0, len(own) - behind)
+    cells = np.bincount((own[shared] % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.float64)
+    return len(own), int(shared.sum()), cells, own[~shared].view(np.int64), int((~shared).sum())
 
 
 def restrict(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -1,25 +1,26 @@
 """MinHash near-dedup by ProbMinHash.
 
-A text is a set of shingles, runs of five words. Its signature estimates the probability Jaccard similarity J_P of
-weighted sets: each shingle is a Poisson process whose rate is its weight, the n-th arrival of a shingle hits one of the
+A text is a weighted set of shingles, runs of five words, each with its number of occurrences as its weight. Texts are
+compared by the probability Jaccard similarity J_P of these sets: the sum over common shingles i of
+1 / (sum over all j of max(x_j / x_i, y_j / y_i)); where no shingle repeats it is the plain Jaccard similarity.
+
+A signature estimates J_P: each shingle is a Poisson process whose rate is its weight, an arrival hits one of the
 signature's registers, and a register keeps the shingle that hit it first. All arrivals come from hashes of the shingle,
 so equal shingles of two texts hit alike. Generation ends early: arrivals are made up to a time by which all registers
 are expected to be hit, and once they are, no later arrival can matter; texts that still have an empty register go on to
-twice the time. All weights are one, however often a shingle is repeated: J_P is then the Jaccard similarity of the sets,
-by which links are told. With counts as weights, copies that repeat a passage in different numbers would not meet.
+twice the time.
 
 Signatures are cut into bands; texts alike in a band share a bucket. With 24 bands of 4 registers, a pair at 0.8 shares
-no bucket with a probability of 3 in a million. Candidates are verified on their whole texts: a link is a Jaccard
-similarity of the two sets of shingles of 0.8 or more. Classes are the components of the links (see links.py: no pair
-that shares a bucket is lost, and no bucket's pairs are all made).
-
-Step 2 there, for sets. Let x be an outsider of leader L and y another of L's members. If they are alike, then either
-they share a shingle that L lacks: with those first in a common order, the rarest first, the first of all shared ones is
-such a one and is in both prefixes (the front 1 - 0.8 of a set, by prefix filtering), so an equi-join on (leader, shingle)
-finds the pair.
-Or all they share is in L, and there are at most min(|x & L|, |y & L|) of these, and at most the sum of these minima
-taken for cells of a partition of L; this leaves a short range of sizes of y, another equi-join. Edited copies of one
-text, which are many, have edits of their own, so that hardly a pair is left.
+no bucket with a probability of 3 in a million. Candidates are verified on their whole texts: a link is a J_P of 0.8 or
+more. Classes are the components of the links (see links.py: no pair that shares a bucket is lost, and no bucket's pairs
+are all made).
+
+Step 2 there rests on a bound. Let the common shingles hold the shares p and q of the two texts' weights. The term of i
+is at most f(x_i / |x|, y_i / |y|) with f(u, v) = u v / max(v + (1 - q) u, u + (1 - p) v), which is concave and
+homogeneous; so J_P is at most the sum of f over the cells of any partition of the shingles, taken with the weights of
+whole cells, and with one cell at most 1 / (1/p + 1/q - 1). For J_P >= 0.8 both shares are 0.8 at least, so no more than
+0.2 of a text's weight comes before the first common shingle in any order, which is prefix filtering for weights. Cells
+are stretches of the leader's text: an edit empties part of one, a cut text all from some cell on.
 
 Texts with the same words in the same order are one item from the start, so exact copies cost a count.
 
@@ -100,8 +101,8 @@ def signatures(keys: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int,
     return held.reshape(n, registers)
 
 
-def _batch(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For a run of texts: distinct shingles and owners; each text's words; its number as an item."""
+def _batch(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For a run of texts: distinct shingles, their counts and owners; each text's words; its number as an item."""
     hashes, first, _, _ = words(texts)
     n_words = np.diff(first)
     owner = np.repeat(np.arange(len(texts)), n_words)
@@ -123,7 +124,7 @@ def _batch(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray,
     keys, owners = keys[order], owners[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
-    return keys[new], owners[new], n_words, items
+    return keys[new], np.diff(np.flatnonzero(new), append=len(keys)).astype(np.float64), owners[new], n_words, items
 
 
 def band_keys(held: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -139,10 +140,10 @@ def _sign(size: int, bands: int, rows: int):
         for b in batches:
             texts = b["text"].tolist()
             for at, end in chunks(texts):
-                keys, owner, n_words, items = _batch(texts[at:end], size)
+                keys, counts, owner, n_words, items = _batch(texts[at:end], size)
                 has = n_words > 0
                 rank = np.cumsum(has) - 1
-                buckets = band_keys(signatures(keys, np.ones(len(keys)), rank[owner], int(has.sum()), bands * rows), bands, rows)
+                buckets = band_keys(signatures(keys, counts, rank[owner], int(has.sum()), bands * rows), bands, rows)
                 own = b.iloc[at:end]
                 yield pd.DataFrame(
                     {
@@ -156,35 +157,64 @@ def _sign(size: int, bands: int, rows: int):
     return run
 
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Jaccard similarity of two sorted arrays of distinct values."""
-    common = len(np.intersect1d(x, y, assume_unique=True))
-    return common / (len(x) + len(y) - common) if common else 0.0
+def masses(own: tuple[np.ndarray, np.ndarray], lead: tuple[np.ndarray, np.ndarray], cell: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, float]:
+    """A weighted set against its leader's, in shares of its weight: o, cells, rest, mass and lacks of links.by_sets. cell: of each of the leader's elements."""
+    keys, weights = own
+    weights = weights / weights.sum()
+    at = np.minimum(np.searchsorted(lead[0], keys), len(lead[0]) - 1)
+    shared = lead[0][at] == keys
+    cells = np.bincount(cell[at[shared]], weights[shared], links.CELLS)
+    return float(weights[shared].sum()), cells, keys[~shared].view(np.int64), weights[~shared], float(weights[~shared].sum())
+
+
+def cells_of(hashes: np.ndarray, keys: np.ndarray, size: int) -> np.ndarray:
+    """The cell of each distinct shingle of a text: which stretch of the text it comes first in."""
+    runs = shingles(hashes, min(size, len(hashes)))
+    first = np.unique(runs, return_index=True)[1]
+    return first * links.CELLS // len(runs)
+
+
+def fits(threshold: float):
+    """The bound on J_P of x and y over the cells, for links.by_sets."""
+    need = threshold - 1e-9
+
+    def f(u, v, p, q):
+        return u * v / (F.greatest(v + (1 - q) * u, u + (1 - p) * v) + 1e-300)
+
+    def fit(light: bool):
+        p, q = F.col("xo") + F.col("xh"), F.col("o") + F.col("h")
+        if light:
+            p, q = p + F.col("xt"), q + F.col("t")
+        p, q = F.least(p, F.lit(1.0)), F.least(q, F.lit(1.0))
+        whole = 1 / (1 / p + 1 / q - 1)
+        outside = f(F.col("xh"), F.col("h"), p, q) + (f(F.col("xt"), F.col("t"), p, q) if light else 0.0)
+        within = F.aggregate(F.zip_with("xcells", "cells", lambda u, v: f(u, v, p, q)), F.lit(0.0), lambda s, v: s + v)
+        return (whole >= need) & (within + outside >= need)
+
+    return fit
 
 
-def _against_leader(size: int, threshold: float, details: bool):
-    """For rows sorted by (a, salt), the leader's text first: a, b, d; or what step 2 needs of b: its size, shingles shared with a by cell, and the front of the rest."""
+def _against_leader(size: int, details: bool):
+    """For rows sorted by (a, salt), the leader's text first: a, b, d; or what step 2 needs of b."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, lead = None, None
+        now, lead, cell = None, None, None
         for batch in batches:
             texts, out = batch["text"].tolist(), []
             a_ids, b_ids, is_lead = batch["a"].tolist(), batch["b"].tolist(), batch["lead"].tolist()
             for at, end in chunks(texts):
                 hashes, first, _, _ = words(texts[at:end])
                 for i in range(at, end):
-                    own, _ = weighted(hashes[first[i - at] : first[i - at + 1]], size)
+                    own_words = hashes[first[i - at] : first[i - at + 1]]
+                    own = weighted(own_words, size)
                     if is_lead[i]:
                         now, lead = a_ids[i], own
+                        cell = cells_of(own_words, own[0], size) if details else None
                         continue
                     if a_ids[i] != now:
                         raise ValueError(f"no text for leader {a_ids[i]}")
-                    if details:
-                        behind = int(np.ceil(threshold * len(own) - 1e-9)) - 1
-                        out.append((now, b_ids[i], *links.against(own, lead, behind)))
-                    else:
-                        out.append((now, b_ids[i], 1 - jaccard(lead, own)))
-            yield pd.DataFrame(out, columns=["a", "b", "n", "o", "cells", "rest", "front"] if details else ["a", "b", "d"])
+                    out.append((now, b_ids[i], *masses(own, lead, cell)) if details else (now, b_ids[i], 1 - probability_jaccard(lead, own)))
+            yield pd.DataFrame(out, columns=["a", "b", "o", "cells", "rest", "mass", "lacks"] if details else ["a", "b", "d"])
 
     return run
 
@@ -212,16 +242,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
         leads = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("item", "a"), "a").select("a", "salt", F.lit(0).cast("long").alias("b"), F.lit(True).alias("lead"), "text")
         others = salted.join(texts.withColumnRenamed("item", "b"), "b").select("a", "salt", "b", F.lit(False).alias("lead"), "text")
         dealt = leads.union(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.desc("lead"))
-        schema = "a long, b long, n long, o long, cells array<int>, rest array<long>, front int" if details else "a long, b long, d double"
-        return dealt.mapInPandas(_against_leader(size, threshold, details), schema)
+        schema = "a long, b long, o double, cells array<double>, rest array<long>, mass array<double>, lacks double" if details else "a long, b long, d double"
+        return dealt.mapInPandas(_against_leader(size, details), schema)
 
     def open_pairs(told: DataFrame) -> DataFrame:
         sets = against_leader(told.select(F.col("leader").alias("a"), F.col("id").alias("b")), True).withColumnsRenamed({"a": "leader", "b": "id"})
-        xn, n = F.col("xn"), F.col("n")
-        low, high = F.ceil(threshold * xn - 1e-9), F.floor((1 + threshold) / threshold * F.col("xo") - xn + 1e-9)
-        return links.by_sets(told, sets, low, high, threshold / (1 + threshold) * (xn + n) - 1e-9, "against-leaders")
+        return links.by_sets(told, sets.withColumn("slack", F.lit(1 - threshold + 1e-9)), fits(threshold), "against-leaders")
 
-    labels, _ = links.classes(members, lambda pairs: against_leader(pairs, False), 1 - threshold + 1e-12, "minhash", open_pairs)
+    labels, _ = links.classes(members, lambda pairs: against_leader(pairs, False), 1 - threshold + 1e-9, "minhash", open_pairs)
     release(*scratch)
     labelled = items.select("item", "least", "n").join(labels.withColumnRenamed("id", "item"), "item", "left").withColumn("label", F.coalesce("label", "item"))
     whole = labelled.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))

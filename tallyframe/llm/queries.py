@@ -140,12 +140,18 @@ def oracle_sql() -> dict[str, str]:
             select t.doc_id, coalesce(g.n, 0) as n_removed, coalesce(g.removed, '') as removed,
                 coalesce((select string_agg(raw, chr(10) order by pos) from r where r.doc_id = t.doc_id and not exists (select 1 from f where f.doc_id = r.doc_id and f.pos = r.pos and (f.doc_id, f.pos) <> (f.fd, f.fp))), '') as text
             from documents t left join g using (doc_id)""",
+        # 1 / (1/p + 1/q - 1) is never below the similarity, p and q being the shares of the common shingles' weights
         "op10_minhash": r"""
             with recursive w as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') as ws from documents),
-            s as (select distinct doc_id, array_to_string(ws[i:i+4], ' ') as sh from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, case when len(ws) > 0 then 2 else 1 end))) as i from w)),
-            n as (select doc_id, count(*) as n from s group by 1),
-            p as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
-            l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where o >= 0.8 * (x.n + y.n - o) - 1e-9),
+            s as (select doc_id, array_to_string(ws[i:i+4], ' ') as sh, count(*) as c from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 3, case when len(ws) > 0 then 2 else 1 end))) as i from w) group by all),
+            n as (select doc_id, sum(c) as n from s group by 1),
+            p as (select a.doc_id as a, b.doc_id as b, sum(a.c) as x, sum(b.c) as y from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by 1, 2),
+            q as (select a, b from p join n i on i.doc_id = a join n j on j.doc_id = b where i.n / x + j.n / y <= 2.25 + 1e-9),
+            u as (select a, b, x, y, count(*) as k from (
+                select q.a, q.b, i.sh, i.c as x, coalesce(j.c, 0) as y from q join s i on i.doc_id = q.a left join s j on j.doc_id = q.b and j.sh = i.sh
+                union all select q.a, q.b, j.sh, 0, j.c from q join s j on j.doc_id = q.b where not exists (select 1 from s i where i.doc_id = q.a and i.sh = j.sh)) group by all),
+            t as (select i.a, i.b, i.x, i.y, i.k / sum(j.k * greatest(j.x / i.x, j.y / i.y)) as part from u i join u j on i.a = j.a and i.b = j.b where i.x > 0 and i.y > 0 group by i.a, i.b, i.x, i.y, i.k),
+            l as (select a, b from t group by a, b having sum(part) >= 0.8 - 1e-9),
             e as (select a, b from l union all select b, a from l),
             r as (select doc_id as a, doc_id as b from documents union select r.a, e.b from r join e on r.b = e.a),
             c as (select a, min(b) as c from r group by 1)

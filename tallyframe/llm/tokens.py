@@ -12,22 +12,29 @@ from functools import lru_cache
 import numpy as np
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+_LENGTH = np.uint64(0xC2B2AE3D27D4EB4F)
 #: Code points that are handled at once; bounds the memory of the arrays.
 CHUNK_CHARS = 1_000_000
 
 
 @lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point its lower-case form, or 0 if it is no part of a word; the powers of the hash's base."""
+def _lower() -> np.ndarray:
+    """For each code point its lower-case form, or 0 if it is no part of a word."""
     lower = np.zeros(0x110000, np.uint32)
     for i in range(0x110000):
         c = chr(i)
         if c.isalnum() or unicodedata.category(c)[0] == "M":
             low = c.lower()
             lower[i] = ord(low) if len(low) == 1 else i
-    powers = np.ones(4096, np.uint64)
-    np.multiply.accumulate(np.full(4095, _PRIME), out=powers[1:])
-    return lower, powers
+    return lower
+
+
+@lru_cache(2)
+def _powers(n: int) -> np.ndarray:
+    """The first n powers of the hash's base."""
+    powers = np.full(n, _PRIME)
+    powers[:1] = 1
+    return np.multiply.accumulate(powers)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,8 +48,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _hash_chars(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words in an array of code points."""
-    lower, powers = _tables()
-    low = lower[chars]
+    low = _lower()[chars]
     inside = np.empty(len(low) + 2, bool)
     inside[0] = inside[-1] = False
     np.not_equal(low, 0, out=inside[1:-1])
@@ -52,8 +58,9 @@ def _hash_chars(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), starts, ends
     first = starts[0]
     place = np.arange(len(low) - first) - np.repeat(starts - first, np.diff(starts, append=len(low)))
-    terms = low[first:].astype(np.uint64) * powers[place & 4095]  # what is no word has 0
-    return mix(np.add.reduceat(terms, starts - first)), starts, ends
+    powers = _powers(1 << max(12, int(place.max()).bit_length()))  # one for each place, however long a word is
+    terms = low[first:].astype(np.uint64) * powers[place]  # what is no word has 0
+    return mix(np.add.reduceat(terms, starts - first) + (ends - starts).astype(np.uint64) * _LENGTH), starts, ends
 
 
 def chunks(texts: Sequence[str | None], size: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:

@@ -208,7 +208,7 @@ def changed(rng, text, n):
 
 
 def brute_groups(rows):
-    sets = {i: minhash.weighted(tokens.words([t])[0])[0] for i, t in rows}
+    sets = {i: minhash.weighted(tokens.words([t])[0]) for i, t in rows}
     top = {i: i for i, _ in rows}
 
     def root(i):
@@ -216,10 +216,10 @@ def brute_groups(rows):
             i = top[i]
         return i
 
-    ids = sorted(i for i, _ in rows if len(sets[i]))
+    ids = sorted(i for i, _ in rows if len(sets[i][0]))
     for i in ids:
         for j in ids:
-            if j < i and minhash.jaccard(sets[i], sets[j]) >= 0.8:
+            if j < i and minhash.probability_jaccard(sets[i], sets[j]) >= 0.8 - 1e-9:
                 a, b = root(i), root(j)
                 top[max(a, b)] = min(a, b)
     return {i: root(i) for i in top}
@@ -242,17 +242,57 @@ def test_near_duplicates_against_brute_force(spark):
     assert kept.columns == source.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in want.items() if i == r}
 
 
-def test_near_duplicates_that_repeat_a_passage_in_different_numbers(spark):
+def test_near_duplicates_that_repeat_passages(spark):
     rng = random.Random(12)
-    rows = []
-    for i in range(8):
-        text, passage = prose(rng, 200), prose(rng, 12)
-        rows += [(10 * i, f"{text} {passage}"), (10 * i + 1, text + f" {passage}" * 50)]
+    rows, alike = [], 0
+    for i in range(40):
+        text, passage = prose(rng, 120), prose(rng, rng.choice([6, 12, 30]))
+        n, m = rng.randrange(1, 9), rng.randrange(1, 9)
+        rows += [(10 * i, text + f" {passage}" * n), (10 * i + 1, changed(rng, text, rng.randrange(3)) + f" {passage}" * m), (10 * i + 2, f"{text} {passage}" * 3)]
+        x, y = (minhash.weighted(tokens.words([t])[0]) for _, t in rows[-3:-1])
+        alike += minhash.probability_jaccard(x, y) >= 0.8
+    want = brute_groups(rows)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.groups(docs(spark, rows)).collect()}
+    assert 5 < alike < 35
+    linked = [i for i, c in want.items() if i != c]
+    assert len(linked) > 30 and np.mean([got[i] == want[i] for i in linked]) >= 0.9 and all(got[i] == i for i, c in want.items() if i == c)
+
+
+def test_boilerplate_sharers_and_copies_of_an_edited_leader(spark):
+    """Members of one bucket that share most of their words, few of them alike; and a group in which more than HEAVY members have what its leader lacks."""
+    rng = random.Random(21)
+    common = prose(rng, 90)
+    rows = [(i, f"{common} {prose(rng, rng.randrange(20, 60))}") for i in range(120)]
+    rows += [(200 + i, changed(rng, dict(rows)[i % 7], rng.randrange(3))) for i in range(40)]
+    base = prose(rng, 100)
+    rows += [(300 + i, changed(rng, base, rng.choice([1, 1, 2, 3, 4, 5, 7]))) for i in range(150)]
     want = brute_groups(rows)
-    assert all(want[10 * i + 1] == 10 * i for i in range(8))
     assert {r["doc_id"]: r["class_id"] for r in minhash.groups(docs(spark, rows)).collect()} == want
 
 
+def test_bound_is_never_below_the_similarity():
+    rng = random.Random(5)
+    f = lambda u, v, p, q: u * v / (max(v + (1 - q) * u, u + (1 - p) * v) + 1e-300)
+    for _ in range(300):
+        words_x = [rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(1, 60))]
+        words_y = [rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(1, 60))] if rng.random() < 0.3 else [w if rng.random() < 0.9 else "z" for w in words_x]
+        x, y = (minhash.weighted(tokens.words([" ".join(w)])[0], 1) for w in (words_x, words_y))
+        cells = {}
+        for k, (keys, weights) in enumerate((x, y)):
+            for key, w in zip(keys.tolist(), weights / weights.sum(), strict=True):
+                cells.setdefault(key % 5, [0.0, 0.0])[k] += w
+        common = set(x[0].tolist()) & set(y[0].tolist())
+        p, q = (sum(w for k, w in zip(s[0].tolist(), s[1] / s[1].sum(), strict=True) if k in common) for s in (x, y))
+        true = minhash.probability_jaccard(x, y)
+        assert not common or true <= 1 / (1 / p + 1 / q - 1) + 1e-9
+        assert true <= sum(f(u, v, 1.0, 1.0) for u, v in cells.values()) + 1e-9
+
+
+def test_long_words_of_the_same_blocks_are_different_words():
+    a, b = "a" * 4096 + "b" * 4096, "b" * 4096 + "a" * 4096
+    assert len(set(tokens.words([a, b, "a" * 8192])[0].tolist())) == 3
+
+
 def test_near_duplicates_of_nulls_repeats_and_nothing(spark):
     text = prose(random.Random(1), 40)
     out = minhash.groups(docs(spark, [(1, text), (1, text), (None, text), (None, "alone in this table it stands"), (2, None)])).collect()
