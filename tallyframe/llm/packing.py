@@ -1,15 +1,20 @@
-"""Best-fit packing of token pieces into sequences of fixed capacity, bulk-synchronously.
+"""Bulk-synchronous best-fit packing of token pieces into sequences of fixed capacity.
 
-Pieces and gaps (the free ends of open sequences) are both kept sorted by size, as runs: pieces of one length are the
-ranks 0..n-1 of that length, gaps of one size are intervals of sequence numbers. A superstep takes the largest length
-that is left and sweeps to its successor, the smallest gap that holds it. All pieces of the run claim gaps of that run
-at once; conflicts are resolved by rank (the i-th piece gets the i-th gap, the rest claim again in the next superstep).
-Filled gaps return with what is left of them. Where no gap fits, sequences are opened. This is best-fit decreasing, done
-for runs instead of single pieces: the number of supersteps depends on the capacity, not on the number of documents.
+Pieces are taken in bands, the longest first (BANDS). Gaps are the free ends of open sequences. A superstep:
 
-What is distributed is what grows: tokenising, counting lengths, ranking pieces inside a length (from counts of each
-length in each partition), and the join of each piece's (length, rank) with the matched runs. The driver sees a count
-for each length up to the capacity and sends back the runs.
+1. The band's pieces and all gaps that can hold one are sorted by size over range partitions. A gap that can hold several
+   of the band's longest pieces is as many slots.
+2. Each partition is swept once, in order: a piece's successor is the first gap that is not smaller. Counts of what each
+   partition holds are carried on to the next.
+3. Many pieces may claim one gap. Conflicts are resolved by rank: the first keeps it, the next goes on to the gap behind.
+   In order of size, piece number i gets gap number i + max over all k up to i of (successor of k - k), which the sweep
+   follows as a running maximum. What would need a gap beyond the last stays over.
+4. Pieces meet their gaps by number, gaps shrink by what they took, and the next superstep begins.
+
+After a band's supersteps sequences are opened for what stays over: for pieces of over half the capacity one each (with
+no superstep, no gap can hold them), for pieces that a sequence holds few of, so many of neighbouring ranks each, for
+small ones by windows of their running length. The number of supersteps depends on BANDS alone. Every table of the loop
+has a row for each piece or gap and lies in the shared folder; the driver sees four numbers of each partition.
 
 Defined results: a null or empty text is one piece holding only the end token; a text of more than the capacity is cut
 into pieces of the capacity, the last may be shorter; repeated rows and ids are pieces of their own; an empty table
@@ -21,11 +26,9 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from bisect import bisect_left, insort
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -34,14 +37,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small, spread
+from .common import cut, release, small, spread
 from .tokens import chunks
 
+#: Each band's longest piece, as a part of the capacity, and how many supersteps its pieces claim gaps in.
+BANDS = ((1, 0), (2, 1), (3, 1), (4, 2), (6, 2), (8, 2), (12, 2), (16, 2), (32, 2), (64, 2), (128, 3))
+#: Sequences are opened by ranks for pieces that one holds at most so many of.
+FEW = 8
+
 #: Words whose ids a worker keeps; the table starts anew beyond that.
 CACHE_WORDS = 500_000
 #: The splitting pattern that the fast path knows, and what it comes to for lower-cased text below U+0100.
 _KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+").findall
+_LETTERS_FIRST = r"[\p{L}]+|[\p{N}]|'(?:s|t|re|ve|m|ll|d)|[^\s\p{L}\p{N}]+"  # finds the same; a branch starts with what no other starts with
+_LATIN = re.compile("[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|'(?:s|t|re|ve|m|ll|d)|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+").findall
 _ODD_SPACE = re.compile("[\x1c-\x1f]").search  # white space to Python only
 
 
@@ -61,7 +70,7 @@ class WordTokenizer:
         self.special = [t["content"] for t in spec["added_tokens"]]
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
         self.known = [s["pattern"]["Regex"] for s in steps if s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"]] == [_KNOWN]
-        self.words = regex.compile(_KNOWN).findall
+        self.words = regex.compile(_LETTERS_FIRST).findall
         vocabulary, suffix = self.tokenizer.get_vocab(), spec["model"].get("end_of_word_suffix")
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
@@ -85,17 +94,22 @@ class WordTokenizer:
         return out
 
     def _look_up(self, words: list[list[str]]) -> list[np.ndarray]:
-        new = set().union(*words).difference(self.table)
-        if new:
-            self._learn(sorted(new) if len(self.table) <= CACHE_WORDS else self._clear() or sorted(set().union(*words)))
         counts = np.cumsum([0, *map(len, words)])
-        at = np.fromiter(map(self.table.__getitem__, chain.from_iterable(words)), np.int64, int(counts[-1]))
+        at = self._places(words, int(counts[-1]))
+        if len(at) and at.min() < 0:
+            every = chain.from_iterable(words)
+            new = {w for w, k in zip(every, at.tolist(), strict=True) if k < 0}
+            self._learn(sorted(new) if len(self.table) <= CACHE_WORDS else self._clear() or sorted(set().union(*words)))
+            at = self._places(words, len(at))
         starts, lengths = self.starts[at], self.starts[at + 1] - self.starts[at]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         flat = self.flat[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])]
         cuts = ends[counts].tolist()
         return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    def _places(self, words: list[list[str]], n: int) -> np.ndarray:
+        return np.fromiter(map(self.table.get, chain.from_iterable(words), repeat(-1)), np.int64, n)
+
     def _split(self, text: str) -> list[str]:
         try:
             text.encode("latin-1")
@@ -127,10 +141,10 @@ def word_tokenizer(path: str) -> WordTokenizer:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """A row for each piece: id_col, piece, start, length, ids_crc32, the ids themselves if asked for, and part and nth: its place among the task's pieces of that length."""
+    """A row for each piece: id_col, piece, start, length, ids_crc32, the ids themselves if asked for, and rid, a number of its own."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, part, seen = word_tokenizer(tokenizer_path), TaskContext.get().partitionId(), Counter()
+        tokenizer, rid = word_tokenizer(tokenizer_path), TaskContext.get().partitionId() << 33
         for batch in batches:
             out = []
             ids = [None if none else i for i, none in zip(batch["id"].tolist(), batch["none"].tolist(), strict=True)]
@@ -138,61 +152,113 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                 tokens = np.append(encoded, np.uint32(end_id)).astype("<u4")
                 for k, start in enumerate(range(0, len(tokens), capacity)):
                     own = tokens[start : start + capacity]
-                    out.append((i, k, start, len(own), zlib.crc32(own.tobytes()), part, seen[len(own)], *([own.astype(np.int32)] if with_ids else [])))
-                    seen[len(own)] += 1
-            frame = pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32", "part", "nth", *(["ids"] if with_ids else [])])
+                    out.append((i, k, start, len(own), zlib.crc32(own.tobytes()), rid, *([own.astype(np.int32)] if with_ids else [])))
+                    rid += 1
+            frame = pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32", "rid", *(["ids"] if with_ids else [])])
             yield frame.assign(id=pd.array([x[0] for x in out], "Int64"))
 
     own_id = F.col(id_col).cast("long")  # pandas has no null integers
     rows = spread(docs.select(F.coalesce(own_id, F.lit(0)).alias("id"), own_id.isNull().alias("none"), F.col(text_col).alias("text")))
-    schema = "id long, piece int, start long, length int, ids_crc32 long, part int, nth long" + ", ids array<int>" * with_ids
+    schema = "id long, piece int, start long, length int, ids_crc32 long, rid long" + ", ids array<int>" * with_ids
     return rows.mapInPandas(run, schema).withColumnRenamed("id", id_col)
 
 
-def match(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, rank beyond the last, first sequence, offset) of best-fit decreasing for so many pieces of each length."""
-    gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # size: intervals of sequences
-    sizes: list[int] = []
-    out, opened = [], 0
-
-    def add(size: int, first: int, n: int) -> None:
-        if size and n:
-            if not gaps[size]:
-                insort(sizes, size)
-            if gaps[size] and gaps[size][-1][0] + gaps[size][-1][1] == first:
-                first, n = gaps[size][-1][0], gaps[size].pop()[1] + n
-            gaps[size].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, total = 0, counts[length]
-        while rank < total:
-            at = bisect_left(sizes, length)
-            if at == len(sizes):
-                n = -(-(total - rank) // (capacity // length))  # each takes as many of these as it can hold
-                add(capacity, opened, n)
-                opened += n
-                continue
-            size = sizes[at]
-            first, n = gaps[size].pop()
-            if not gaps[size]:
-                del sizes[at]
-            take = min(n, total - rank)
-            out.append((length, rank, rank + take, first, capacity - size))
-            rank += take
-            add(size, first + take, n - take)
-            add(size - length, first, take)
-    return out
+def bands(capacity: int) -> list[tuple[int, int, int]]:
+    """(shorter than the shortest piece, longest piece, supersteps) of each band; all lengths are in one."""
+    ends = [capacity // part for part, _ in BANDS] + [0]
+    return [(low, high, n) for (_, n), high, low in zip(BANDS, ends, ends[1:], strict=False) if low < high]
+
+
+def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Over a partition's rows (size, kind, id) in order, kind 1 for gaps: at, the number of such rows before; for pieces push, the running maximum of successor less rank, and volume, the tokens before."""
+    part, pieces, gaps, volume, most = TaskContext.get().partitionId(), 0, 0, 0, np.iinfo(np.int64).min
+    for b in batches:
+        gap, size = b["kind"].to_numpy() == 1, b["size"].to_numpy()
+        own = np.where(gap, 0, size)
+        after_pieces, after_gaps, after_volume = pieces + np.cumsum(~gap), gaps + np.cumsum(gap), volume + np.cumsum(own)
+        push = np.maximum.accumulate(np.where(gap, most, np.maximum(after_gaps - (after_pieces - 1), most)))
+        yield pd.DataFrame({"part": part, "kind": b["kind"], "id": b["id"], "size": size, "at": np.where(gap, after_gaps, after_pieces) - 1, "push": push, "volume": after_volume - own})
+        if len(b):
+            pieces, gaps, volume, most = int(after_pieces[-1]), int(after_gaps[-1]), int(after_volume[-1]), int(push[-1])
+
+
+def superstep(pieces: DataFrame, gaps: DataFrame, low: int, high: int) -> tuple[DataFrame, DataFrame, int, int, DataFrame]:
+    """Matches pieces (rid, length) with gaps (seq, free): matched (rid, length, seq), those over (rid, length, nth, volume), their number, the number of slots, and the swept table, which can be released once these are used."""
+    spark = pieces.sparkSession
+    times = F.greatest(F.lit(1), F.floor(F.col("free") / high)).cast("int")
+    slots = F.concat(F.array(F.col("free") - (times - 1) * high), F.array_repeat(F.lit(high).cast("long"), times - 1))
+    both = pieces.select(F.col("length").cast("long").alias("size"), F.lit(0).alias("kind"), F.col("rid").alias("id")).union(
+        gaps.where(F.col("free") > low).select(F.explode(slots).alias("size"), F.lit(1).alias("kind"), F.col("seq").alias("id"))
+    )
+    order = ["size", "kind", "id"]
+    swept = both.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_sweep, "part int, kind int, id long, size long, at long, push long, volume long")
+    swept = cut(swept, "swept")
+    piece = F.col("kind") == 0
+    told = swept.groupBy("part").agg(F.count(F.when(piece, 1)).alias("p"), F.count(F.when(~piece, 1)).alias("g"), F.sum(F.when(piece, F.col("size"))).alias("v"), F.max(F.when(piece, F.col("push"))).alias("m"))
+    offsets, p, g, v, most = [], 0, 0, 0, -(1 << 62)
+    for r in sorted(told.collect()):  # a row for each partition
+        offsets.append((r["part"], p, g, v, most))
+        if r["p"]:
+            most = max(most, g - p + r["m"])
+        p, g, v = p + r["p"], g + r["g"], v + (r["v"] or 0)
+    over = max(0, min(p, p + most - g)) if p else 0
+    before = F.broadcast(spark.createDataFrame(offsets, "part int, p long, g long, v long, most long"))  # a row for each partition
+    placed = swept.join(before, "part")
+    goal = F.col("p") + F.col("at") + F.greatest("most", F.col("g") - F.col("p") + F.col("push"))
+    claims = placed.where(piece).select(F.col("id").alias("rid"), F.col("size").alias("length"), goal.alias("goal"), (F.col("v") + F.col("volume")).alias("volume"))
+    numbered = placed.where(~piece).select(F.col("id").alias("seq"), (F.col("g") + F.col("at")).alias("goal"))
+    matched = claims.where(F.col("goal") < g).join(numbered, "goal").select("rid", "length", "seq")
+    left = claims.where(F.col("goal") >= g).select("rid", "length", (F.col("goal") - g).alias("nth"), "volume")
+    return matched, left, over, g, swept
+
+
+def opened(left: DataFrame, n: int, first: int, high: int, capacity: int) -> tuple[DataFrame, int]:
+    """New sequences, numbered down from -first - 1, for the n pieces that stay over: (rid, length, seq); and how many."""
+    each = capacity // high
+    if each <= FEW:
+        return left.select("rid", "length", (-first - 1 - F.floor(F.col("nth") / each)).alias("seq")), -(-n // each)
+    window = capacity - high + 1  # what begins in a window ends within the capacity
+    low, top = left.agg(F.min("volume"), F.max("volume")).first()
+    return left.select("rid", "length", (-first - 1 - F.floor((F.col("volume") - low) / window)).alias("seq")), (top - low) // window + 1
+
+
+def sequences(sizes: DataFrame, capacity: int) -> DataFrame:
+    """(rid, seq, length) for all pieces (rid, length)."""
+    spark = sizes.sparkSession
+    of_band = sum((F.col("length") <= low).cast("int") for low, _, _ in bands(capacity))
+    counts = {r["k"]: r["n"] for r in sizes.groupBy(of_band.alias("k")).agg(F.count("*").alias("n")).collect()}  # a number for each band
+    long = F.col("length") > bands(capacity)[0][0]
+    placed = [cut(sizes.where(long).select("rid", F.col("length").cast("long").alias("length"), F.col("rid").alias("seq")), "placed")]  # one each, numbered like the piece
+    gaps = cut(placed[0].select("seq", (capacity - F.col("length")).alias("free")).where("free > 0"), "gaps")
+    first = 0
+    for k, (low, high, tries) in enumerate(bands(capacity)):
+        if not k or not counts.get(k):
+            continue
+        left, old = sizes.where((F.col("length") > low) & (F.col("length") <= high)).select("rid", "length"), None
+        for t in range(max(1, tries)):
+            matched, left, over, slots, swept = superstep(left, gaps, low, high)
+            done = t + 1 >= tries or not slots
+            if over and done:
+                new, n = opened(left, over, first, high, capacity)
+                matched, first = matched.unionByName(new), first + n
+            now = cut(matched.select("rid", "length", "seq"), "placed")
+            used = now.groupBy("seq").agg(F.sum("length").alias("used"))
+            after = gaps.join(used, "seq", "full").select("seq", (F.coalesce("free", F.lit(capacity).cast("long")) - F.coalesce("used", F.lit(0).cast("long"))).alias("free"))
+            after = cut(after.where("free > 0"), "gaps")
+            release(gaps, *([old] if old else []))
+            placed.append(now)
+            gaps, old = after, swept
+            if done or not over:
+                break
+        release(old)
+    release(gaps)
+    return spark.read.schema(placed[0].schema).parquet(*(t.shared_path for t in placed))
 
 
 def pack(rows: DataFrame, capacity: int = 4096) -> DataFrame:
     """Adds sequence_id and offset to pieces()' rows."""
     rows = cut(rows, "pieces")
-    per_part = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
-    counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a number for each length up to the capacity
-    runs = rows.sparkSession.createDataFrame(match(counts, capacity), "length int, first long, beyond long, sequence long, offset long")
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = small(cut(per_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "piece-starts"), 50_000)
-    ranked = rows.join(starts, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
-    fits = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("beyond"))
-    placed = ranked.join(small(runs), "length").where(fits)
-    return placed.withColumn("sequence_id", F.col("sequence") + F.col("rank") - F.col("first")).drop("part", "nth", "before", "rank", "first", "beyond", "sequence")
+    seqs = sequences(rows.select("rid", "length"), capacity)
+    before = Window.partitionBy("seq").orderBy("rid").rowsBetween(Window.unboundedPreceding, -1)  # a sequence has no more pieces than tokens
+    places = seqs.select("rid", F.col("seq").alias("sequence_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
+    return rows.join(places, "rid").drop("rid")
