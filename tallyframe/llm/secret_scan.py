@@ -2,7 +2,9 @@
 
 Every version of every path is a row. Its text is addressed by content (SHA-256), and a blob is scanned once for each
 version of each rule, whatever number of paths or versions hold it: pairs of blob and rule version that the ledger has
-already are left out, the rest are scanned, and findings of old and new pairs are joined back to all paths.
+already are left out, the rest are scanned, and findings of old and new pairs are joined back to all paths. The ledger is
+asked by hashes alone; only texts of blobs that it lacks something for are moved and scanned. history() goes through
+commits one by one, each with the ledger of those before.
 
 A scan finds the leftmost non-overlapping matches of a rule. Spark's functions return matched strings without places,
 so matches are wrapped in control characters by one regexp_replace and the places are summed up from the pieces between
@@ -23,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, spread
+from .common import cut, small, spread
 
 _OPEN, _MID, _CLOSE, _OTHER = "\x01", "\x02", "\x03", "\x04"
 FINDINGS = "array<struct<start: bigint, end: bigint>>"
@@ -80,28 +82,29 @@ def _quick(rule: Rule) -> str:
     return f"{rule.head}{rule.value.removesuffix('+')}{{{max(1, least)},}}"
 
 
-def blobs(docs: DataFrame, path_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """All versions of all paths with their blob, and a row for each blob with its text."""
+def blobs(docs: DataFrame, path_col: str, text_col: str) -> DataFrame:
+    """All versions of all paths: path, text and blob."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    versions = spread(docs.select(F.col(path_col).alias("path"), text.alias("text"))).withColumn("blob", F.sha2(F.encode("text", "utf-8"), 256))
-    return versions.select("path", "blob"), versions.groupBy("blob").agg(F.first("text").alias("text"))
+    return spread(docs.select(F.col(path_col).alias("path"), text.alias("text"))).withColumn("blob", F.sha2(F.encode("text", "utf-8"), 256))
 
 
-def scan(contents: DataFrame, rules: Sequence[Rule], ledger: DataFrame | None = None) -> DataFrame:
-    """New rows for the ledger: blob, kind, version, found. Only pairs of blob and rule version that it lacks are scanned.
+def unseen(blobs: DataFrame, rules: Sequence[Rule], ledger: DataFrame) -> DataFrame:
+    """Blobs that the ledger lacks a version of a rule for, with those that it has: blob, done."""
+    done = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("done"))
+    every = F.array(*(F.lit(f"{r.kind}:{r.version}") for r in rules))
+    told = blobs.select("blob").distinct().join(done, "blob", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
+    return told.where(F.size(F.array_except(every, "done")) > 0)
+
+
+def scan(contents: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """New rows for the ledger: blob, kind, version, found, for blobs with their text and what is done of them already.
 
     A pair without findings has a row too, with an empty list: it has been scanned.
     """
     clean = F.translate("text", _OPEN + _MID + _CLOSE, _OTHER * 3)
-    if ledger is not None:
-        done = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("__done"))
-        contents = contents.join(done, "blob", "left")
-    else:
-        contents = contents.withColumn("__done", F.array().cast("array<string>"))
-    left = lambda r: ~F.coalesce(F.array_contains("__done", f"{r.kind}:{r.version}"), F.lit(False))
     nothing = F.array().cast(FINDINGS)
     each = [
-        F.when(left(r), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.when(F.col("text").rlike(_quick(r)), spans(F.col("__clean"), r)).otherwise(nothing).alias("found")))
+        F.when(~F.array_contains("done", f"{r.kind}:{r.version}"), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.when(F.col("text").rlike(_quick(r)), spans(F.col("__clean"), r)).otherwise(nothing).alias("found")))
         for r in rules
     ]
     scanned = contents.withColumn("__clean", clean).select("blob", F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("s"))
@@ -113,18 +116,35 @@ def findings(docs: DataFrame, rules: Sequence[Rule] = RULES, ledger: DataFrame |
 
     The ledger is a table of (blob, kind, version, found). Append the new rows to it once they are used.
     """
-    versions, contents = blobs(docs, path_col, text_col)
-    new = cut(scan(contents, rules, ledger), "blob-ledger")
-    known = new if ledger is None else new.unionByName(ledger)
+    versions = blobs(docs, path_col, text_col)
+    one = F.first("text").alias("text")  # of each task's copies one is moved
+    if ledger is None:
+        contents = versions.groupBy("blob").agg(one).withColumn("done", F.array().cast("array<string>"))
+    else:
+        todo = cut(unseen(versions, rules, ledger), "blobs-unseen")
+        marked = small(todo)
+        contents = versions.join(marked.select("blob"), "blob", "left_semi").groupBy("blob").agg(one) if marked is not todo else versions.groupBy("blob").agg(one)
+        contents = contents.join(marked, "blob")
+    new = cut(scan(contents, rules), "blob-ledger")
+    known = new if ledger is None else new.unionByName(ledger.select(*new.columns))
     current = F.lit(False)
     for r in rules:
         current = current | ((F.col("kind") == r.kind) & (F.col("version") == r.version))
     per_blob = known.where(current & (F.size("found") > 0)).groupBy("blob").agg(*(F.first(F.when(F.col("kind") == r.kind, F.col("found")), ignorenulls=True).alias(r.kind) for r in rules))
-    joined = versions.join(per_blob, "blob", "left")
+    joined = versions.select("path", "blob").join(per_blob, "blob", "left")
     lists = [F.coalesce(F.col(r.kind), F.array().cast(FINDINGS)).alias(r.kind) for r in rules]
     return joined.select(F.col("path").alias(path_col), "blob", *lists), new
 
 
+def history(commits: Sequence[DataFrame], rules: Sequence[Rule] = RULES, path_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """findings() of all versions of all commits in turn, each scanned with the ledger of those before; and the whole ledger."""
+    found, ledger = findings(commits[0], rules, None, path_col, text_col)
+    for docs in commits[1:]:
+        more, new = findings(docs, rules, ledger, path_col, text_col)
+        found, ledger = found.unionByName(more), ledger.unionByName(new)
+    return found, ledger
+
+
 def listed(rules: Sequence[Rule]) -> Column:
     """All places of the rules' lists as kind:start:end, by start and then in the rules' order, joined with commas."""
     def places(i: int, kind: str) -> Column:
