@@ -5,8 +5,9 @@ are embedded, filters of several widths run over the window, each filter is max-
 makes the languages' probabilities. A text's score is the mean over its windows, weighted by their bytes.
 
 The network is trained here, in numpy, on a bounded sample of labelled rows: at most `PER_LANGUAGE` texts of a language
-(those with the smallest hash of their id) and `WINDOWS` windows of a text, for the `LANGUAGES` commonest labels. These
-bounds hold for training alone; predictions cover all rows and whole texts. At prediction the embedding and a filter's
+(those with the smallest hash of their id), fewer if there are so many languages that they would be over `TEXTS` in all,
+and `WINDOWS` windows of a text, which are cut out where the texts are. These bounds hold for training alone; every label
+is learned, and predictions cover all rows and whole texts. At prediction the embedding and a filter's
 weight at one place are multiplied beforehand into a table by byte, so that a filter is a sum of table rows.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every text if no row is labelled;
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import spread
 
-LANGUAGES = 200
+TEXTS = 160_000
 PER_LANGUAGE = 800
 WINDOWS = 5
 LENGTH = 256
@@ -77,21 +78,17 @@ class Net:
         return softmax(np.concatenate(pooled, axis=1) @ self.params["dense"] + self.params["bias"])
 
 
-def train(texts: list[str], labels: list[str], seed: int = 5) -> Net:
-    """Fits the network by Adam on evenly spaced windows of the texts."""
+def train(picked: list[bytes], labels: list[str], seed: int = 5) -> Net:
+    """Fits the network by Adam on windows of at most LENGTH bytes and the label of each."""
     rng = np.random.default_rng(seed)
     names = sorted(set(labels))
-    picked, y = [], []
-    for text, label in zip(texts, labels, strict=True):
-        x, _, _ = windows([text.encode("utf-8", "replace")])
-        for i in np.unique(np.linspace(0, len(x) - 1, WINDOWS).astype(int)) if len(x) else []:
-            picked.append(x[i])
-            y.append(names.index(label))
+    number = {k: i for i, k in enumerate(names)}
+    x, target = windows(picked)[0], np.array([number[k] for k in labels], np.int64)
     p = {"embed": rng.normal(0, 0.3, (257, EMBED)), "dense": rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(names))), "bias": np.zeros(len(names))}
     for w in WIDTHS:
         p |= {f"w{w}": rng.normal(0, (w * EMBED) ** -0.5, (w * EMBED, FILTERS)), f"b{w}": np.zeros(FILTERS)}
     p = {k: v.astype(np.float32) for k, v in p.items()}
-    net, x, target = Net(names, p), np.array(picked), np.array(y)
+    net = Net(names, p)
     per_epoch = -(-len(x) // BATCH)
     epochs = max(EPOCHS, -(-LEAST_STEPS // max(1, per_epoch))) if len(names) > 1 else 0
     steps = epochs * per_epoch
@@ -163,19 +160,23 @@ def predict_texts(net: Net, tables: list, texts: list[str | None]) -> tuple[list
     return labels, scores
 
 
-def sample(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> tuple[list[str], list[str]]:
-    """The bounded training sample: texts and labels of rows for which `learn` is true."""
+def sample(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> tuple[list[bytes], list[str]]:
+    """The bounded training sample: evenly spaced windows of texts of rows for which `learn` is true, and their labels."""
     rows = docs.where(learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = rows.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.shiftrightunsigned(F.xxhash64(F.lit(11), F.col(id_col)), 1).alias("u"))
-    counts = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()
+    rows = rows.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("binary").alias("body"), F.shiftrightunsigned(F.xxhash64(F.lit(11), F.col(id_col)), 1).alias("u")).where(F.octet_length("body") > 0)
+    counts = rows.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").collect()  # a row for each language
     if not counts:
         return [], []
+    most = max(1, min(PER_LANGUAGE, TEXTS // len(counts)))
     # about three times what is kept is let through, so that ranking sees a bounded number of rows of any label
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["label"]), F.lit(min(1.0, 3 * PER_LANGUAGE / r["n"])))))
-    ranked = rows.where(F.col("u") <= F.element_at(share, F.col("label")) * float(2**63))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("u", "text"))).where(F.col("rank") <= PER_LANGUAGE)
-    got = ranked.select("label", "text").orderBy("label", "rank").collect()
-    return [r["text"] for r in got], [r["label"] for r in got]
+    share = F.create_map(*(x for r in counts for x in (F.lit(r["label"]), F.lit(min(1.0, 3 * most / r["n"])))))
+    last = F.floor((F.octet_length("body") - 1) / LENGTH)
+    places = F.array_distinct(F.transform(F.array(*map(F.lit, range(WINDOWS))), lambda j: F.floor(last * j / (WINDOWS - 1)).cast("int")))
+    cut_out = F.transform(places, lambda i: F.substr("body", i * LENGTH + 1, F.lit(LENGTH)))
+    ranked = rows.where(F.col("u") <= F.element_at(share, F.col("label")) * float(2**63)).select("label", "u", cut_out.alias("windows"))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("u", "windows"))).where(F.col("rank") <= most)
+    got = [(r["label"], bytes(w)) for r in ranked.select("label", "windows").orderBy("label", "rank").collect() for w in r["windows"]]
+    return [w for _, w in got], [k for k, _ in got]
 
 
 def predict(docs: DataFrame, net: Net, text_col: str = "text", label_to: str = "lang_pred", score_to: str = "score") -> DataFrame:
@@ -199,5 +200,4 @@ def fold(id_col: str = "doc_id") -> Column:
 
 def fit(docs: DataFrame, **columns: str) -> Net:
     """A network that learned from the labelled rows of docs whose fold is not 1."""
-    texts, labels = sample(docs, fold(columns.get("id_col", "doc_id")) != 1, **columns)
-    return train(texts, labels)
+    return train(*sample(docs, fold(columns.get("id_col", "doc_id")) != 1, **columns))
