@@ -1,11 +1,11 @@
 """Line dedup by a segment-partition edit join.
 
-Lines are what newlines separate, trimmed. Two lines are alike if they are equal, or if both have NEAR_CHARS characters
-and at most EDITS edits (insertions, deletions, substitutions of characters) lie between them. Classes are the
-components of alike lines; the first line of each stays, by doc_id and place, and every other is taken out of its text.
-Lines under MIN_CHARS say too little to be judged and always stay.
+Lines are what newlines separate, trimmed; empty ones are no lines. Two lines are alike if they are equal, or if few edits
+(insertions, deletions, substitutions of characters) lie between them: as many as the shorter one has times NEAR_CHARS
+characters, EDITS at most, so none for lines that are shorter still. Classes are the components of alike lines; the first
+line of each stays, by doc_id and place, and every other is taken out of its text.
 
-The join: a line cut into EDITS + 1 segments must share one unchanged with any line that is EDITS edits away. Each line
+The join, for each number of edits: a line cut into one segment more must share one unchanged with any line so many edits away. Each line
 files its own segments, by length and segment number, and probes with those of its substrings that can be a segment of
 a line 0 to EDITS characters shorter (only the starts that the other segments' edits allow). Rolling hashes give all of
 them for a batch of lines at once. Lines that share a filed substring are candidates; a banded bit-parallel edit
@@ -14,7 +14,7 @@ links.py; edit distance is a metric). In step 2 there a line is the set of its r
 number among equals: an edit changes GRAM of them at most, so lines that are alike share all but EDITS * GRAM. Nor can
 more than EDITS characters, or twice as many pairs of neighbours, be in one and not in the other.
 
-With `every`, lines of NEAR_CHARS characters and FEW_WORDS words are alike too if at most one word in so many, of the
+With `every`, lines of WORD_CHARS characters and FEW_WORDS words are alike too if at most one word in so many, of the
 shorter line's and one at least, is edited. Words are what blanks separate, and each character of a script written without
 blanks. They are joined as above, words in the place of characters, with segments for each number of edits; lines of
 4 * every words and more, whose segments would be too many, file rare runs of words: such a pair has eight words in a row
@@ -39,7 +39,11 @@ from . import links
 from .common import cut, doc_key, release, small, spread
 from .tokens import chunks, mix, shingles
 
-MIN_CHARS, NEAR_CHARS, EDITS, GRAM = 20, 40, 2, 6
+MIN_CHARS, NEAR_CHARS, EDITS, GRAM = 1, 20, 2, 6
+#: Characters of a line that is compared by words.
+WORD_CHARS = 40
+#: Lines that a task remembers to have filed, so that a very common one is filed once a task.
+FILED = 300_000
 #: For comparing words: one in EVERY may be edited, in lines of FEW_WORDS and more; RUN words make a key of a long line.
 EVERY, FEW_WORDS, RUN = 10, 5, 6
 #: Rows of labels that are broadcast at most; the lines they are joined with are small numbers too.
@@ -57,7 +61,23 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def buckets(lines: list[str], edits: int = EDITS, near: int = NEAR_CHARS, top: int = 1 << 62) -> tuple[np.ndarray, np.ndarray]:
+def allowed(n, edits: int = EDITS, near: int = NEAR_CHARS):
+    """How many characters may be edited if the shorter line has n."""
+    return np.minimum(edits, n // near)
+
+
+def char_buckets(lines: list[str], edits: int = EDITS, near: int = NEAR_CHARS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets by characters of a batch of lines, and which line each is of, for all numbers of edits."""
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for e in range(1, edits + 1):
+        own = [i for i, x in enumerate(lines) if len(x) >= e * near and (e == edits or len(x) < (e + 1) * near + e)]
+        key, owner = buckets([lines[i] for i in own], e, e * near, (e + 1) * near if e < edits else 1 << 62)
+        keys.append(mix(key + np.uint64(e)))
+        owners.append(np.array(own, np.int64)[owner])
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def buckets(lines: list[str], edits: int, near: int, top: int = 1 << 62) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a batch of lines, and which line each is of. Lines with under `near` characters have none, and none of `top` or more is filed.
 
     For each number of characters that a filed line may be shorter, each of its segments and each shift that the edits
@@ -259,8 +279,14 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Dat
 
 def _file(file):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        filed: set[int] = set()
         for b in batches:
             b = b.drop_duplicates("h")
+            new = set(b["h"].tolist()) - filed
+            b = b[b["h"].isin(new)] if len(new) < len(b) else b
+            if len(filed) >= FILED:
+                filed.clear()
+            filed |= new
             lines, h = b["line"].tolist(), b["h"].to_numpy()
             for at, end in chunks(lines):
                 keys, owner = file(lines[at:end])
@@ -269,10 +295,16 @@ def _file(file):
     return run
 
 
-def _verify(limit: int):
+def char_distances(a: list[str], b: list[str], edits: int = EDITS, near: int = NEAR_CHARS) -> np.ndarray:
+    """Edits of each pair of lines as a share of how many may be; over 1 where they are not alike."""
+    n = np.minimum(np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b)))
+    return edit_distances(a, b, edits) / np.maximum(0.1, allowed(n, edits, near))
+
+
+def _verify(edits: int, near: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"a": b["a"], "b": b["b"], "d": edit_distances(b["ta"].tolist(), b["tb"].tolist(), limit).astype(np.float64)})
+            yield pd.DataFrame({"a": b["a"], "b": b["b"], "d": char_distances(b["ta"].tolist(), b["tb"].tolist(), edits, near)})
 
     return run
 
@@ -312,24 +344,21 @@ def shares(need: Column, light: bool) -> Column:
     return links.shared_mass("xcells", "cells") + outside >= need
 
 
-def apart(bag: str, most: int) -> Column:
+def apart(bag: str, most: Column) -> Column:
     """Whether at most so many of the one's counts by cell are in excess of the other's, either way."""
     beyond = lambda p, q: F.aggregate(F.zip_with(p, q, lambda a, b: F.greatest(a - b, F.lit(0))), F.lit(0), lambda s, v: s + v) <= most
     return beyond(f"x{bag}", bag) & beyond(bag, f"x{bag}")
 
 
-def _sets(edits: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for leader, own, ta, tb in zip(b["a"].tolist(), b["b"].tolist(), b["ta"], b["tb"], strict=True):
-                g = grams(tb)
-                chars = np.frombuffer(tb.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-                bag = [np.bincount((x % np.uint64(links.CELLS)).astype(np.int64), minlength=links.CELLS) for x in (chars, shingles(chars, 2))]
-                out.append((leader, own, *links.against(g, grams(ta)), *bag))
-            yield pd.DataFrame(out, columns=["leader", "id", "n", "o", "cells", "rest", "lacks", "chars", "twos"])
-
-    return run
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = []
+        for leader, own, ta, tb in zip(b["a"].tolist(), b["b"].tolist(), b["ta"], b["tb"], strict=True):
+            g = grams(tb)
+            chars = np.frombuffer(tb.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            bag = [np.bincount((x % np.uint64(links.CELLS)).astype(np.int64), minlength=links.CELLS) for x in (chars, shingles(chars, 2))]
+            out.append((leader, own, *links.against(g, grams(ta)), *bag))
+        yield pd.DataFrame(out, columns=["leader", "id", "n", "o", "cells", "rest", "lacks", "chars", "twos"])
 
 
 def _word_sets(every: int):
@@ -346,10 +375,10 @@ def _word_sets(every: int):
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, edits: int = EDITS, every: int | None = None) -> DataFrame:
     """A row for each document that loses lines: dk (see doc_key), removed: the lines' places and, for each, where its class's first line is. every: one word in so many may be edited; None compares characters alone."""
-    lines = cut(lines_of(spread(docs.select(id_col, text_col)), id_col, text_col, min_chars), "lines")  # texts are split once
+    lines = cut(lines_of(spread(docs.select(id_col, text_col)), id_col, text_col, min_chars), "lines", "snappy")  # texts are split once
     scratch = [lines]
     near = lines.where(F.length("line") >= near_chars).select("h", "line")
-    members = near.mapInPandas(_file(lambda x: buckets(x, edits, near_chars)), "bucket long, id long")
+    members = near.mapInPandas(_file(lambda x: char_buckets(x, edits, near_chars)), "bucket long, id long")
 
     def with_texts(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs, "line-pairs")
@@ -359,14 +388,15 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         return pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("ta")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("tb")), "b")
 
     def distances(pairs: DataFrame) -> DataFrame:
-        return with_texts(pairs).mapInPandas(_verify(2 * edits), "a long, b long, d double")
+        return with_texts(pairs).mapInPandas(_verify(edits, near_chars), "a long, b long, d double")
 
     def open_pairs(told: DataFrame) -> DataFrame:
         sets = with_texts(told.select(F.col("leader").alias("a"), F.col("id").alias("b")))
-        sets = sets.mapInPandas(_sets(edits), f"{SETS}, chars array<int>, twos array<int>").withColumn("slack", F.lit(float(edits * GRAM)))
-        xn = F.col("xn")
-        alike = apart("chars", edits) & apart("twos", 2 * edits)
-        return links.by_sets(told, sets, lambda light: shares(F.greatest("xn", "n") - edits * GRAM, light) & alike, "line-sets", ("n", "chars", "twos"), (xn - edits, xn + edits))
+        may = lambda n: F.least(F.lit(edits), F.floor((n + GRAM - 1) / near_chars))  # noqa: E731  a line has so many characters more than runs
+        sets = sets.mapInPandas(_sets, f"{SETS}, chars array<int>, twos array<int>").withColumn("slack", (may(F.col("n")) * GRAM).cast("double"))
+        xn, both = F.col("xn"), may(F.least("xn", "n"))
+        alike = apart("chars", both) & apart("twos", 2 * both)
+        return links.by_sets(told, sets, lambda light: shares(F.greatest("xn", "n") - both * GRAM, light) & alike, "line-sets", ("n", "chars", "twos"), (xn - may(xn), xn + may(xn)))
 
     def word_open_pairs(told: DataFrame) -> DataFrame:
         sets = with_texts(told.select(F.col("leader").alias("a"), F.col("id").alias("b")))
@@ -375,9 +405,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         xn = F.col("xn")
         return links.by_sets(told, sets, lambda light: shares(F.greatest("xn", "n") - limit(F.least("xn", "n")), light), "word-sets", ("n",), (xn - limit(xn), xn + limit(xn)))
 
-    labels, _ = links.classes(members, distances, edits, "lines", open_pairs)
+    labels, _ = links.classes(members, distances, 1 + 1e-9, "lines", open_pairs)
     if every:
-        members = near.mapInPandas(_file(lambda x: word_buckets(x, every)), "bucket long, id long")
+        members = near.where(F.length("line") >= WORD_CHARS).mapInPandas(_file(lambda x: word_buckets(x, every)), "bucket long, id long")
         by_words, _ = links.classes(members, lambda pairs: with_texts(pairs).mapInPandas(_verify_words(every), "a long, b long, d double"), 1 + 1e-9, "words", word_open_pairs)
         labels = links.components(labels.union(by_words).select(F.col("id").alias("a"), F.col("label").alias("b")))
     labels = small(cut(labels, "line-labels"), FEW)
@@ -396,8 +426,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repor
     """docs with repeated lines taken out of their texts. report: name for a column with what removals() says, null where nothing went."""
     gone = cut(removals(docs, id_col, text_col, **options), "removals").withColumnsRenamed({"dk": "__dk", "removed": "__removed"})
     joined = docs.withColumn("__key", doc_key(id_col, text_col)).join(gone, F.col("__key") == F.col("__dk"), "left")
-    stays = F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains(F.col("__removed.pos"), i))
-    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(F.array_join(stays, "\n"))
+    lines = F.split(text_col, "\n")
+    # a flag for each line: runs of lines that stay, each with one that goes behind it; linear in the lines
+    ends, begins = F.concat("__removed.pos", F.array(F.size(lines))), F.concat(F.array(F.lit(-1)), "__removed.pos")
+    flags = F.flatten(F.transform(F.zip_with(begins, ends, lambda a, b: b - a - 1), lambda n: F.concat(F.array_repeat(F.lit(True), n), F.array(F.lit(False)))))
+    stays = F.array_join(F.zip_with(lines, flags, lambda x, stay: F.when(stay, x)), "\n")  # leaves nulls out
+    text = F.when(F.col("__removed").isNull(), F.col(text_col)).otherwise(stays)
     out = joined.withColumn(text_col, text)
     if report:
         out = out.withColumn(report, F.col("__removed"))

@@ -18,7 +18,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"), short=True)
+    return decontaminate.matches(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,9 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secret_scan.findings(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    early = F.coalesce(F.xxhash64("doc_id") >= 0, F.lit(True))  # the table as two commits, which hold all of its rows between them
+    found, _ = secret_scan.history([docs.where(early), docs.where(~early)])
     counts = [F.size(r.kind).cast("long").alias(f"n_{r.kind}") for r in secret_scan.RULES]
     spans = secret_scan.listed(secret_scan.RULES)
     return found.select("doc_id", *counts, F.sha2(F.encode(spans, "utf-8"), 256).alias("base_sha256"), spans.alias("spans"))
@@ -125,14 +127,16 @@ def oracle_sql() -> dict[str, str]:
             t as (select s.*, (select sum(off) from a where a.doc_id = s.doc_id and a.item_id = s.item_id and a.shift = s.shift and a.p >= text_word and a.p < text_word + n_words)::bigint as n_replaced from s)
             select doc_id, item_id, text_word, item_word, n_words, n_replaced from t
             qualify row_number() over (partition by doc_id, item_id order by n_words desc, text_word, item_word, n_replaced desc) = 1""",
-        # of lines within two edits, one at least of the first 13, the last 13 and all between is unchanged
+        # of lines within two edits, one at least of the first 13, the last 13 and all between is unchanged; within one, a front or back half is
         "op6_line_dedup": r"""
             with recursive r as (select doc_id, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos from documents),
-            l as (select * from (select doc_id, pos, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as line from r) where length(line) >= 20),
+            l as (select * from (select doc_id, pos, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as line from r) where length(line) >= 1),
             d as (select line, length(line) as n, row_number() over (order by line) as id from (select distinct line from l)),
             p as (select a.id as a, b.id as b from d a, unnest([0, 1, 2]) k(k), d b where b.n = a.n + k and a.n >= 40 and a.id <> b.id
                 and (left(a.line, 13) = left(b.line, 13) or right(a.line, 13) = right(b.line, 13) or contains(b.line, substr(a.line, 14, a.n - 26))) and levenshtein(a.line, b.line) <= 2),
-            e as (select a, b from p union select b, a from p),
+            o as (select a.id as a, b.id as b from d a, unnest([0, 1]) k(k), d b where b.n = a.n + k and a.n between 20 and 39 and a.id <> b.id
+                and (left(a.line, a.n // 2) = left(b.line, a.n // 2) or right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)) and levenshtein(a.line, b.line) <= 1),
+            e as (select a, b from p union select b, a from p union select a, b from o union select b, a from o),
             c as (select id as a, id as b from d union select c.a, e.b from c join e on c.b = e.a),
             k as (select a as id, min(b) as k from c group by 1),
             f as (select doc_id, pos, k, first_value(doc_id) over w as fd, first_value(pos) over w as fp from l join d using (line) join k using (id) window w as (partition by k order by doc_id, pos)),

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -89,13 +90,20 @@ def test_banded_distance(limit):
     assert line_dedup.edit_distances(a, b, limit).tolist() == [min(limit + 1, edit_distance(x, y)) for x, y in zip(a, b, strict=True)]
 
 
-def test_lines_within_two_edits_share_a_bucket():
+def lines_alike(x, y):
+    return x == y or edit_distance(x, y) <= min(2, min(len(x), len(y)) // 20)
+
+
+def test_lines_within_few_edits_share_a_bucket():
     rng = random.Random(3)
-    for _ in range(800):
-        x = "".join(rng.choice("ab") for _ in range(rng.randrange(40, 70)))
+    for _ in range(1200):
+        x = "".join(rng.choice("ab") for _ in range(rng.randrange(18, 70)))
         y = edited(rng, x, rng.randrange(3))
-        if len(y) >= line_dedup.NEAR_CHARS:
-            keys, owner = line_dedup.buckets([x, y])
+        alike = lines_alike(x, y)
+        if x != y:
+            assert (line_dedup.char_distances([x], [y])[0] <= 1) == alike
+        if alike and len(x) >= line_dedup.NEAR_CHARS and len(y) >= line_dedup.NEAR_CHARS:
+            keys, owner = line_dedup.char_buckets([x, y])
             assert set(keys[owner == 0].tolist()) & set(keys[owner == 1].tolist())
 
 
@@ -113,7 +121,7 @@ def brute_lines(rows):
     for i, (_, _, x) in enumerate(found):
         for j in range(i):
             y = found[j][2]
-            if x == y or (min(len(x), len(y)) >= line_dedup.NEAR_CHARS and abs(len(x) - len(y)) <= 2 and edit_distance(x, y) <= 2):
+            if x == y or (abs(len(x) - len(y)) <= 2 and lines_alike(x, y)):
                 a, b = root(i), root(j)
                 top[max(a, b)] = min(a, b)
     return {(d, p) for i, (d, p, _) in enumerate(found) if root(i) != i}
@@ -121,7 +129,7 @@ def brute_lines(rows):
 
 def test_lines_against_brute_force(spark):
     rng = random.Random(8)
-    base = ["".join(rng.choice("abcdefgh ") for _ in range(60)).strip().ljust(60, "x") for _ in range(6)]
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)).strip().ljust(n, "x") for n in (60, 60, 60, 41, 39, 21)]
     rows = []
     for i in range(60):
         lines = [edited(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3, 5])) for _ in range(rng.randrange(4))]
@@ -137,6 +145,13 @@ def test_lines_against_brute_force(spark):
     assert out[0]["label"] == 0 and out[0]["removed"] == 3
 
 
+def test_many_removed_lines_of_one_document(spark):
+    text = "\n".join(f"line {i % 40}" for i in range(30_000))
+    began = time.monotonic()
+    (row,) = line_dedup.dedup(docs(spark, [(1, text)])).collect()
+    assert row["text"] == "\n".join(f"line {i}" for i in range(40)) and time.monotonic() - began < 60
+
+
 def test_lines_of_repeated_rows_nulls_and_empty_tables(spark):
     line = "a line that is long enough to be judged by far, surely"
     out = line_dedup.dedup(docs(spark, [(1, line), (1, line), (None, line), (2, line)])).collect()
@@ -185,7 +200,7 @@ def test_lines_with_edited_words_against_brute_force(spark):
     for i, (_, x) in enumerate(rows):
         for j in range(i):
             y = rows[j][1]
-            if min(len(x), len(y)) >= 20 and (x == y or (min(len(x), len(y)) >= 40 and (words_alike(x, y) or (abs(len(x) - len(y)) <= 2 and edit_distance(x, y) <= 2)))):
+            if x == y or (abs(len(x) - len(y)) <= 2 and lines_alike(x, y)) or (min(len(x), len(y)) >= 40 and words_alike(x, y)):
                 a, b = root(i), root(j)
                 top[max(a, b)] = min(a, b)
     want = {i for i in range(150) if root(i) != i}
