@@ -2,19 +2,19 @@
 
 Pieces are taken in bands, the longest first (BANDS). Gaps are the free ends of open sequences. A superstep:
 
-1. The band's pieces and all gaps that can hold one are sorted by size over range partitions. A gap that can hold several
-   of the band's longest pieces is as many slots.
-2. Each partition is swept once, in order: a piece's successor is the first gap that is not smaller. Counts of what each
-   partition holds are carried on to the next.
-3. Many pieces may claim one gap. Conflicts are resolved by rank: the first keeps it, the next goes on to the gap behind.
-   In order of size, piece number i gets gap number i + max over all k up to i of (successor of k - k), which the sweep
-   follows as a running maximum. What would need a gap beyond the last stays over.
+1. The band's pieces and all gaps that can hold one are sorted by size, the largest first, over range partitions. A gap
+   that can hold several of the band's longest pieces is as many slots.
+2. Each partition is swept once, in order. Gaps are laid on a stack; a piece's successor, the smallest gap that isn't
+   smaller, is on top when the piece comes by. Several pieces may have one successor; such conflicts are resolved by rank:
+   the longer piece has taken it, and the next finds the gap below.
+3. What the sweeps leave over meets across partitions in the same way, in whole runs: a partition's pieces take from the
+   gaps that those before it have left, the last first. Counts of each partition say which run goes with which.
 4. Pieces meet their gaps by number, gaps shrink by what they took, and the next superstep begins.
 
 After a band's supersteps sequences are opened for what stays over: for pieces of over half the capacity one each (with
 no superstep, no gap can hold them), for pieces that a sequence holds few of, so many of neighbouring ranks each, for
 small ones by windows of their running length. The number of supersteps depends on BANDS alone. Every table of the loop
-has a row for each piece or gap and lies in the shared folder; the driver sees four numbers of each partition.
+has a row for each piece or gap and lies in the shared folder; the driver sees a few numbers of each partition.
 
 Defined results: a null or empty text is one piece holding only the end token; a text of more than the capacity is cut
 into pieces of the capacity, the last may be shorter; repeated rows and ids are pieces of their own; an empty table
@@ -169,47 +169,77 @@ def bands(capacity: int) -> list[tuple[int, int, int]]:
     return [(low, high, n) for (_, n), high, low in zip(BANDS, ends, ends[1:], strict=False) if low < high]
 
 
+SWEPT = "part int, kind int, id long, size long, seq long, at long, volume long"
+MATCHED, PIECE, GAP = 0, 1, 2
+
+
 def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Over a partition's rows (size, kind, id) in order, kind 1 for gaps: at, the number of such rows before; for pieces push, the running maximum of successor less rank, and volume, the tokens before."""
-    part, pieces, gaps, volume, most = TaskContext.get().partitionId(), 0, 0, 0, np.iinfo(np.int64).min
-    for b in batches:
-        gap, size = b["kind"].to_numpy() == 1, b["size"].to_numpy()
-        own = np.where(gap, 0, size)
-        after_pieces, after_gaps, after_volume = pieces + np.cumsum(~gap), gaps + np.cumsum(gap), volume + np.cumsum(own)
-        push = np.maximum.accumulate(np.where(gap, most, np.maximum(after_gaps - (after_pieces - 1), most)))
-        yield pd.DataFrame({"part": part, "kind": b["kind"], "id": b["id"], "size": size, "at": np.where(gap, after_gaps, after_pieces) - 1, "push": push, "volume": after_volume - own})
-        if len(b):
-            pieces, gaps, volume, most = int(after_pieces[-1]), int(after_gaps[-1]), int(after_volume[-1]), int(push[-1])
+    """Over a partition's rows (size, piece, id), the largest first: pieces with the gap they take, pieces left over, then gaps left over. at numbers what is left over, volume is the tokens of pieces left over before."""
+    part, stack, left, volume = TaskContext.get().partitionId(), [], 0, 0
 
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["kind", "id", "size", "seq", "at", "volume"]).assign(part=part)[["part", "kind", "id", "size", "seq", "at", "volume"]]
 
-def superstep(pieces: DataFrame, gaps: DataFrame, low: int, high: int) -> tuple[DataFrame, DataFrame, int, int, DataFrame]:
-    """Matches pieces (rid, length) with gaps (seq, free): matched (rid, length, seq), those over (rid, length, nth, volume), their number, the number of slots, and the swept table, which can be released once these are used."""
+    for b in batches:
+        out = []
+        for size, piece, own in zip(b["size"].tolist(), b["piece"].tolist(), b["id"].tolist(), strict=True):
+            if not piece:
+                stack.append(own)
+            elif stack:
+                out.append((MATCHED, own, size, stack.pop(), 0, 0))
+            else:
+                out.append((PIECE, own, size, 0, left, volume))
+                left, volume = left + 1, volume + size
+        yield frame(out)
+    for at in range(0, len(stack), 100_000):
+        yield frame([(GAP, 0, 0, own, at + k, 0) for k, own in enumerate(stack[at : at + 100_000])])
+
+
+def across(told: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, int, int]], dict[int, int]]:
+    """For partitions (part, pieces left, gaps left) in order: runs (part, first piece, beyond the last, gaps' part, beyond the last gap), pieces going up and gaps down; and how many pieces of each take a gap."""
+    stack, runs, took = [], [], {}
+    for part, pieces, gaps in told:
+        at = 0
+        while at < pieces and stack:
+            where, low, high = stack.pop()
+            n = min(pieces - at, high - low)
+            runs.append((part, at, at + n, where, high))
+            if high - n > low:
+                stack.append((where, low, high - n))
+            at += n
+        took[part] = at
+        if gaps:
+            stack.append((part, 0, gaps))
+    return runs, took
+
+
+def superstep(pieces: DataFrame, gaps: DataFrame, low: int, high: int) -> tuple[DataFrame, DataFrame, int, DataFrame]:
+    """Matches pieces (rid, length) with gaps (seq, free): matched (rid, length, seq), those over (rid, length, part, nth, volume), their number, and the swept table, which can be released once these are used."""
     spark = pieces.sparkSession
     times = F.greatest(F.lit(1), F.floor(F.col("free") / high)).cast("int")
     slots = F.concat(F.array(F.col("free") - (times - 1) * high), F.array_repeat(F.lit(high).cast("long"), times - 1))
-    both = pieces.select(F.col("length").cast("long").alias("size"), F.lit(0).alias("kind"), F.col("rid").alias("id")).union(
-        gaps.where(F.col("free") > low).select(F.explode(slots).alias("size"), F.lit(1).alias("kind"), F.col("seq").alias("id"))
+    both = pieces.select(F.col("length").cast("long").alias("size"), F.lit(1).alias("piece"), F.col("rid").alias("id")).union(
+        gaps.where(F.col("free") > low).select(F.explode(slots).alias("size"), F.lit(0).alias("piece"), F.col("seq").alias("id"))
     )
-    order = ["size", "kind", "id"]
-    swept = both.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_sweep, "part int, kind int, id long, size long, at long, push long, volume long")
-    swept = cut(swept, "swept")
-    piece = F.col("kind") == 0
-    told = swept.groupBy("part").agg(F.count(F.when(piece, 1)).alias("p"), F.count(F.when(~piece, 1)).alias("g"), F.sum(F.when(piece, F.col("size"))).alias("v"), F.max(F.when(piece, F.col("push"))).alias("m"))
-    offsets, p, g, v, most = [], 0, 0, 0, -(1 << 62)
-    for r in sorted(told.collect()):  # a row for each partition
-        offsets.append((r["part"], p, g, v, most))
-        if r["p"]:
-            most = max(most, g - p + r["m"])
-        p, g, v = p + r["p"], g + r["g"], v + (r["v"] or 0)
-    over = max(0, min(p, p + most - g)) if p else 0
-    before = F.broadcast(spark.createDataFrame(offsets, "part int, p long, g long, v long, most long"))  # a row for each partition
-    placed = swept.join(before, "part")
-    goal = F.col("p") + F.col("at") + F.greatest("most", F.col("g") - F.col("p") + F.col("push"))
-    claims = placed.where(piece).select(F.col("id").alias("rid"), F.col("size").alias("length"), goal.alias("goal"), (F.col("v") + F.col("volume")).alias("volume"))
-    numbered = placed.where(~piece).select(F.col("id").alias("seq"), (F.col("g") + F.col("at")).alias("goal"))
-    matched = claims.where(F.col("goal") < g).join(numbered, "goal").select("rid", "length", "seq")
-    left = claims.where(F.col("goal") >= g).select("rid", "length", (F.col("goal") - g).alias("nth"), "volume")
-    return matched, left, over, g, swept
+    order = [F.desc("size"), F.col("piece"), F.col("id")]  # of equals the gap first
+    swept = cut(both.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_sweep, SWEPT), "swept")
+    count = lambda k: F.count(F.when(F.col("kind") == k, 1))
+    told = sorted(tuple(r) for r in swept.groupBy("part").agg(count(PIECE).alias("p"), count(GAP).alias("g")).collect())  # a row for each partition
+    runs, took = across(told)
+    over, offsets = 0, []
+    for part, n, _ in told:
+        offsets.append((part, took[part], over, [r[1:] for r in runs if r[0] == part]))
+        over += n - took[part]
+    plan = F.broadcast(spark.createDataFrame(offsets, "part int, took long, base long, runs array<struct<first: long, beyond: long, where: int, top: long>>"))
+    waiting = swept.where(F.col("kind") == PIECE).join(plan, "part")
+    own = F.try_element_at(F.filter("runs", lambda r: (r["first"] <= F.col("at")) & (F.col("at") < r["beyond"])), F.lit(1))
+    claims = waiting.where("at < took").select(F.col("id").alias("rid"), F.col("size").alias("length"), own.alias("r"), "at")
+    claims = claims.select("rid", "length", F.col("r.where").alias("part"), (F.col("r.top") - 1 - (F.col("at") - F.col("r.first"))).alias("at"))
+    free = swept.where(F.col("kind") == GAP).select("part", "at", "seq")
+    near = swept.where(F.col("kind") == MATCHED).select(F.col("id").alias("rid"), F.col("size").alias("length"), "seq")
+    matched = near.unionByName(claims.join(free, ["part", "at"]).select("rid", "length", "seq"))
+    left = waiting.where("at >= took").select(F.col("id").alias("rid"), F.col("size").alias("length"), "part", (F.col("base") + F.col("at") - F.col("took")).alias("nth"), "volume")
+    return matched, left, over, swept
 
 
 def opened(left: DataFrame, n: int, first: int, high: int, capacity: int) -> tuple[DataFrame, int]:
@@ -217,9 +247,12 @@ def opened(left: DataFrame, n: int, first: int, high: int, capacity: int) -> tup
     each = capacity // high
     if each <= FEW:
         return left.select("rid", "length", (-first - 1 - F.floor(F.col("nth") / each)).alias("seq")), -(-n // each)
-    window = capacity - high + 1  # what begins in a window ends within the capacity
-    low, top = left.agg(F.min("volume"), F.max("volume")).first()
-    return left.select("rid", "length", (-first - 1 - F.floor((F.col("volume") - low) / window)).alias("seq")), (top - low) // window + 1
+    window, before, bases = capacity - high + 1, 0, []  # what begins in a window ends within the capacity
+    for r in sorted(left.groupBy("part").agg(F.min("volume").alias("low"), F.max(F.col("volume") + F.col("length")).alias("top")).collect()):  # a row for each partition
+        bases.append((r["part"], before - r["low"]))
+        before += r["top"] - r["low"]
+    placed = left.join(F.broadcast(left.sparkSession.createDataFrame(bases, "part int, shift long")), "part")
+    return placed.select("rid", "length", (-first - 1 - F.floor((F.col("volume") + F.col("shift")) / window)).alias("seq")), -(-before // window)
 
 
 def sequences(sizes: DataFrame, capacity: int) -> DataFrame:
@@ -236,14 +269,14 @@ def sequences(sizes: DataFrame, capacity: int) -> DataFrame:
             continue
         left, old = sizes.where((F.col("length") > low) & (F.col("length") <= high)).select("rid", "length"), None
         for t in range(max(1, tries)):
-            matched, left, over, slots, swept = superstep(left, gaps, low, high)
-            done = t + 1 >= tries or not slots
+            matched, left, over, swept = superstep(left, gaps, low, high)
+            done = t + 1 >= tries
             if over and done:
                 new, n = opened(left, over, first, high, capacity)
                 matched, first = matched.unionByName(new), first + n
             now = cut(matched.select("rid", "length", "seq"), "placed")
-            used = now.groupBy("seq").agg(F.sum("length").alias("used"))
-            after = gaps.join(used, "seq", "full").select("seq", (F.coalesce("free", F.lit(capacity).cast("long")) - F.coalesce("used", F.lit(0).cast("long"))).alias("free"))
+            both = gaps.select("seq", "free", F.lit(0).cast("long").alias("used")).union(now.select("seq", F.lit(None).cast("long"), "length"))
+            after = both.groupBy("seq").agg((F.coalesce(F.max("free"), F.lit(capacity).cast("long")) - F.sum("used")).alias("free"))  # new ones were empty
             after = cut(after.where("free > 0"), "gaps")
             release(gaps, *([old] if old else []))
             placed.append(now)

@@ -198,7 +198,7 @@ def test_packing_opens_about_as_few_sequences_as_best_fit_decreasing(spark, kind
     for r in seqs:
         used[r["seq"]] += r["length"]
     assert max(used.values()) <= capacity
-    assert len(used) <= 1.02 * best_fit_decreasing(lengths, capacity) + 2
+    assert len(used) <= 1.003 * best_fit_decreasing(lengths, capacity) + 1
 
 
 def test_bands_hold_every_length_once():
@@ -207,20 +207,25 @@ def test_bands_hold_every_length_once():
         assert sorted(lengths) == list(range(1, capacity + 1))
 
 
+def test_pieces_take_the_gaps_of_partitions_before():
+    runs, took = packing.across([(0, 2, 5), (1, 3, 1), (2, 4, 0), (3, 1, 2)])
+    assert runs == [(1, 0, 3, 0, 5), (2, 0, 1, 1, 1), (2, 1, 3, 0, 2)] and took == {0: 0, 1: 3, 2: 3, 3: 0}
+
+
 def test_a_superstep_gives_each_piece_the_first_gap_that_is_left(spark):
     rng = random.Random(8)
     for _ in range(4):
         pieces = [(i, rng.randrange(20, 40)) for i in range(60)]
         gaps = [(i, rng.randrange(1, 45)) for i in range(50)]
-        matched, left, over, slots, _ = packing.superstep(spark.createDataFrame(pieces, "rid long, length int"), spark.createDataFrame(gaps, "seq long, free long"), 19, 40)
+        matched, left, over, _ = packing.superstep(spark.createDataFrame(pieces, "rid long, length int"), spark.createDataFrame(gaps, "seq long, free long"), 19, 40)
         room, want = sorted((g, s) for s, g in gaps if g > 19), []
-        for n in sorted(n for _, n in pieces):
+        for n in sorted((n for _, n in pieces), reverse=True):
             at = bisect.bisect_left(room, (n, -1))
             if at < len(room):
                 want.append((n, room.pop(at)[0]))
         free = dict(gaps)
         assert sorted((r["length"], free[r["seq"]]) for r in matched.collect()) == sorted(want)
-        assert over == len(pieces) - len(want) and sorted(r["nth"] for r in left.collect()) == list(range(over)) and slots == sum(g > 19 for _, g in gaps)
+        assert over == len(pieces) - len(want) and sorted(r["nth"] for r in left.collect()) == list(range(over))
 
 
 # --- sharding -------------------------------------------------------------------------------------
