@@ -44,7 +44,7 @@ from .tokens import chunks, mix, shingles, words
 
 SIZE, THRESHOLD, BANDS, ROWS = 5, 0.8, 24, 4
 #: Pairs of one leader that are verified together; a leader with more is dealt to several tasks.
-PAIRS = 2000
+PAIRS = 256
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
