@@ -112,7 +112,7 @@ def oracle_sql() -> dict[str, str]:
             g as (select doc_id, count(*) filter (k = 0) as n_assign, count(*) filter (k = 1) as n_access, count(*) filter (k = 2) as n_hex, string_agg(kind || ':' || a || ':' || (a + size), ',' order by a, k) as spans
                 from s where i > 1 and size - case when whole then 0 else head end >= least group by 1)
             select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(spans, '')) as base_sha256, coalesce(spans, '') as spans from d left join g using (doc_id)""",
-        # all items of the tables have 13 words and more; two replaced words of 13 leave four in a row
+        # two replaced words of 13 leave four in a row; a shorter item that is there has a word in its place
         "op1_decontaminate": r"""
             with dw as (select doc_id, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as p from (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') as ws from documents)),
             iw as (select item_id, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as q from (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') as ws from benchmark) where len(ws) >= 13),
@@ -124,8 +124,13 @@ def oracle_sql() -> dict[str, str]:
             f as (select *, p - lag(p) over (partition by doc_id, item_id, shift order by p) > 13 as gap from w where n = 13 and bad <= 2),
             g as (select *, sum(coalesce(gap, false)::int) over (partition by doc_id, item_id, shift order by p) as k from f),
             s as (select doc_id, item_id, shift, k, min(p) as text_word, min(q) as item_word, max(p) + 13 - min(p) as n_words from g group by all),
-            t as (select s.*, (select sum(off) from a where a.doc_id = s.doc_id and a.item_id = s.item_id and a.shift = s.shift and a.p >= text_word and a.p < text_word + n_words)::bigint as n_replaced from s)
-            select doc_id, item_id, text_word, item_word, n_words, n_replaced from t
+            t as (select s.*, (select sum(off) from a where a.doc_id = s.doc_id and a.item_id = s.item_id and a.shift = s.shift and a.p >= text_word and a.p < text_word + n_words)::bigint as n_replaced from s),
+            sw as (select item_id, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as q, len(ws) as n from (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}]+') as ws from benchmark) where len(ws) < 13),
+            sc as (select distinct doc_id, item_id, n, p - q as shift from dw join sw using (w)),
+            sa as (select c.doc_id, c.item_id, c.n, c.shift, count(*) as m, sum((dw.w <> sw.w)::int) as off from sc c join sw on sw.item_id = c.item_id join dw on dw.doc_id = c.doc_id and dw.p = sw.q + c.shift group by all),
+            u as (select doc_id, item_id, text_word, item_word, n_words, n_replaced from t
+                union all select doc_id, item_id, shift, 0, n, off::bigint from sa where m = n and off <= case when n >= 5 then 1 else 0 end)
+            select * from u
             qualify row_number() over (partition by doc_id, item_id order by n_words desc, text_word, item_word, n_replaced desc) = 1""",
         # of lines within two edits, one at least of the first 13, the last 13 and all between is unchanged; within one, a front or back half is
         "op6_line_dedup": r"""
