@@ -26,7 +26,7 @@ def exact(response: Column, expected: Column) -> Column:
     """5 if equal but for white space and backticks around, 3 if contained whatever the case and white space, else 0."""
     clean = t.strip(F.regexp_replace(t.strip(response), r"\A`+|`+\z", ""))
     wanted = t.strip(expected)
-    spaced = lambda c: t.strip(F.regexp_replace(c, r"\s+", " "))
+    spaced = lambda c: t.strip(F.regexp_replace(c, f"{t.SPACE}+", " "))
     return F.when(clean == wanted, FULL).when(t.holds(clean, wanted) | t.holds(spaced(clean), spaced(wanted)), PART).otherwise(NONE)
 
 
@@ -37,10 +37,14 @@ def keywords(response: Column, words: Column) -> Column:
     return F.when(n > 0, F.bround(F.lit(FULL) * found / n, 1)).otherwise(NONE)
 
 
+#: Fixed value: how a fenced block of code is found.
+FENCED = rf"(?s)```(?:python)?{t.SPACE}*\n(.*?)```"
+
+
 def code(response: Column) -> Column:
     """The first fenced block; else all from the first line that begins a function or class; else the whole text."""
-    fenced = F.regexp_extract(response, r"(?s)```(?:python)?\s*\n(.*?)```", 1)
-    has_fence = response.rlike(r"(?s)```(?:python)?\s*\n.*?```")
+    fenced = F.regexp_extract(response, FENCED, 1)
+    has_fence = response.rlike(FENCED)
     rows = F.split(response, "\n")
     starts = F.filter(F.transform(rows, lambda x, i: F.when(t.strip(x).rlike(r"\A(def |class )"), i)), lambda i: i.isNotNull())
     first = F.try_element_at(starts, F.lit(1))
@@ -86,16 +90,58 @@ def constraints(response: Column, c: Column) -> Column:
     return F.greatest(F.lit(NONE), F.lit(FULL) - total)
 
 
-def python_text(c: Column) -> Column:
-    """How JSON's own words read as Python values."""
-    return F.when(c == "true", "True").when(c == "false", "False").otherwise(F.coalesce(c, F.lit("None")))
+#: Tokens of JSON text: strings, numbers, words and marks.
+_JSON_TOKEN = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|[a-z]+|[\[\]{},:]'
+
+
+def _python_number(c: Column) -> Column:
+    """A JSON number as Python prints it: whole ones as they are, others as the shortest float, without an exponent from 1e-4 up to 1e16."""
+    d = c.try_cast("double")
+    plain = F.regexp_replace(d.try_cast("decimal(38,20)").cast("string"), r"0+$", "")
+    plain = F.when(F.endswith(plain, F.lit(".")), F.concat(plain, F.lit("0"))).otherwise(plain)
+    short = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(d.cast("string")), r"\.0e", "e"), r"e(\d)", "e+$1"), r"(?<=e[+-])(?=\d$)", "0")
+    fits = ((F.abs(d) >= 1e-4) & (F.abs(d) < 1e16)) | (d == 0)
+    plain = F.when((d == 0) & F.startswith(c, F.lit("-")), "-0.0").otherwise(plain)
+    return F.when(c == "-0", "0").when(c.rlike(r"^-?[0-9]+$"), c).when(fits, plain).otherwise(short)
+
+
+def _python_string(token: Column) -> Column:
+    """A JSON string as Python prints it inside a list: in single quotes, in double ones if only that saves escapes."""
+    raw = F.get_json_object(F.concat(F.lit("["), token, F.lit("]")), "$[0]")
+    for plain, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        raw = F.replace(raw, F.lit(plain), F.lit(shown))
+    double = F.contains(raw, F.lit("'")) & ~F.contains(raw, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), raw, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(raw, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def _python_token(x: Column) -> Column:
+    word = F.when(x == "true", "True").when(x == "false", "False").when(x == "null", "None").when(x == ",", ", ").when(x == ":", ": ")
+    return word.when(F.startswith(x, F.lit('"')), _python_string(x)).when(x.rlike("^-?[0-9]"), _python_number(x)).otherwise(x)
+
+
+def python_text(json: Column) -> Column:
+    """JSON text of a value as Python's str() of that value; null is None."""
+    string = F.get_json_object(F.concat(F.lit("["), json, F.lit("]")), "$[0]")
+    printed = F.array_join(F.transform(F.regexp_extract_all(json, F.lit(_JSON_TOKEN), F.lit(0)), _python_token), "")
+    return F.when(json.isNull(), "None").when(F.startswith(json, F.lit('"')), string).otherwise(printed)
+
+
+def json_fields(text: Column) -> Column:
+    """The fields of a JSON object as a map from name to the JSON text of the value; null for what is no object."""
+    kinds, raw = F.from_json(text, "map<string, variant>"), F.from_json(text, "map<string, string>")  # numbers as written are in raw alone
+    own = lambda k, v: F.when(F.schema_of_variant(v) == "STRING", F.to_json(v)).otherwise(F.try_element_at(raw, k))
+    return F.when(F.try_parse_json(text).isNotNull(), F.transform_values(kinds, own))
 
 
 def tool_trace(trace: Column, tool: Column, args: Column, response: Column, words: Column) -> Column:
-    """Half for a call of the expected tool, half for the share of expected arguments in the first such call; averaged with the keyword score where there are keywords."""
+    """Half for a call of the expected tool, half for the share of expected arguments in the first such call; averaged with the keyword score where there are keywords.
+
+    args: a map from name to the JSON text of the expected value. Values are compared as Python prints them, so that 84.0
+    and 84 differ, as do true and "true"; a missing argument is None.
+    """
     calls = F.filter(F.flatten(trace), lambda x: x["function_name"] == tool)
     first = F.try_element_at(calls, F.lit(1))
-    actual = F.from_json(first["function_args"], "map<string, string>")
+    actual = json_fields(first["function_args"])
     pairs = F.map_entries(args)
     hits = F.size(F.filter(pairs, lambda e: python_text(F.try_element_at(actual, e["key"])) == python_text(e["value"])))
     share = F.when(actual.isNotNull() & (F.size(pairs) > 0), F.lit(2.5) * hits / F.size(pairs)).otherwise(NONE)

@@ -6,15 +6,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CHARS_PER_TOKEN = 4
+#: The characters that Python's strip() and split() take for white space, for use inside a class of a pattern.
+SPACES = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE, NO_SPACE = f"[{SPACES}]", f"[^{SPACES}]"
 
 
 def strip(c: Column | str) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, r"\A\s+|\s+\z", "")
+    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
 
 
 def word_count(c: Column | str) -> Column:
-    return F.regexp_count(c, F.lit(r"\S+"))
+    return F.regexp_count(c, F.lit(f"{NO_SPACE}+"))
 
 
 def lines(c: Column | str) -> Column:

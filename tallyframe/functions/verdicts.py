@@ -9,9 +9,13 @@ from ..sources import schemas
 from . import text as t
 
 
+#: The headings and the closing lines of the prompt, whose hash is an output.
+HEADS = ("## Task\n", "\n\n## Candidate A\n", "\n\n## Candidate B\n")
+CLOSING = "\n\nEvaluate both candidates against the task. Score each using the rubric.\nRespond with ONLY the JSON object."
+
+
 def prompt(task: Column, a: Column, b: Column) -> Column:
-    parts = [F.lit("## Task\n"), task, F.lit("\n\n## Candidate A\n"), a, F.lit("\n\n## Candidate B\n"), b]
-    return F.concat(*parts, F.lit("\n\nEvaluate both candidates against the task. Score each using the rubric.\nRespond with ONLY the JSON object."))
+    return F.concat(*(x for head, part in zip(HEADS, (task, a, b), strict=True) for x in (F.lit(head), part)), F.lit(CLOSING))
 
 
 def swapped(prompt_id: Column) -> Column:

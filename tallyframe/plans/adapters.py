@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import NO_SPACE, SPACE
 from ..sources import readers
 
 
@@ -51,6 +52,19 @@ def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRADED = "(select source as model_label, lang as category, quality = 1 as valid, 5.0 * (1 - toxic) as score from documents join labels using (doc_id))"
 
 
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as transcripts with their times: bench_run_id, run_id, model_label, response, reasoning, gen_s, total_s."""
+    c = table(spark, sf_dir, "conversations")
+    gen = (F.col("turn") % 4) * F.lit(0.5)
+    return c.select(
+        F.col("conv_id").cast("string").alias("bench_run_id"), F.col("turn").cast("string").alias("run_id"), F.col("role").alias("model_label"), F.col("text").alias("response"),
+        F.lit(None).cast("string").alias("reasoning"), gen.alias("gen_s"), (gen + F.col("conv_id") % 7 * F.lit(0.25)).alias("total_s"),
+    )
+
+
+TURNS = "(select conv_id::varchar as bench_run_id, turn::varchar as run_id, role as model_label, text as response, (turn % 4) * 0.5::double as gen_s, ((turn % 4) * 0.5 + conv_id % 7 * 0.25)::double as total_s from conversations)"
+
+
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as a large run log. Its keys aren't unique, so all its columns order it."""
     return table(spark, sf_dir, "lineitem").select(
@@ -78,11 +92,11 @@ def values(rows: Sequence[Sequence], *columns: str) -> str:
 
 
 def strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
 def words(x: str) -> str:
-    return rf"len(regexp_extract_all({x}, '\S+'))"
+    return f"len(regexp_extract_all({x}, '{NO_SPACE}+'))"
 
 
 def lines(x: str) -> str:

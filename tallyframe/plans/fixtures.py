@@ -9,15 +9,20 @@ CODE = [
     (5, "print('no definition')", "assert False"),
     (6, "while True: pass", "assert True"),
 ]
+#: Of each row of CODE: whether the tests run through (5), fail (1) or don't end in time (0).
+CODE_SCORES = [5.0, 5.0, 5.0, 5.0, 1.0, 0.0]
 BULLETS = [
     (1, "- one two\n* three four\n• five six"),
     (2, "- one\n- two three four\nplain"),
     (3, "no bullets here"),
     (4, "  - padded bullet\n\n-tight bullet\n"),
     (5, ""),
+    (6, "\u00a0- non\u00a0breaking\n\u2028* thin\u2009space\n•\u3000wide"),
 ]
-TEXTS = [(1, "  answer ", "thought"), (2, "   ", " only reasoning \n"), (3, None, None), (4, "", ""), (5, None, "r")]
-EXACT = [(1, "42", "42"), (2, "The answer is 42.", "42"), (3, "41", "42"), (4, "  42\n", "42"), (5, "`42`", "42"), (6, "Yes", "yes"), (7, "a  b", "a b"), (8, "A,B,D", "A, B, D"), (9, "x", "")]
+TEXTS = [(1, "  answer ", "thought"), (2, "   ", " only reasoning \n"), (3, None, None), (4, "", ""), (5, None, "r"), (6, "\u00a0\u2003", "behind blanks"), (7, "\x1c\x85 kept\u200b ", "")]
+EXACT = [(1, "42", "42"), (2, "It comes to 42, I think", "42"), (3, "41", "42"), (4, "  42\n", "42"), (5, "`42`", "42"), (6, "Yes", "yes"), (7, "a  b", "a b"), (8, "A,B,D", "A, B, D"), (9, "x", ""),
+    (10, "42\u00a0", "42"), (11, "\u2003 `42`\x1f", "42"), (12, "a\u3000b c", "a b"), (13, "a\x85b", "A B"), (14, "4\u200b2", "42"),
+]
 #: run, seq, arrival, line
 LINES = [
     ("r1", 1, 1, 0.5, 'data: {"choices": [{"delta": {"reasoning": "hm "}}]}'),
@@ -65,6 +70,22 @@ PYTEST = [
     ("m1", "20260301_000000", "stdout.txt", 'ok {"case_id": "q1", "metric": "relevancy", "score": 0.75} and {"case_id": "q2", "metric": "task", "score": "bad"}\n{"case_id": "q3", "x": {"y": 1}}{"case_id": broken}'),
     ("m2", "20260301_000000", "stdout.txt", '{"metric": "relevancy", "case_id": "q1"}'),
 ]
+#: The same trees with a last run that has no results, and with a file below the run's own folder.
+LM_TREE = [*LM_EVAL, ("m3", "20260101_000000", "results.json", '{"results": {"ifeval": {"acc": 0.9}}}'), ("m3", "20260401_000000", "notes.txt", "stopped")]
+BIG_TREE = [*BIGCODE, ("m1", "20260201_000000", "deep/metrics.json", '{"humaneval": {"pass@1": 0.99}}')]
+#: id, arguments of a call, expected arguments, score
+ARGUMENTS = [
+    (1, '{"a": [1, 2]}', '{"a": "[1, 2]"}', 5.0), (2, '{"a": "true"}', '{"a": true}', 2.5), (3, '{"a": true}', '{"a": true}', 5.0), (4, '{"a": 84.0}', '{"a": 84}', 2.5),
+    (5, '{"a": 84.0}', '{"a": 84.0}', 5.0), (6, '{"a": "84"}', '{"a": 84}', 5.0), (7, "{}", '{"a": null}', 5.0), (8, '{"a": {"b": ["x", null, false]}}', '{"a": "{\'b\': [\'x\', None, False]}"}', 5.0),
+    (9, '{"a": 1e5}', '{"a": 100000.0}', 5.0), (10, '{"a": "True"}', '{"a": true}', 5.0), (11, '{"a": 1.50}', '{"a": 1.5}', 5.0), (12, '{"a": 1, "b": "x y"}', '{"a": 1, "b": "x  y"}', 3.75),
+    (13, '{"a": ["it\'s", "b\\\\c"]}', '{"a": ["it\'s", "b\\\\c"]}', 5.0), (14, '{"a": [1,2]}', '{"a": [1, 2]}', 5.0), (15, '{"a": 1e-7}', '{"a": 0.0000001}', 5.0), (16, "[1]", '{"a": 1}', 2.5),
+]
+#: run, response in one piece
+RESPONSES = [
+    ("r1", '{"choices": [{"message": {"content": " hi \u00a0"}, "finish_reason": "stop"}], "timings": {"prompt_n": 31, "prompt_per_second": 99.8765, "predicted_n": 512, "predicted_per_second": 20.1234}}'),
+    ("r2", '{"choices": [{"message": {"content": null, "reasoning_content": "hm"}, "finish_reason": "length"}]}'),
+    ("r3", '{"choices": []}'), ("r4", "{broken"),
+]
 MODELS = [("small", "org/small-8b", "q4"), ("large", "org/large-70b", "q8")]
 SERVED = [("org/small-8b",), ("org/other",)]
 CASES = [("c1", "math", 0.0, 256, "exact"), ("c2", "creative", None, None, "judge"), ("c3", "tool_use", 0.2, None, "tool_trace_exact")]

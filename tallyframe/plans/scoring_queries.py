@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as s
 from ..functions import text as t
+from ..operators import runs
 from ..sources import schemas
 from ..streaming import counts, sse
 from . import adapters as a
@@ -45,7 +46,7 @@ def _count(text: str, words, want: bool = True) -> str:
 
 _CLEAN = a.strip(rf"regexp_replace({a.strip('response')}, '^`+|`+$', '', 'g')")
 _EXACT = f"""case when clean = wanted then 5.0 when contains(lower(clean), lower(wanted))
-    or contains(lower({a.strip("regexp_replace(clean, '\\s+', ' ', 'g')")}), lower({a.strip("regexp_replace(wanted, '\\s+', ' ', 'g')")})) then 3.0 else 0.0 end::double"""
+    or contains(lower({a.strip(f"regexp_replace(clean, '{t.SPACE}+', ' ', 'g')")}), lower({a.strip(f"regexp_replace(wanted, '{t.SPACE}+', ' ', 'g')")})) then 3.0 else 0.0 end::double"""
 
 
 @query(
@@ -75,16 +76,24 @@ def contain_join(spark, sf_dir):
     return containment(_response(spark, sf_dir), a.table(spark, sf_dir, "benchmark"))
 
 
-def containment(responses: DataFrame, items: DataFrame, block: int = 2000) -> DataFrame:
-    """(id, item_id) for every item text that a response holds, whatever the case. Items are broadcast in blocks of a bounded number; each response is lowered once."""
-    lowered = responses.select("id", F.lower("response").alias("body"))
-    n = -(-items.count() // block) or 1
-    out = None
-    for k in range(n):
-        own = F.broadcast(items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).select("item_id", F.lower("text").alias("part")))
-        found = lowered.join(own, F.contains("body", "part")).select("id", "item_id")
-        out = found if out is None else out.unionByName(found)
-    return out
+def containment(responses: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, item_id) for every item text that a response holds, whatever the case.
+
+    Of an item's words all but the first and the last stand in such a response as they are, between blanks. The longest
+    of them is joined with the words of the responses, and only pairs that it brings together are looked at. Items
+    without an inner word meet every response.
+    """
+    bodies = responses.select("id", F.lower("response").alias("body"))
+    cut_up = F.split("part", " ")
+    parts = items.select("item_id", F.lower("text").alias("part")).where("part is not null").withColumn("inner", F.slice(cut_up, 2, F.greatest(F.size(cut_up) - 2, F.lit(0))))
+    longest = F.array_max(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    parts = parts.select("item_id", "part", longest["w"].alias("word"))
+    told = F.coalesce(F.length("word"), F.lit(0)) > 0
+    seen = bodies.select("id", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
+    near = seen.join(parts.where(told).select("item_id", "word"), "word").select("id", "item_id").distinct()
+    found = near.join(parts.select("item_id", "part"), "item_id").join(bodies, "id").where(F.contains("body", "part"))
+    rest = bodies.join(parts.where(~told), F.contains("body", "part"))
+    return found.select("id", "item_id").unionByName(rest.select("id", "item_id"))
 
 
 def _penalty(name: str, given: Callable[[], Column], sql: str):
@@ -113,7 +122,8 @@ def _bullet_rows(spark: SparkSession) -> DataFrame:
 
 
 _V_BULLETS = a.values(f.BULLETS, "id", "response")
-_WRONG = rf"len(list_filter({a.bullets('response')}, lambda b: len(regexp_extract_all(regexp_replace({a.strip('b')}, '^[-*• ]+', ''), '\S+')) <> 2))"
+_BULLET = f"regexp_replace({a.strip('b')}, '^[-*• ]+', '')"
+_WRONG = f"len(list_filter({a.bullets('response')}, lambda b: {a.words(_BULLET)} <> 2))"
 
 
 @query("constraint_bullets", f"select id::bigint as id, case when len({a.bullets('response')}) = 3 then 0 else 1 end::double as penalty from {_V_BULLETS}")
@@ -150,31 +160,38 @@ def validity(spark, sf_dir):
     return a.responses(spark, sf_dir).select("id", s.is_invalid(answer, F.col("finish_reason"), F.col("category")).alias("invalid"))
 
 
+_WAYS = ["exact", "judge_keyword", "constraint_check", "judge", None, "judge_constraint", "unit_tests", "tool_trace_exact"]
+
+
 @query(
     "score_router",
-    f"""with r as (select *, {a.strip('response')} as answer, ['exact', 'judge_keyword', 'constraint_check', 'judge', null, 'judge_constraint'][id % 6 + 1] as way from {a.RESPONSES})
+    f"""with r as (select *, {a.strip('response')} as answer, {a.literal(_WAYS)}[id % 8 + 1] as way from {a.RESPONSES}),
+    k as (select *, round_even(5.0::double * {_count('answer', KEYWORDS)} / {len(KEYWORDS)}, 1) as words from r)
     select id, case when {_INVALID} then null when way = 'exact' then case when answer = 'The' then 5.0 when {_contains('answer', "'The'")} then 3.0 else 0.0 end
-      when way = 'judge_keyword' then round_even(5.0::double * {_count('answer', KEYWORDS)} / {len(KEYWORDS)}, 1)
+      when way = 'judge_keyword' then words when way = 'unit_tests' then case when id % 16 = 6 then 5.0 else 1.0 end
+      when way = 'tool_trace_exact' then least(5, (case when id % 3 = 1 then 5.0 else 2.5 end + words) / 2)
       when way in ('constraint_check', 'judge_constraint') then case when {a.words('answer')} between 50 and 300 then 5.0 else 3.0 end end::double as score,
-    case when {_INVALID} then 'invalid' when way = 'exact' then 'exact' when way = 'judge_keyword' then 'keyword' when way in ('constraint_check', 'judge_constraint') then 'constraint' else 'needs_judge' end as score_type
-    from r""",
+    case when {_INVALID} then 'invalid' when way = 'exact' then 'exact' when way = 'judge_keyword' then 'keyword' when way = 'unit_tests' then 'unit_test' when way = 'tool_trace_exact' then 'tool_trace'
+      when way in ('constraint_check', 'judge_constraint') then 'constraint' else 'needs_judge' end as score_type
+    from k""",
 )
 def score_router(spark, sf_dir):
-    ways = F.array(*map(F.lit, ["exact", "judge_keyword", "constraint_check", "judge", None, "judge_constraint"]))
     answer = s.scoreable(F.col("response"), F.lit(""))
     invalid = s.is_invalid(answer, F.col("finish_reason"), F.col("category"))
     case = {
-        "scoring": F.element_at(ways, (F.col("id") % 6 + 1).cast("int")), "expected": F.lit("The"), "expected_keywords": _list(KEYWORDS), "test_code": F.lit(None).cast("string"),
-        "constraints": _constraints(word_range=F.array(F.lit(50), F.lit(300))),
+        "scoring": F.element_at(_list(_WAYS), (F.col("id") % 8 + 1).cast("int")), "expected": F.lit("The"), "expected_keywords": _list(KEYWORDS), "test_code": F.lit("assert True"),
+        "constraints": _constraints(word_range=F.array(F.lit(50), F.lit(300))), "expected_tool_call": F.lit("f"), "expected_args_contain": F.create_map(F.lit("k"), F.lit("1")),
     }
-    return a.responses(spark, sf_dir).select("id", s.route(answer, invalid, case).alias("r")).select("id", "r.score", "r.score_type")
+    call = F.struct(F.lit("c").alias("id"), F.lit("f").alias("function_name"), F.format_string('{"k": %d}', F.col("id") % 3).alias("function_args"))
+    unit = F.when(F.col("id") % 16 == 6, 5.0).otherwise(1.0)
+    return a.responses(spark, sf_dir).select("id", s.route(answer, invalid, case, F.array(F.array(call)), unit).alias("r")).select("id", "r.score", "r.score_type")
 
 
 @query(
     "extract_code",
     f"""with c as (select *, string_split(response, chr(10)) as ls from {a.values([r[:2] for r in f.CODE], 'id', 'response')}),
     p as (select *, list_position(list_transform(ls, lambda l: regexp_matches({a.strip('l')}, '^(def |class )')), true) as first from c)
-    select id::bigint as id, case when regexp_matches(response, '(?s)```(?:python)?\\s*\\n.*?```') then regexp_extract(response, '(?s)```(?:python)?\\s*\\n(.*?)```', 1)
+    select id::bigint as id, case when regexp_matches(response, '{s.FENCED}') then regexp_extract(response, '{s.FENCED}', 1)
       when first > 0 then array_to_string(ls[first:], chr(10)) else response end as code from p""",
 )
 def extract_code(spark, sf_dir):
@@ -195,6 +212,13 @@ def tool_trace(spark, sf_dir):
     return e.select(F.col("event_id").alias("id"), s.tool_trace(trace, F.lit("click"), args, F.col("event_type"), _list(["i", "absent"])).alias("score"))
 
 
+@query("tool_arguments", f"select id::bigint as id, score::double as score from {a.values(f.ARGUMENTS, 'id', 'args', 'expected', 'score')}")
+def tool_arguments(spark, sf_dir):
+    rows = spark.createDataFrame([r[:3] for r in f.ARGUMENTS], "id long, args string, expected string")
+    call = F.struct(F.lit("c").alias("id"), F.lit("f").alias("function_name"), F.col("args").alias("function_args"))
+    return rows.select("id", s.tool_trace(F.array(F.array(call)), F.lit("f"), s.json_fields(F.col("expected")), F.lit(""), F.lit(None).cast("array<string>")).alias("score"))
+
+
 @query(
     "tool_lookup",
     f"""with c as (select id, case_id, name, args, case when name = 'read_file' and json_valid(args) and json_extract_string(args, '$.path') is not null then name || ':' || json_extract_string(args, '$.path') else name end as key
@@ -224,12 +248,23 @@ def throughput(spark, sf_dir):
 
 @query(
     "real_throughput",
-    f"""select conv_id, round_even(avg(chars / 4.0 / gen_s), 6) as mean_of_ratios, round_even(sum(chars) / 4.0 / sum(gen_s), 6) as ratio_of_sums
-    from {_TURNS} where gen_s > 0 group by conv_id""",
+    f"""select r.model_label, count(*) as n, round_even(avg(length(t.response) / 4.0 / r.gen_s), 6) as mean_of_ratios, round_even(sum(length(t.response)) / 4.0 / sum(r.gen_s), 6) as ratio_of_sums
+    from {a.TURNS} r join {a.TURNS} t using (bench_run_id, run_id) where r.gen_s > 0 group by 1""",
 )
 def real_throughput(spark, sf_dir):
-    c = a.table(spark, sf_dir, "conversations").select("conv_id", F.length("text").alias("chars"), ((F.col("turn") % 4) * F.lit(0.5)).alias("gen_s")).where("gen_s > 0")
-    return c.groupBy("conv_id").agg(F.bround(F.avg(F.col("chars") / 4.0 / F.col("gen_s")), 6).alias("mean_of_ratios"), F.bround(F.sum("chars") / 4.0 / F.sum("gen_s"), 6).alias("ratio_of_sums"))
+    turns = a.turns(spark, sf_dir)
+    return runs.real_throughput(turns.select("bench_run_id", "run_id", "response", "reasoning"), turns.select("bench_run_id", "run_id", "model_label", "gen_s"))
+
+
+@query(
+    "whole_responses",
+    f"""with r as (select run_id, content::json as j from {a.values(f.RESPONSES, 'run_id', 'content')} where json_valid(content)), c as (select run_id, j, json_extract(j, '$.choices[0]') as c from r)
+    select run_id, {a.strip("coalesce(json_extract_string(c, '$.message.content'), '')")} as response_text, coalesce(json_extract_string(c, '$.message.reasoning_content'), '') as reasoning_text, json_extract_string(c, '$.finish_reason') as finish_reason,
+    coalesce(json_extract(j, '$.timings.prompt_n')::int, 0) as prompt_n, round_even(coalesce(json_extract(j, '$.timings.prompt_per_second')::double, 0), 2) as prompt_per_second,
+    coalesce(json_extract(j, '$.timings.predicted_n')::int, 0) as predicted_n, round_even(coalesce(json_extract(j, '$.timings.predicted_per_second')::double, 0), 2) as predicted_per_second from c where c is not null""",
+)
+def whole_responses(spark, sf_dir):
+    return sse.whole(spark.createDataFrame(f.RESPONSES, "run_id string, content string"))
 
 
 def _lines(spark: SparkSession) -> DataFrame:
@@ -263,7 +298,7 @@ def stream_fold(spark, sf_dir):
     return sse.fold(sse.parse(_lines(spark))).withColumn("tok_per_s", F.bround("tok_per_s", 6))
 
 
-_DELTAS = f"""(select run_id, turn, seq * 1000 + i - 1 as seq, coalesce(json_extract(c, '$.index')::int, 0) as idx, nullif(json_extract_string(c, '$.id'), '') as id, json_extract_string(c, '$.function.name') as name,
+_DELTAS = f"""(select run_id, turn, seq * 1000000 + i - 1 as seq, coalesce(json_extract(c, '$.index')::int, 0) as idx, nullif(json_extract_string(c, '$.id'), '') as id, json_extract_string(c, '$.function.name') as name,
     json_extract_string(c, '$.function.arguments') as args from (select *, unnest(json_extract(calls, '$[*]')) as c, generate_subscripts(json_extract(calls, '$[*]'), 1) as i from {_PARSED} where calls is not null))"""
 _MERGED = f"""(select run_id, turn, idx, min(seq) as first, arg_max(id, seq) filter (id is not null) as id, coalesce(string_agg(name, '' order by seq), '') as name, coalesce(string_agg(args, '' order by seq), '') as args from {_DELTAS} group by all)"""
 
@@ -299,7 +334,5 @@ def stream_counts(spark, sf_dir):
     events = a.table(spark, sf_dir, "events")
     # a file stream takes a folder, of which the pattern picks the one table
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events*").parquet(sf_dir)
-    import uuid
-
-    out = counts.run_to_end(counts.counts(stream), f"counts_{uuid.uuid4().hex}")
+    out = counts.run_to_end(counts.counts(stream), counts.own_path(spark, "counts"))
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.bround("mean_value", 6).alias("mean_value"))

@@ -45,7 +45,7 @@ def merge_calls(deltas: DataFrame, keys: tuple[str, ...] = ("run_id", "turn")) -
 def call_deltas(parsed: DataFrame) -> DataFrame:
     """One row for each call delta; seq keeps their order within an event too."""
     one = parsed.where("tool_calls is not null").select("run_id", "turn", "seq", F.posexplode("tool_calls").alias("at", "c"))
-    return one.select("run_id", "turn", (F.col("seq") * 1000 + F.col("at")).alias("seq"), F.coalesce("c.index", F.lit(0)).alias("index"), F.col("c.id").alias("id"), F.col("c.function.name").alias("name"), F.col("c.function.arguments").alias("arguments"))
+    return one.select("run_id", "turn", F.struct("seq", "at").alias("seq"), F.coalesce("c.index", F.lit(0)).alias("index"), F.col("c.id").alias("id"), F.col("c.function.name").alias("name"), F.col("c.function.arguments").alias("arguments"))
 
 
 def fold(parsed: DataFrame, starts: DataFrame | None = None) -> DataFrame:
@@ -83,6 +83,16 @@ def roll_up(turns: DataFrame) -> DataFrame:
     return out.withColumn("tok_per_s", F.when(F.col("gen_s") > 0, F.col("output_tokens_approx") / F.col("gen_s")).otherwise(0.0))
 
 
+def whole(responses: DataFrame) -> DataFrame:
+    """Responses that came in one piece (run_id, content: JSON): texts, finish_reason and the server's own timings, rates to 2 places. What doesn't parse or has no choice is passed over."""
+    parsed = responses.where(F.try_parse_json("content").isNotNull()).withColumn("r", F.from_json("content", schemas.struct("r " + schemas.RESPONSE)["r"].dataType))
+    choice = F.try_element_at("r.choices", F.lit(1))
+    n = lambda c: F.coalesce(F.col(f"r.timings.{c}"), F.lit(0)).alias(c)
+    rate = lambda c: F.bround(F.coalesce(F.col(f"r.timings.{c}"), F.lit(0.0)), 2).alias(c)
+    texts = (t.strip(F.coalesce(choice["message"]["content"], F.lit(""))).alias("response_text"), F.coalesce(choice["message"]["reasoning_content"], F.lit("")).alias("reasoning_text"))
+    return parsed.where(choice.isNotNull()).select("run_id", *texts, choice["finish_reason"].alias("finish_reason"), n("prompt_n"), rate("prompt_per_second"), n("predicted_n"), rate("predicted_per_second"))
+
+
 def tool_answers(calls: DataFrame, responses: DataFrame) -> DataFrame:
     """The mock answer to each call: calls (.., case_id, function_name, function_args), responses (case_id, tool_responses map). read_file is told apart by path."""
     path = F.try_element_at(F.from_json("function_args", "map<string, string>"), F.lit("path"))

@@ -22,6 +22,7 @@ def one(spark, column, schema="response string", row=("",)):
     [
         ("42", "42", 5.0), ("The answer is 42.", "42", 3.0), ("41", "42", 0.0), ("  42 \n", "42", 5.0), ("`42`", "42", 5.0), ("yes", "YES", 3.0),
         ("A,B,D", "A, B, D", 0.0), ("131", "31", 3.0), ("a \n b", "a b", 3.0), ("", "", 5.0), ("x", "", 3.0),
+        ("42\u00a0", "42", 5.0), ("\x1f`\u3000 42`", "42", 5.0), ("a\u2003\u2028b", "A B", 3.0), ("4\u200b2", "42", 0.0),
     ],
 )
 def test_exact(spark, response, expected, score):
@@ -49,7 +50,7 @@ def test_constraints(spark):
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.text("ab \n\t-*•", max_size=20), min_size=1, max_size=20))
+@given(st.lists(st.text("ab \n\t-*•\u00a0\u2003\x85\x1c\u2028\u3000\u200b\x0b", max_size=20), min_size=1, max_size=20))
 def test_text_helpers_follow_plain_python(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     rows = df.select("i", text.strip("t").alias("s"), text.word_count("t").alias("w"), F.size(text.filled_lines("t")).alias("l"), F.size(text.bullets("t")).alias("b")).collect()
@@ -63,7 +64,8 @@ def test_text_helpers_follow_plain_python(spark, texts):
     ("calls", "args", "words", "score"),
     [
         ([], {"a": "1"}, None, 0.0), ([("f", '{"a": 1}')], {"a": "1"}, None, 5.0), ([("g", "{}")], {"a": "1"}, None, 0.0), ([("f", '{"a": 84.0}')], {"a": "84"}, None, 2.5), ([("f", "{broken")], {"a": "1"}, None, 2.5),
-        ([("f", '{"a": 2}'), ("f", '{"a": 1}')], {"a": "1"}, None, 2.5), ([("f", '{"a": 1}')], {"a": "1"}, ["done", "no"], 3.75), ([("g", "{}")], {"a": "1"}, ["done"], 5.0), ([("f", '{"a": true}')], {"a": "True"}, None, 5.0), ([("f", "{}")], None, None, 2.5),
+        ([("f", '{"a": 2}'), ("f", '{"a": 1}')], {"a": "1"}, None, 2.5), ([("f", '{"a": 1}')], {"a": "1"}, ["done", "no"], 3.75), ([("g", "{}")], {"a": "1"}, ["done"], 5.0), ([("f", '{"a": true}')], {"a": '"True"'}, None, 5.0), ([("f", "{}")], None, None, 2.5),
+        ([("f", '{"a": [1, 2]}')], {"a": '"[1, 2]"'}, None, 5.0), ([("f", '{"a": "true"}')], {"a": "true"}, None, 2.5), ([("f", "[]")], {"a": "1"}, None, 2.5), ([("f", '{"a": null}')], {"b": "null"}, None, 5.0),
     ],
 )
 def test_tool_trace(spark, calls, args, words, score):
@@ -72,6 +74,17 @@ def test_tool_trace(spark, calls, args, words, score):
     assert one(spark, column, f"t {CALL}, a map<string, string>, w array<string>", (trace, args, words)) == score
 
 
+VALUES = [1, -3, 0, 1.5, 84.0, 1e5, 123456789.25, 1e16, 2e22, 1e-4, 1.5e-5, 3e-10, -0.0, True, False, None, "text", "it's", 'say "x"', "both ' and \"", "back\\slash", "tab\there", [], [1, 2.0, "a", None, [True]], {"k": "v", "n": {"m": [1]}}]
+
+
+def test_values_read_as_python_prints_them(spark):
+    import json
+
+    rows = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(VALUES)], "i int, j string")
+    got = {r["i"]: r["s"] for r in rows.select("i", scoring.python_text(F.col("j")).alias("s")).collect()}
+    assert [got[i] for i in range(len(VALUES))] == [str(v) for v in VALUES]
+
+
 @pytest.mark.parametrize(
     ("response", "reasoning", "reason", "category", "invalid"),
     [("", "", "stop", "math", True), ("x", "", "error", "math", True), ("x", "", "length", "math", True), ("x", "", "length", "creative", False), ("x", "", None, "math", False), (" ", "y", "stop", None, False), (None, None, None, None, True)],
