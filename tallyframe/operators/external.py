@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import resource
+import signal
 import subprocess
 import sys
 import tempfile
+import time
 from collections.abc import Callable, Iterator
 
+from typing import TypeVar
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
 
+T = TypeVar("T")
 
 def _limits(seconds: int, megabytes: int) -> Callable[[], None]:
     def apply() -> None:
         os.setsid()
-        resource.setrlimit(resource.RLIMIT_CPU, (seconds, seconds))
+        resource.setrlimit(resource.RLIMIT_CPU, (2 * seconds + 5, 2 * seconds + 5))  # for threads; time is up before
         resource.setrlimit(resource.RLIMIT_AS, (megabytes << 20, megabytes << 20))
         resource.setrlimit(resource.RLIMIT_FSIZE, (1 << 20, 1 << 20))
 
@@ -47,14 +53,36 @@ def unit_tests(rows: DataFrame, enabled: bool = False, seconds: int = 10, megaby
             return None
         with tempfile.TemporaryDirectory() as folder:
             try:
-                done = subprocess.run([sys.executable, "-I", "-c", f"{code}\n\n{tests}\n"], cwd=folder, env={}, capture_output=True, timeout=seconds, preexec_fn=_limits(seconds, megabytes))
-            except (subprocess.TimeoutExpired, OSError, ValueError):
+                started = subprocess.Popen([sys.executable, "-I", "-c", f"{code}\n\n{tests}\n"], cwd=folder, env={}, stdin=subprocess.DEVNULL, stdout=subprocess.DEVNULL, stderr=subprocess.DEVNULL, preexec_fn=_limits(seconds, megabytes))
+            except (OSError, ValueError):
+                return 0.0
+            try:
+                code_of_exit = started.wait(seconds)
+            except subprocess.TimeoutExpired:
+                code_of_exit = None
+            finally:
+                with contextlib.suppress(OSError):
+                    os.killpg(started.pid, signal.SIGKILL)  # and what it has started itself
+                started.wait()
+            if code_of_exit is None or code_of_exit in (-signal.SIGXCPU, -signal.SIGKILL):
                 return 0.0
-            return 5.0 if done.returncode == 0 else 1.0
+            return 5.0 if code_of_exit == 0 else 1.0
 
     return prepared.mapInPandas(run, schema)
 
 
+def retried(call: Callable[[], T], attempts: int = 3, wait: float = 2.0, errors: tuple[type[Exception], ...] = (ConnectionError, TimeoutError), sleep: Callable[[float], None] = time.sleep) -> T:
+    """What a call gives, tried again after errors of transport, with twice the wait each time; the last error is raised, so that a failure never becomes a row."""
+    for n in range(attempts):
+        try:
+            return call()
+        except errors:
+            if n + 1 == attempts:
+                raise
+            sleep(wait * 2**n)
+    raise ValueError("attempts must be 1 or more")
+
+
 def judged(pairs: DataFrame, primary: Callable[[str], str | None], second: Callable[[str], str | None] | None = None) -> DataFrame:
     """pairs (.., prompt) with `answer` and `judge`: what the primary judge says, or where it says nothing the second; pairs without an answer go."""
     schema = ", ".join([*(f"`{c}` {t}" for c, t in pairs.dtypes), "answer string, judge string"])

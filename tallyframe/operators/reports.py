@@ -23,9 +23,10 @@ def category_scores(runs: DataFrame) -> DataFrame:
 
 
 def category_winner(runs: DataFrame) -> DataFrame:
-    """The best model of each category; of equals the first by name."""
-    best = Window.partitionBy("category").orderBy(F.desc("mean_score"), "model_label")
-    return category_scores(runs).withColumn("rank", F.row_number().over(best)).where("rank = 1").select("category", "model_label", "mean_score")
+    """The best model of each category; of equals, to 9 places, the first by name."""
+    means = runs.where("score is not null").groupBy("model_label", "category").agg(F.bround(F.avg("score"), 9).alias("mean"))
+    best = Window.partitionBy("category").orderBy(F.desc("mean"), "model_label")
+    return means.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("category", "model_label", F.bround("mean", 6).alias("mean_score"))
 
 
 def invalid_breakdown(runs: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import verdicts as v
 from ..operators import collect, external, pairs, reports, runs
 from ..operators import statistics as st
-from ..sources import generators
+from ..sources import generators, readers, schemas
+from ..streaming import counts
 from . import adapters as a
 from . import fixtures as f
 from .registry import query
@@ -30,22 +31,29 @@ def valid_share(spark, sf_dir):
     return out.agg(F.count("*").alias("n_total"), F.count_if("valid").alias("n_valid"), reports.mean("score").alias("mean_score"))
 
 
-_CATEGORY = f"(select model_label, category, count(*) as n, {a.mean('score')} as mean_score from {a.GRADED} where score is not null group by 1, 2)"
+_CATEGORY = f"(select model_label, category, count(*) as n, round_even(avg(score), 9) as mean from {a.GRADED} where score is not null group by 1, 2)"
 
 
-@query("category_scores", f"select * from {_CATEGORY}")
+@query("category_scores", f"select model_label, category, n, round_even(mean, 6) as mean_score from {_CATEGORY}")
 def category_scores(spark, sf_dir):
     return reports.category_scores(a.graded(spark, sf_dir))
 
 
-@query("category_winner", f"select category, model_label, mean_score from {_CATEGORY} qualify row_number() over (partition by category order by mean_score desc, model_label) = 1")
+@query("category_winner", f"select category, model_label, round_even(mean, 6) as mean_score from {_CATEGORY} qualify row_number() over (partition by category order by mean desc, model_label) = 1")
 def category_winner(spark, sf_dir):
     return reports.category_winner(a.graded(spark, sf_dir))
 
 
-@query("perf_median", f"select model_label, round_even(median(score), 6) as median_score from {a.RUNS} group by 1")
+@query(
+    "perf_median",
+    f"""select model_label, round_even(median(tok_per_s), 6) as median_tok_per_s, round_even(median(total_s), 6) as median_total_s
+    from (select *, case when length(response) > 0 then greatest(length(response) // 4, 1) else 0 end / gen_s as tok_per_s from {a.TURNS} where gen_s > 0) group by 1""",
+)
 def perf_median(spark, sf_dir):
-    return reports.medians(a.runs(spark, sf_dir), "score")
+    from ..functions import text as t
+
+    turns = a.turns(spark, sf_dir).where("gen_s > 0")
+    return reports.medians(turns.withColumn("tok_per_s", t.rate(t.tokens(F.col("response")), F.col("gen_s"))), "tok_per_s", "total_s")
 
 
 @query(
@@ -133,25 +141,25 @@ def model_check(spark, sf_dir):
     return runs.missing_models(required, spark.createDataFrame(f.SERVED, "served_model string")).select("label", "served_model")
 
 
-@query("latest_run", "with r as (select event_type as model, strftime(ts, '%Y%m%d') as run_ts, event_id from events) select model, run_ts, event_id from r join (select model, max(run_ts) as run_ts from r group by 1) using (model, run_ts)")
+@query("latest_run", "with r as (select event_type as model, strftime(ts, '%Y%m%d_%H%M%S') as run_ts, event_id from events) select model, run_ts, event_id from r join (select model, max(run_ts) as run_ts from r group by 1) using (model, run_ts)")
 def latest_run(spark, sf_dir):
-    files = a.table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), F.date_format("ts", "yyyyMMdd").alias("run_ts"), "event_id")
+    files = a.table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), runs.run_stamp(F.col("ts")).alias("run_ts"), "event_id")
     return runs.latest_run(files)
 
 
 @query(
     "prompt_sweep",
-    f"""select t::int as target_tokens, case when t <= 50 then {a.literal(generators.SHORT_PROMPT)} else 'Summarize the following text in detail:' || chr(10) || chr(10)
-    || left(repeat({a.literal(generators.BLOCK)}, greatest((t * 4) // {len(generators.BLOCK)}, 1)::int), (t * 4)::int) || chr(10) || chr(10) || 'Provide a comprehensive summary.' end as prompt
+    f"""select t::int as target_tokens, case when t <= 50 then {a.literal(generators.SHORT_PROMPT)} else {a.literal(generators.OPENING)}
+    || left(repeat({a.literal(generators.BLOCK)}, greatest((t * 4) // {len(generators.BLOCK)}, 1)::int), (t * 4)::int) || {a.literal(generators.CLOSING)} end as prompt
     from (select unnest({list(generators.TARGETS)}) as t)""",
 )
 def prompt_sweep(spark, sf_dir):
     return generators.sweep(spark)
 
 
-@query("model_catalogue", f"select 'model' as kind, label as name, served_model, quant from {a.values(f.MODELS, 'label', 'served_model', 'quant')} union all select 'lm_eval', 'ifeval', null, null")
+@query("model_catalogue", f"select 'model' as kind, label as name, served_model, quant from {a.values(f.MODELS, 'label', 'served_model', 'quant')} union all select 'lm-eval', 'ifeval', null, null")
 def model_catalogue(spark, sf_dir):
-    return generators.catalogue(spark, {m: {"served_model": s, "quant": q} for m, s, q in f.MODELS}, {"lm_eval": ["ifeval"]})
+    return generators.catalogue(spark, {m: {"served_model": s, "quant": q} for m, s, q in f.MODELS}, {"lm-eval": ["ifeval"]})
 
 
 @query(
@@ -171,10 +179,9 @@ def warm_up_filter(spark, sf_dir):
     return runs.scored_only(log, "call").agg(F.count("*").alias("n"), F.sum("repeat").alias("repeats"))
 
 
-@query("registry_lookup", "select s_suppkey as model_label, n_name as served_model, count(*) as n from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey where n_regionkey < 3 group by 1, 2")
+@query("registry_lookup", "select s_suppkey as model_label, n_name as served_model, count(*) as n from lineitem join supplier on s_suppkey = l_suppkey join nation on n_nationkey = s_nationkey group by 1, 2")
 def registry_lookup(spark, sf_dir):
-    nations = a.table(spark, sf_dir, "nation").where("n_regionkey < 3")
-    registry = a.table(spark, sf_dir, "supplier").join(nations, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("model_label"), F.col("n_name").alias("served_model"))
+    registry = a.table(spark, sf_dir, "supplier").join(a.table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("model_label"), F.col("n_name").alias("served_model"))
     return runs.registered(a.log(spark, sf_dir), registry).groupBy("model_label", "served_model").agg(F.count("*").alias("n"))
 
 
@@ -213,11 +220,11 @@ def pairwise_join(spark, sf_dir):
 
 @query(
     "pairwise_missing",
-    f"""select prompt_id, coalesce(bool_or(model_label = l), false) as has_a, coalesce(bool_or(model_label = r), false) as has_b from (select * from {a.BEST} where prompt_id % 3 <> 0 or model_label <> 'click'), {_LABELS} n
+    f"""select prompt_id, coalesce(bool_or(model_label = l), false) as has_a, coalesce(bool_or(model_label = r), false) as has_b from {a.BEST}, {_LABELS} n
     group by 1 having not (has_a and has_b)""",
 )
 def pairwise_missing(spark, sf_dir):
-    return pairs.missing(_best(spark, sf_dir).where("prompt_id % 3 <> 0 or model_label <> 'click'"))
+    return pairs.missing(_best(spark, sf_dir))
 
 
 @query("head_to_head", f"select model_a, model_b, count(*) filter (a > b) as wins, count(*) filter (a < b) as losses, count(*) filter (a = b) as ties from {_PAIRS} where a is not null and b is not null group by 1, 2")
@@ -305,7 +312,7 @@ def _files(spark, rows):
     return runs.latest_run(spark.createDataFrame(rows, "model string, run_ts string, inner string, content string"))
 
 
-_CUSTOM = f"""(select model_label as model, 'custom' as framework, prompt_id as task, category, score_raw::double as score, score_type, tok::double as tok_per_s
+_CUSTOM = f"""(select model_label as model, 'custom' as framework, prompt_id as task, category, score_raw::double as score, score_type, coalesce(try_cast(tok as double), 0) as tok_per_s
     from {a.values(f.RUN_ROWS, 'model_label', 'prompt_id', 'category', 'score_raw', 'score_type', 'tok', 'seq')} where score_raw <> '' and score_raw <> 'None')"""
 
 
@@ -321,7 +328,8 @@ def _unpivot(rows, framework, score_type, root, extra):
     where json_type(value) in ('BIGINT', 'UBIGINT', 'DOUBLE', 'BOOLEAN') {extra})"""
 
 
-_LM = _unpivot(f.LM_EVAL, "lm_eval", "accuracy", "json_extract(content, '$.results')", "and not ends_with(metric, ',none') and metric <> 'alias'")
+LM_ROOT, LM_RULE = "json_extract(content, '$.results')", "and not ends_with(metric, ',none') and metric <> 'alias'"
+_LM = _unpivot(f.LM_EVAL, "lm-eval", "accuracy", LM_ROOT, LM_RULE)
 _BIG = _unpivot(f.BIGCODE, "bigcode", "pass@1", "content::json", "")
 _DEEP = rf"""(select model, 'deepeval' as framework, coalesce(json_extract_string(b, '$.case_id'), 'unknown') as task, coalesce(json_extract_string(b, '$.metric'), '') as category,
     try_cast(coalesce(json_extract_string(b, '$.score'), '0') as double) as score, 'judge' as score_type, 0.0::double as tok_per_s
@@ -336,7 +344,7 @@ def collect_custom(spark, sf_dir):
 
 @query("unpivot_metrics", f"select * from {_LM} union all by name select * from {_BIG}")
 def unpivot_metrics(spark, sf_dir):
-    return collect.union(collect.metrics(_files(spark, f.LM_EVAL), "lm_eval"), collect.metrics(_files(spark, f.BIGCODE), "bigcode"))
+    return collect.union(collect.metrics(_files(spark, f.LM_EVAL), "lm-eval"), collect.metrics(_files(spark, f.BIGCODE), "bigcode"))
 
 
 @query("extract_blocks", f"select * from {_DEEP}")
@@ -358,6 +366,44 @@ def macro_average_collected(spark, sf_dir):
     return collect.macro_average(_union(spark))
 
 
+@query("judge_pass", f"select model, category as metric, count(*) as n, count(*) filter (score >= 0.5) as n_passed from {_DEEP} group by 1, 2")
+def judge_pass(spark, sf_dir):
+    return collect.judge_pass(_union(spark))
+
+
+def _tree(spark) -> str:
+    """The literal results as files: a run log and a folder for each framework, model and run."""
+    root = counts.own_path(spark, "results")
+    quoted = lambda v: "" if v is None else str(v)
+    log = [("model_label", "prompt_id", "category", "score_raw", "score_type", "tok_per_s"), *(r[:6] for r in f.RUN_ROWS)]
+    names = [x.name for x in schemas.struct(schemas.RUN).fields]
+    lines = [",".join(quoted(dict(zip(log[0], r, strict=True)).get(c)) for c in names) for r in log[1:]]
+    readers.write_text(spark, "\n".join([",".join(names), *lines, ""]), f"{root}/runs.csv")
+    for framework, rows in (("lm-eval", f.LM_TREE), ("bigcode", f.BIG_TREE), ("deepeval", f.PYTEST)):
+        for model, run, inner, content in rows:
+            readers.write_text(spark, content, f"{root}/{framework}/{model}/{run}/{inner}")
+    return root
+
+
+_TREE = f"(select * from {_CUSTOM} union all by name select * from {_unpivot(f.LM_TREE, 'lm-eval', 'accuracy', LM_ROOT, LM_RULE)} union all by name select * from {_BIG} union all by name select * from {_DEEP})"
+
+
+@query("aggregate_files", f"select * from {_TREE}")
+def aggregate_files(spark, sf_dir):
+    return collect.aggregate(spark, _tree(spark))
+
+
+@query("aggregate_macro", f"select model, framework, round_even(avg(m), 6) as macro, count(*) as n_tasks from (select model, framework, task, avg(score) as m from {_TREE} group by 1, 2, 3) group by 1, 2")
+def aggregate_macro(spark, sf_dir):
+    return collect.macro_average(collect.aggregate(spark, _tree(spark)))
+
+
+# no task of the literal rows ties with another but in the run log, where the first seen is the first by name
+@query("aggregate_top5", f"select model, framework, task, round_even(mean, 6) as task_mean, row_number() over (partition by model, framework order by mean desc, task)::int as rank from (select model, framework, task, round_even(avg(score), 9) as mean from {_TREE} group by 1, 2, 3) qualify rank <= 5")
+def aggregate_top5(spark, sf_dir):
+    return collect.top_tasks(collect.aggregate(spark, _tree(spark), seq=True)).drop("first_seq")
+
+
 def _as_results(df, model, framework, task, score, seq):
     return df.select(F.col(model).cast("string").alias("model"), F.col(framework).cast("string").alias("framework"), F.col(task).cast("string").alias("task"), F.col(score).alias("score"), F.col(seq).alias("seq"))
 
@@ -367,7 +413,7 @@ def macro_average(spark, sf_dir):
     return collect.macro_average(_as_results(a.runs(spark, sf_dir).withColumn("framework", F.lit("events")), "model_label", "framework", "prompt_id", "score", "seq"))
 
 
-_TOP = "select model, framework, task, task_mean, first_seq, row_number() over (partition by model, framework order by task_mean desc, first_seq)::int as rank from (select {m}::varchar as model, {f} as framework, {t}::varchar as task, round_even(avg(score), 6) as task_mean, min({s}) as first_seq from {x} group by 1, 2, 3) qualify rank <= 5"
+_TOP = "select model, framework, task, round_even(mean, 6) as task_mean, first_seq, row_number() over (partition by model, framework order by mean desc, first_seq, task)::int as rank from (select {m}::varchar as model, {f} as framework, {t}::varchar as task, round_even(avg(score), 9) as mean, min({s}) as first_seq from {x} group by 1, 2, 3) qualify rank <= 5"
 
 
 @query("top5_tasks", _TOP.format(m="model_label", f="'events'", t="prompt_id", s="seq", x=a.RUNS))
@@ -419,16 +465,16 @@ def bootstrap_ci(spark, sf_dir):
     return st.bootstrap_ci(pairs.pairs(_best(spark, sf_dir)), "prompt_id")
 
 
-# --- outside effects: rows only -------------------------------------------------------------------
+# --- outside effects ------------------------------------------------------------------------------
 
 
-@query("unit_tests_exec")
+@query("unit_tests_exec", f"select id::bigint as id, response, test_code, unit_score::double as unit_score from {a.values([(*r, s) for r, s in zip(f.CODE, f.CODE_SCORES, strict=True)], 'id', 'response', 'test_code', 'unit_score')}")
 def unit_tests_exec(spark, sf_dir):
     rows = spark.createDataFrame(f.CODE, "id long, response string, test_code string")
     return external.unit_tests(rows, enabled=True, seconds=2)
 
 
-@query("judge_provider")
+@query("judge_provider", f"select prompt_id, x as answer from {a.values([(p, x) for p, _, _, x in f.ANSWERS], 'prompt_id', 'x')} where x <> ''")
 def judge_provider(spark, sf_dir):
     shown = spark.createDataFrame([(p,) for p, *_ in f.ANSWERS], "prompt_id string")
     record = spark.createDataFrame([(p, x if i % 2 else "", x) for i, (p, _, _, x) in enumerate(f.ANSWERS)], "prompt_id string, primary_answer string, tiebreak_answer string")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Token targets of a sweep; up to SHORT_TOKENS a fixed prompt is used.
 TARGETS, SHORT_TOKENS, CHARS_PER_TOKEN = (31, 500, 2000, 8000, 16000), 50, 4
 SHORT_PROMPT = "Explain step by step how a columnar query engine plans and runs an aggregation."
+OPENING, CLOSING = "Read these notes on query processing:\n\n", "\n\nWhat do they say, and what follows for a slow query?"
 BLOCK = "Partitioned tables are scanned in parallel and rows are combined before they move. "
 
 
@@ -16,7 +17,7 @@ def sweep(spark: SparkSession, targets=TARGETS, block: str = BLOCK, short: str =
     t = F.col("target_tokens")
     chars = t * CHARS_PER_TOKEN
     body = F.left(F.repeat(F.lit(block), F.greatest(F.floor(chars / len(block)), F.lit(1)).cast("int")), chars)
-    long = F.concat(F.lit("Summarize the following text in detail:\n\n"), body, F.lit("\n\nProvide a comprehensive summary."))
+    long = F.concat(F.lit(OPENING), body, F.lit(CLOSING))
     rows = spark.createDataFrame([(int(x),) for x in targets], "target_tokens int")
     return rows.select("target_tokens", F.when(t <= SHORT_TOKENS, F.lit(short)).otherwise(long).alias("prompt"))
 

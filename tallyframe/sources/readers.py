@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scoring
 from . import schemas
 
 
@@ -26,8 +27,9 @@ def balanced(scan: DataFrame) -> DataFrame:
 
 
 def suite(spark: SparkSession, path: str) -> DataFrame:
-    """A prompt suite: a JSON array of cases."""
-    return spark.read.schema(schemas.struct(schemas.CASE)).option("multiLine", True).json(path)
+    """A prompt suite: a JSON array of cases. Expected arguments become a map from name to the JSON text of the value."""
+    cases = spark.read.schema(schemas.struct(schemas.CASE)).option("multiLine", True).json(path)
+    return cases.withColumn("expected_args_contain", scoring.json_fields(F.col("expected_args_contain")))
 
 
 def runs(spark: SparkSession, path: str) -> DataFrame:
@@ -57,21 +59,55 @@ def raw_streams(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("run_id", F.lit(1).alias("turn"), F.col("seq").cast("long").alias("seq"), F.lit(None).cast("double").alias("arrival"), "line")
 
 
-def result_files(spark: SparkSession, root: str, file_name: str) -> DataFrame:
-    """Whole files of that name anywhere under <root>/<model>/<run>/: model, run_ts, inner (path below the run), content."""
+def responses(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded whole responses, a JSON file each: run_id (the file's name), content."""
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.regexp_extract("_metadata.file_name", r"^([^.]*)", 1).alias("run_id"), F.col("value").alias("content"))
+
+
+def run_entries(spark: SparkSession, root: str) -> DataFrame:
+    """All that lies in the models' folders under root, empty runs and stray files too: model, run_ts. A listing of names on the driver."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/*")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return spark.createDataFrame([(f.getPath().getParent().getName(), f.getPath().getName()) for f in found], "model string, run_ts string")
+
+
+def run_meta(spark: SparkSession, root: str) -> DataFrame:
+    """run_meta.json of all runs under root: model, run_ts and schemas.RUN_META."""
+    files = result_files(spark, root, "run_meta.json", direct=True)
+    return files.select("model", "run_ts", F.from_json("content", schemas.struct(schemas.RUN_META)).alias("m")).select("model", "run_ts", "m.*")
+
+
+def result_files(spark: SparkSession, root: str, file_name: str, direct: bool = False) -> DataFrame:
+    """Whole files of that name anywhere under <root>/<model>/<run>/: model, run_ts, inner (path below the run), content. direct: only those that lie in the run's own folder."""
     if not exists(spark, root):
         return empty(spark, "model string, run_ts string, inner string, content string")
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_name).text(root, wholetext=True)
     name = root.rstrip("/").rsplit("/", 1)[-1]
     path = F.col("_metadata.file_path")
     part = lambda i: F.regexp_extract(path, rf"/\Q{name}\E/([^/]+)/([^/]+)/(.+)$", i)
-    return files.select(part(1).alias("model"), part(2).alias("run_ts"), part(3).alias("inner"), F.col("value").alias("content")).where("model <> ''")
+    return files.select(part(1).alias("model"), part(2).alias("run_ts"), part(3).alias("inner"), F.col("value").alias("content")).where("model <> ''" + " and not contains(inner, '/')" * direct)
 
 
 def append(df: DataFrame, path: str, kind: str = "parquet") -> None:
     df.write.mode("append").format(kind).save(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """JSON lines in place of what was there."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One text as one file, in whatever store Spark writes; for a run's metadata and output."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def replace_csv(df: DataFrame, path: str) -> None:
     """A CSV with a header, in place of what was there. Arrays must be JSON text by then."""
     df.write.mode("overwrite").option("header", True).csv(path)
