@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -76,6 +77,12 @@ def release(*tables: DataFrame) -> None:
         drop_path(t.sparkSession, t.shared_path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing holds any more, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def doc_key(id_col: str, text_col: str):
     """A key of a row that a null or repeated id doesn't spoil. Rows alike in id and text share it, and so share every decision."""
     return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))

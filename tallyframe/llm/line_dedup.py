@@ -16,7 +16,8 @@ more than EDITS characters, or twice as many pairs of neighbours, be in one and
 
 With `every`, lines of WORD_CHARS characters and FEW_WORDS words are alike too if at most one word in so many, of the
 shorter line's and one at least, is edited. Words are what blanks separate, and each character of a script written without
-blanks. They are joined as above, words in the place of characters, with segments for each number of edits; lines of
+blanks. They are joined as above, words in the place of characters, with segments for each number of edits; for one edit
+the segments are the words, all but one of which must be shared, since the halves of a short line say too little. Lines of
 4 * every words and more, whose segments would be too many, file rare runs of words: such a pair has eight words in a row
 unedited, and of any eight the least hashed run of RUN words in each three is filed by both.
 
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import links
-from .common import cut, doc_key, release, small, spread
+from .common import cut, doc_key, release, small, spread, tidy
 from .tokens import chunks, mix, shingles
 
 MIN_CHARS, NEAR_CHARS, EDITS, GRAM = 1, 20, 2, 6
@@ -109,9 +110,12 @@ def buckets(lines: list[str], edits: int, near: int, top: int = 1 << 62) -> tupl
 def word_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all lines, and the offset of each line's first word (one more than lines)."""
     chars = np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    blank = (chars <= 32) | (chars == 0xA0) | (chars == 0x3000) | ((chars >= 0x2000) & (chars <= 0x200A))
+    top = int(chars.max(initial=0))
+    blank = (chars <= 32) | (chars == 0xA0)
+    if top >= 0x2000:
+        blank |= (chars == 0x3000) | ((chars >= 0x2000) & (chars <= 0x200A))
     alone = np.zeros(len(chars), bool)
-    for low, high in ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)):
+    for low, high in () if top < 0xE00 else ((0xE00, 0xEFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)):
         alone |= (chars >= low) & (chars <= high)
     start = ~blank
     start[1:] &= blank[:-1] | alone[1:] | alone[:-1]
@@ -119,9 +123,10 @@ def word_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     first = np.searchsorted(starts, np.cumsum([0, *(len(x) + 1 for x in lines)]))
     if not len(starts):
         return np.zeros(0, np.uint64), first
-    place = np.arange(len(chars) - starts[0]) - np.repeat(starts - starts[0], np.diff(starts, append=len(chars)))
-    terms = np.where(blank, 0, chars + np.uint32(1))[starts[0] :].astype(np.uint64) * _powers(_BASE, 1 << max(10, int(place.max()).bit_length()))[place]
-    return mix(np.add.reduceat(terms, starts - starts[0])), first
+    room = 1 << max(10, int(len(chars)).bit_length())
+    sums = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum(np.where(blank, np.uint32(0), chars + np.uint32(1)) * _powers(_BASE, room)[: len(chars)], out=sums[1:])
+    return mix(np.diff(sums[np.append(starts, len(chars))]) * _powers(_INVERSE, room)[starts]), first
 
 
 def as_chars(codes: np.ndarray, first: np.ndarray) -> list[str]:
@@ -131,13 +136,34 @@ def as_chars(codes: np.ndarray, first: np.ndarray) -> list[str]:
     return [whole[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
+def one_word_buckets(hashes: np.ndarray, first: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets by which lines of FEW_WORDS to `most` words meet if one word is edited: segments are words, and all but one are shared.
+
+    A line files itself and itself without each of its words, so two lines that meet are at most two words apart.
+    """
+    sizes = np.diff(first)
+    good = (sizes >= FEW_WORDS) & (sizes <= most)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(hashes)) - first[owner]
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(np.where(good[owner], hashes * _powers(_BASE, most + 1)[np.minimum(place, most)], np.uint64(0)), out=sums[1:])
+    own, lines = np.flatnonzero(good[owner]), np.flatnonzero(good)
+    start, end = first[:-1][owner[own]], first[1:][owner[own]]
+    without = sums[own] - sums[start] + (sums[end] - sums[own + 1]) * np.uint64(_INVERSE)
+    whole = sums[first[1:][lines]] - sums[first[:-1][lines]]
+    keys, owners = np.concatenate([without, whole]), np.concatenate([owner[own], lines])
+    count = sizes[owners] - (np.arange(len(owners)) < len(own))
+    return mix(keys ^ mix(count.astype(np.uint64) + np.uint64(1))), owners
+
+
 def word_buckets(lines: list[str], every: int = EVERY) -> tuple[np.ndarray, np.ndarray]:
     """Buckets by words of a batch of lines, and which line each is of."""
     hashes, first = word_hashes(lines)
     sizes, words = np.diff(first), as_chars((hashes >> np.uint64(1)).astype(np.int64), first)
-    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for edits in (1, 2, 3):
-        near, top = FEW_WORDS if edits == 1 else edits * every, (edits + 1) * every
+    one, own = one_word_buckets(hashes, first, 2 * every)
+    keys, owners = [one], [own]
+    for edits in (2, 3):
+        near, top = edits * every, (edits + 1) * every
         own = np.flatnonzero((sizes >= near) & (sizes < top + edits))
         key, owner = buckets([words[i] for i in own], edits, near, top)
         keys.append(mix(key + np.uint64(edits)))
@@ -255,17 +281,41 @@ def _long_distance(x: str, y: str, limit: int) -> int:
     return int(row[len(b) - len(a) + limit])
 
 
+def _widening(a: list[str], b: list[str], limit: int) -> np.ndarray:
+    """edit_distances() for any limit: with a narrow band first, and wider ones only for pairs that it doesn't settle."""
+    tried = min(limit, 7)
+    out = edit_distances(a, b, tried)
+    while tried < limit and (out > tried).any():
+        at = np.flatnonzero(out > tried)
+        tried = min(limit, 31) if tried < 31 else limit
+        x, y = [a[i] for i in at], [b[i] for i in at]
+        out[at] = edit_distances(x, y, tried) if tried <= 31 else [_long_distance(p, q, tried) for p, q in zip(x, y, strict=True)]
+    return out
+
+
+def lacking(codes: np.ndarray, sizes: np.ndarray, pairs: int) -> np.ndarray:
+    """For pairs of lines (the first half of the lines with the second) how many words of one, counted as often as they stand there, the other lacks; the larger of both ways. No fewer are edited."""
+    line = np.repeat(np.arange(2 * pairs), sizes)
+    pair, sign = line % max(1, pairs), np.where(line < pairs, 1, -1)
+    keys, at = np.unique(pair * (int(codes.max(initial=0)) + 1) + codes, return_inverse=True)
+    excess = np.bincount(at, sign, len(keys))
+    own = keys // (int(codes.max(initial=0)) + 1)
+    return np.maximum(np.bincount(own, np.maximum(excess, 0), pairs), np.bincount(own, np.maximum(-excess, 0), pairs)).astype(np.int64)
+
+
 def word_distances(a: list[str], b: list[str], every: int = EVERY) -> np.ndarray:
     """Edited words of each pair of lines as a share of how many may be; over 1 where they are not alike."""
     hashes, first = word_hashes(a + b)
-    words = as_chars(np.unique(hashes, return_inverse=True)[1], first)
-    x, y, sizes = words[: len(a)], words[len(a) :], np.diff(first)
+    codes, sizes = np.unique(hashes, return_inverse=True)[1], np.diff(first)
+    words = as_chars(codes, first)
+    x, y = words[: len(a)], words[len(a) :]
     least = np.minimum(sizes[: len(a)], sizes[len(a) :])
     limits, out = word_limit(least, every), np.full(len(a), 3.0)
-    for limit in np.unique(limits).tolist():
-        at = np.flatnonzero((limits == limit) & (least >= FEW_WORDS))
+    near = (least >= FEW_WORDS) & (lacking(codes, sizes, len(a)) <= limits)  # most pairs are told apart by their words alone
+    for limit in np.unique(limits[near]).tolist():
+        at = np.flatnonzero((limits == limit) & near)
         xs, ys = [x[i] for i in at], [y[i] for i in at]
-        out[at] = (edit_distances(xs, ys, limit) if limit <= 31 else np.array([_long_distance(p, q, limit) for p, q in zip(xs, ys, strict=True)])) / limit
+        out[at] = _widening(xs, ys, limit) / limit
     return out
 
 
@@ -361,16 +411,15 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["leader", "id", "n", "o", "cells", "rest", "lacks", "chars", "twos"])
 
 
-def _word_sets(every: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for leader, own, ta, tb in zip(b["a"].tolist(), b["b"].tolist(), b["ta"], b["tb"], strict=True):
-                g, lead = (numbered(word_hashes([t])[0]) for t in (tb, ta))
+def _word_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        ta, tb, out = b["ta"].tolist(), b["tb"].tolist(), []
+        for at, end in chunks([x + y for x, y in zip(ta, tb, strict=True)]):
+            hashes, first = word_hashes(ta[at:end] + tb[at:end])
+            for i, (leader, own) in enumerate(zip(b["a"].iloc[at:end].tolist(), b["b"].iloc[at:end].tolist(), strict=True)):
+                lead, g = (numbered(hashes[first[k] : first[k + 1]]) for k in (i, end - at + i))
                 out.append((leader, own, *links.against(g, lead)))
-            yield pd.DataFrame(out, columns=["leader", "id", "n", "o", "cells", "rest", "lacks"])
-
-    return run
+        yield pd.DataFrame(out, columns=["leader", "id", "n", "o", "cells", "rest", "lacks"])
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, edits: int = EDITS, every: int | None = None) -> DataFrame:
@@ -401,14 +450,16 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     def word_open_pairs(told: DataFrame) -> DataFrame:
         sets = with_texts(told.select(F.col("leader").alias("a"), F.col("id").alias("b")))
         limit = lambda m: F.greatest(F.lit(1).cast("long"), F.floor(m / every))
-        sets = sets.mapInPandas(_word_sets(every), SETS).withColumn("slack", limit(F.col("n")).cast("double"))
+        sets = sets.mapInPandas(_word_sets, SETS).withColumn("slack", limit(F.col("n")).cast("double"))
         xn = F.col("xn")
         return links.by_sets(told, sets, lambda light: shares(F.greatest("xn", "n") - limit(F.least("xn", "n")), light), "word-sets", ("n",), (xn - limit(xn), xn + limit(xn)))
 
     labels, _ = links.classes(members, distances, 1 + 1e-9, "lines", open_pairs)
     if every:
+        tidy(docs.sparkSession)
         members = near.where(F.length("line") >= WORD_CHARS).mapInPandas(_file(lambda x: word_buckets(x, every)), "bucket long, id long")
         by_words, _ = links.classes(members, lambda pairs: with_texts(pairs).mapInPandas(_verify_words(every), "a long, b long, d double"), 1 + 1e-9, "words", word_open_pairs)
+        tidy(docs.sparkSession)
         labels = links.components(labels.union(by_words).select(F.col("id").alias("a"), F.col("label").alias("b")))
     labels = small(cut(labels, "line-labels"), FEW)
     found = lines.drop("line").join(labels.withColumnRenamed("id", "h"), "h", "left")
