@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, line_dedup, minhash, packing, secret_scan, sharding, url_filter
+from . import centroids, chat_format, decontaminate, divergence, exact_dedup, language_id, line_dedup, minhash, packing, quality, secret_scan, sharding, url_filter
 from .common import read
 
 
@@ -87,12 +87,27 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.groups(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("th")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.report(read(spark, sf_dir, "documents"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.predict(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_source_divergence": divergence.SQL,
+        "op13_centroids": centroids.sql(),
         # the template adds 19 characters to a turn, 7 to an assistant's, and one for each backslash or control string
         "op3_chat_format": r"""
             with c as (select conv_id, turn, role, coalesce(text, '') as text from conversations
