@@ -65,6 +65,44 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 TURNS = "(select conv_id::varchar as bench_run_id, turn::varchar as run_id, role as model_label, text as response, (turn % 4) * 0.5::double as gen_s, ((turn % 4) * 0.5 + conv_id % 7 * 0.25)::double as total_s from conversations)"
 
 
+#: Characters of a text that go into one event.
+PIECE = 40
+
+
+def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations as recorded streams, an event for each piece of a text: run_id, turn, seq (from 0, without gaps), arrival, line.
+
+    What users say is reasoning, the rest content. Every third turn calls a tool, its arguments in two events; each turn
+    begins with a line that says nothing, or with a broken one, and ends with an end mark, but every fifth conversation.
+    """
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    event = lambda *fields: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(*fields)).alias("choices"))))
+    delta = lambda name, x: event(F.struct(x.alias(name)).alias("delta"))
+    cuts = F.filter(F.sequence(F.lit(0), F.ceil(F.length("text") / PIECE).cast("int")), lambda k: k * PIECE < F.length("text"))
+    said = F.transform(cuts, lambda k: (lambda x: F.when(F.col("role") == "user", delta("reasoning_content", x)).otherwise(delta("content", x)))(F.substring(F.col("text"), k * PIECE + 1, F.lit(PIECE))))
+    function = lambda **x: F.struct(*(v.alias(k) for k, v in x.items())).alias("function")
+    named = function(name=F.lit("read_file"), arguments=F.lit('{"path": "'))
+    first = delta("tool_calls", F.array(F.struct(F.lit(0).alias("index"), F.concat(F.lit("c"), "turn").alias("id"), named)))
+    second = delta("tool_calls", F.array(F.struct(F.lit(0).alias("index"), function(arguments=F.concat("turn", F.lit('.txt"}'))))))
+    third = (F.col("conv_id") + F.col("turn")) % 3 == 0
+    end = event(F.struct(F.lit("").alias("content")).alias("delta"), F.when(third, "tool_calls").otherwise("stop").alias("finish_reason"))
+    nothing = F.array().cast("array<string>")
+    opening = F.array(F.when(F.col("conv_id") % 11 == 0, "data: {broken").otherwise(": keep-alive"))
+    whole = F.concat(opening, said, F.when(third, F.array(first, second)).otherwise(nothing), F.array(end), F.when(F.col("conv_id") % 5 != 0, F.array(F.lit("data: [DONE]"))).otherwise(nothing))
+    rows = c.select(F.col("conv_id").cast("string").alias("run_id"), "turn", F.posexplode(whole).alias("seq", "line"))
+    return rows.select("run_id", "turn", F.col("seq").cast("long").alias("seq"), (F.col("turn") * 100 + F.col("seq") * 0.25).cast("double").alias("arrival"), "line")
+
+
+RECORDED = f"""(select run_id, turn, unnest(ls) as line, (generate_subscripts(ls, 1) - 1)::bigint as seq, (turn * 100 + seq * 0.25)::double as arrival from (
+    select conv_id::varchar as run_id, turn::int as turn, [case when conv_id % 11 = 0 then 'data: {{broken' else ': keep-alive' end]
+    || list_transform(list_filter(range(0, length(x) // {PIECE} + 1), lambda k: k * {PIECE} < length(x)), lambda k: 'data: ' || case when role = 'user'
+        then json_object('choices', [json_object('delta', json_object('reasoning_content', substr(x, (k * {PIECE} + 1)::bigint, {PIECE})))])::varchar else json_object('choices', [json_object('delta', json_object('content', substr(x, (k * {PIECE} + 1)::bigint, {PIECE})))])::varchar end)
+    || case when (conv_id + turn) % 3 = 0 then ['data: {{"choices":[{{"delta":{{"tool_calls":[{{"index":0,"id":"c' || turn || '","function":{{"name":"read_file","arguments":"{{\\"path\\": \\""}}}}]}}}}]}}',
+        'data: {{"choices":[{{"delta":{{"tool_calls":[{{"index":0,"function":{{"arguments":"' || turn || '.txt\\"}}"}}}}]}}}}]}}'] else []::varchar[] end
+    || ['data: {{"choices":[{{"delta":{{"content":""}},"finish_reason":"' || case when (conv_id + turn) % 3 = 0 then 'tool_calls' else 'stop' end || '"}}]}}']
+    || case when conv_id % 5 <> 0 then ['data: [DONE]'] else []::varchar[] end as ls from (select *, coalesce(text, '') as x from conversations)))"""
+
+
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as a large run log. Its keys aren't unique, so all its columns order it."""
     return table(spark, sf_dir, "lineitem").select(

@@ -221,15 +221,17 @@ def tool_arguments(spark, sf_dir):
 
 @query(
     "tool_lookup",
-    f"""with c as (select id, case_id, name, args, case when name = 'read_file' and json_valid(args) and json_extract_string(args, '$.path') is not null then name || ':' || json_extract_string(args, '$.path') else name end as key
-      from {a.values(f.CALLS, 'id', 'case_id', 'name', 'args')}),
-    m as (select * from {a.values([(c, k, v) for c, d in f.TOOL_RESPONSES for k, v in d.items()], 'case_id', 'key', 'v')})
-    select c.id::bigint as id, coalesce(m.v, '{{}}') as answer from c left join m using (case_id, key)""",
+    """with c as (select conv_id, turn, text, max(turn) over (partition by conv_id) as last from conversations where (conv_id + turn) % 3 = 0)
+    select c.conv_id::varchar as case_id, c.turn::int as turn, case when c.turn = c.last then '{}' else coalesce(left(c.text, 20), '') end as answer from c""",
 )
 def tool_lookup(spark, sf_dir):
-    calls = spark.createDataFrame(f.CALLS, "id long, case_id string, function_name string, function_args string")
-    responses = spark.createDataFrame(f.TOOL_RESPONSES, "case_id string, tool_responses map<string, string>")
-    return sse.tool_answers(calls, responses).select("id", "answer")
+    # each conversation's files are what it says in turns that call a tool, but for the last of them
+    merged = sse.merge_calls(sse.call_deltas(sse.parse(a.recorded(spark, sf_dir)))).select(F.col("run_id").alias("case_id"), "turn", F.inline("calls")).drop("id")
+    c = a.table(spark, sf_dir, "conversations").where((F.col("conv_id") + F.col("turn")) % 3 == 0)
+    kept = c.select(F.col("conv_id").cast("string").alias("case_id"), "turn", F.concat(F.lit("read_file:"), F.col("turn").cast("string"), F.lit(".txt")).alias("k"), F.left(F.coalesce("text", F.lit("")), F.lit(20)).alias("v"))
+    listed = kept.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("turn", "k", "v"))).alias("es"))
+    files = listed.select("case_id", F.map_from_entries(F.transform(F.slice("es", F.lit(1), F.size("es") - 1), lambda e: F.struct(e["k"], e["v"]))).alias("tool_responses"))
+    return sse.tool_answers(merged, files).select("case_id", "turn", "answer")
 
 
 @query("tokens_approx", f"select id, case when length(response) > 0 then greatest(length(response) // 4, 1) else 0 end::int as tokens from {a.RESPONSES}")
@@ -267,20 +269,15 @@ def whole_responses(spark, sf_dir):
     return sse.whole(spark.createDataFrame(f.RESPONSES, "run_id string, content string"))
 
 
-def _lines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(f.LINES, schemas.CHUNK)
-
-
-_V_LINES = a.values(f.LINES, "run_id", "turn", "seq", "arrival", "line")
 _PARSED = f"""(select run_id, turn::int as turn, seq::bigint as seq, arrival::double as arrival, nullif(json_extract_string(j, '$.choices[0].delta.content'), '') as content,
     coalesce(nullif(json_extract_string(j, '$.choices[0].delta.reasoning_content'), ''), nullif(json_extract_string(j, '$.choices[0].delta.reasoning'), '')) as reasoning,
     json_extract(j, '$.choices[0].delta.tool_calls') as calls, nullif(json_extract_string(j, '$.choices[0].finish_reason'), '') as finish_reason
-    from (select *, case when json_valid(body) then body end as j from (select *, substr({a.strip('line')}, 7) as body from {_V_LINES} where starts_with({a.strip('line')}, 'data: '))) where json_extract(j, '$.choices[0]') is not null)"""
+    from (select *, case when json_valid(body) then body end as j from (select *, substr({a.strip('line')}, 7) as body from {a.RECORDED} where starts_with({a.strip('line')}, 'data: '))) where json_extract(j, '$.choices[0]') is not null)"""
 
 
 @query("sse_parse", f"select run_id, turn, seq, content, reasoning, finish_reason, coalesce(json_array_length(calls), 0)::int as n_calls from {_PARSED}")
 def sse_parse(spark, sf_dir):
-    return sse.parse(_lines(spark)).select("run_id", "turn", "seq", "content", "reasoning", "finish_reason", F.greatest(F.coalesce(F.size("tool_calls"), F.lit(0)), F.lit(0)).alias("n_calls"))
+    return sse.parse(a.recorded(spark, sf_dir)).select("run_id", "turn", "seq", "content", "reasoning", "finish_reason", F.greatest(F.coalesce(F.size("tool_calls"), F.lit(0)), F.lit(0)).alias("n_calls"))
 
 
 _FOLD = f"""(select run_id, turn, {a.strip("coalesce(string_agg(content, '' order by seq), '')")} as response_text, coalesce(string_agg(reasoning, '' order by seq), '') as reasoning_text,
@@ -295,7 +292,7 @@ _FOLDED = f"""(select *, greatest(coalesce(last_at - first_at, 0), 1e-9)::double
     round_even(case when tokens > 0 then tokens / gen_s else 0 end, 6) as tok_per_s, n = 1 as single_chunk, finish_reason from {_FOLDED}""",
 )
 def stream_fold(spark, sf_dir):
-    return sse.fold(sse.parse(_lines(spark))).withColumn("tok_per_s", F.bround("tok_per_s", 6))
+    return sse.fold(sse.parse(a.recorded(spark, sf_dir))).withColumn("tok_per_s", F.bround("tok_per_s", 6))
 
 
 _DELTAS = f"""(select run_id, turn, seq * 1000000 + i - 1 as seq, coalesce(json_extract(c, '$.index')::int, 0) as idx, nullif(json_extract_string(c, '$.id'), '') as id, json_extract_string(c, '$.function.name') as name,
@@ -305,7 +302,7 @@ _MERGED = f"""(select run_id, turn, idx, min(seq) as first, arg_max(id, seq) fil
 
 @query("merge_tool_calls", f"select run_id, turn, (row_number() over (partition by run_id, turn order by first) - 1)::int as at, id, name as function_name, args as function_args from {_MERGED}")
 def merge_tool_calls(spark, sf_dir):
-    merged = sse.merge_calls(sse.call_deltas(sse.parse(_lines(spark))))
+    merged = sse.merge_calls(sse.call_deltas(sse.parse(a.recorded(spark, sf_dir))))
     return merged.select("run_id", "turn", F.posexplode("calls").alias("at", "c")).select("run_id", "turn", "at", "c.id", "c.function_name", "c.function_args")
 
 
@@ -317,7 +314,7 @@ def merge_tool_calls(spark, sf_dir):
     sum(calls)::bigint as n_calls, round_even(sum(tokens) / sum(gen_s), 6) as tok_per_s from o where not over_ and k <= 4 group by run_id""",
 )
 def turn_rollup(spark, sf_dir):
-    parsed = sse.parse(_lines(spark))
+    parsed = sse.parse(a.recorded(spark, sf_dir))
     turns = sse.fold(parsed).join(sse.merge_calls(sse.call_deltas(parsed)), ["run_id", "turn"], "left")
     out = sse.roll_up(turns)
     return out.select("run_id", "response_text", "finish_reason", "ttft_s", "gen_s", "output_tokens_approx", "turns", F.size(F.flatten("tool_calls_trace")).cast("long").alias("n_calls"), F.bround("tok_per_s", 6).alias("tok_per_s"))

@@ -13,17 +13,20 @@ LEAST_S = 1e-9
 MAX_TURNS = 4
 
 
-def parse(lines: DataFrame) -> DataFrame:
-    """Deltas of well-formed data lines: run_id, turn, seq, arrival, content, reasoning, tool_calls, finish_reason. Works on a stream too."""
+DONE = "data: [DONE]"
+
+
+def read(lines: DataFrame) -> DataFrame:
+    """Every line with what it says: its own columns but the text, done (it is the end mark), event (it is well-formed and has a choice), content, reasoning, tool_calls, finish_reason. Works on a stream too."""
     line = t.strip(F.col("line"))
-    body = F.substr(line, F.lit(7))
-    ours = lines.where(F.startswith(line, F.lit("data: ")) & (body != "[DONE]"))
-    event = ours.where(F.try_parse_json(body).isNotNull()).withColumn("__e", F.from_json(body, schemas.struct("e " + schemas.EVENT)["e"].dataType))
+    body = F.when(F.startswith(line, F.lit("data: ")), F.substr(line, F.lit(7)))
+    whole = lines.withColumn("__e", F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, schemas.struct("e " + schemas.EVENT)["e"].dataType)))
     choice = F.try_element_at("__e.choices", F.lit(1))
     some = lambda c: F.nullif(c, F.lit(""))
-    keep = [c for c in ("run_id", "turn", "seq", "arrival") if c in lines.columns]
-    return event.where(choice.isNotNull()).select(
-        *keep,
+    return whole.select(
+        *(c for c in lines.columns if c != "line"),
+        F.coalesce(line == DONE, F.lit(False)).alias("done"),
+        choice.isNotNull().alias("event"),
         some(choice["delta"]["content"]).alias("content"),
         F.coalesce(some(choice["delta"]["reasoning_content"]), some(choice["delta"]["reasoning"])).alias("reasoning"),
         F.nullif(choice["delta"]["tool_calls"], F.array().cast(f"array<{schemas.DELTA_CALL}>")).alias("tool_calls"),
@@ -31,6 +34,12 @@ def parse(lines: DataFrame) -> DataFrame:
     )
 
 
+def parse(lines: DataFrame) -> DataFrame:
+    """Deltas of well-formed data lines: run_id, turn, seq, arrival, content, reasoning, tool_calls, finish_reason. Works on a stream too."""
+    keep = [c for c in ("run_id", "turn", "seq", "arrival") if c in lines.columns]
+    return read(lines.select(*keep, "line")).where("event and not done").drop("event", "done")
+
+
 def merge_calls(deltas: DataFrame, keys: tuple[str, ...] = ("run_id", "turn")) -> DataFrame:
     """Call deltas (keys, seq, index, id, name, arguments) to a list of calls for each key: last id, joined names and arguments, in order of first sight."""
     by = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct("seq", F.col(c).alias("x"))))), lambda s: s["x"]), "")
@@ -58,11 +67,16 @@ def fold(parsed: DataFrame, starts: DataFrame | None = None) -> DataFrame:
         F.count_if(payload).alias("n_payloads"), F.max_by("finish_reason", F.when(F.col("finish_reason").isNotNull(), F.col("seq"))).alias("finish_reason"),
     )
     out = out.join(starts, ["run_id", "turn"], "left") if starts is not None else out.withColumn("started", F.lit(0.0))
+    return timed(out)
+
+
+def timed(folded: DataFrame, *more: str) -> DataFrame:
+    """Times, tokens and rate of completions: run_id, turn, response_text, reasoning_text, first_at, last_at, n_payloads, finish_reason, started. more: further columns to keep."""
     gen = F.greatest(F.coalesce(F.col("last_at") - F.col("first_at"), F.lit(0.0)), F.lit(LEAST_S))
     tokens = t.tokens(F.col("response_text"), F.col("reasoning_text"))
-    return out.select(
+    return folded.select(
         "run_id", "turn", "response_text", "reasoning_text", (F.col("first_at") - F.col("started")).alias("ttft_s"), gen.alias("gen_s"), tokens.alias("output_tokens_approx"),
-        t.rate(tokens, gen).alias("tok_per_s"), (F.col("n_payloads") == 1).alias("single_chunk"), "finish_reason",
+        t.rate(tokens, gen).alias("tok_per_s"), (F.col("n_payloads") == 1).alias("single_chunk"), "finish_reason", *more,
     )
 
 
