@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import readers
-from . import runs
 
 #: The columns that all collectors come to, and how a block of a judge's metric is found in free text.
 COLUMNS = ("model", "framework", "task", "category", "score", "score_type", "tok_per_s")
@@ -72,8 +71,7 @@ def union(*frames: DataFrame) -> DataFrame:
 def aggregate(spark: SparkSession, root: str, seq: bool = False) -> DataFrame:
     """All results under a folder: the run log runs.csv and the last runs of lm-eval, bigcode and deepeval, as rows of one shape. What isn't there adds nothing."""
     def files(framework: str, name: str, direct: bool) -> DataFrame:
-        found = readers.result_files(spark, f"{root}/{framework}", name, direct)
-        return runs.latest_run(found, entries=readers.run_entries(spark, f"{root}/{framework}"))
+        return readers.result_files(spark, f"{root}/{framework}", name, direct).where("latest")  # other runs aren't opened
 
     return union(
         custom(readers.runs(spark, f"{root}/runs.csv"), seq),

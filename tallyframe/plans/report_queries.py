@@ -11,7 +11,7 @@ from ..sources import generators, readers, schemas
 from ..streaming import counts
 from . import adapters as a
 from . import fixtures as f
-from .registry import query
+from .registry import literal, query
 
 # --- leaderboards ---------------------------------------------------------------------------------
 
@@ -337,17 +337,17 @@ _DEEP = rf"""(select model, 'deepeval' as framework, coalesce(json_extract_strin
 _UNION = f"(select * from {_CUSTOM} union all by name select * from {_LM} union all by name select * from {_BIG} union all by name select * from {_DEEP})"
 
 
-@query("collect_custom", f"select * from {_CUSTOM}")
+@literal("collect_custom", f"select * from {_CUSTOM}")
 def collect_custom(spark, sf_dir):
     return collect.custom(_run_rows(spark))
 
 
-@query("unpivot_metrics", f"select * from {_LM} union all by name select * from {_BIG}")
+@literal("unpivot_metrics", f"select * from {_LM} union all by name select * from {_BIG}")
 def unpivot_metrics(spark, sf_dir):
     return collect.union(collect.metrics(_files(spark, f.LM_EVAL), "lm-eval"), collect.metrics(_files(spark, f.BIGCODE), "bigcode"))
 
 
-@query("extract_blocks", f"select * from {_DEEP}")
+@literal("extract_blocks", f"select * from {_DEEP}")
 def extract_blocks(spark, sf_dir):
     return collect.blocks(_files(spark, f.PYTEST))
 
@@ -356,17 +356,17 @@ def _union(spark):
     return collect.union(collect_custom(spark, ""), unpivot_metrics(spark, ""), extract_blocks(spark, ""))
 
 
-@query("union_collectors", f"select * from {_UNION}")
+@literal("union_collectors", f"select * from {_UNION}")
 def union_collectors(spark, sf_dir):
     return _union(spark)
 
 
-@query("macro_average_collected", f"select model, framework, round_even(avg(m), 6) as macro, count(*) as n_tasks from (select model, framework, task, avg(score) as m from {_UNION} group by 1, 2, 3) group by 1, 2")
+@literal("macro_average_collected", f"select model, framework, round_even(avg(m), 6) as macro, count(*) as n_tasks from (select model, framework, task, avg(score) as m from {_UNION} group by 1, 2, 3) group by 1, 2")
 def macro_average_collected(spark, sf_dir):
     return collect.macro_average(_union(spark))
 
 
-@query("judge_pass", f"select model, category as metric, count(*) as n, count(*) filter (score >= 0.5) as n_passed from {_DEEP} group by 1, 2")
+@literal("judge_pass", f"select model, category as metric, count(*) as n, count(*) filter (score >= 0.5) as n_passed from {_DEEP} group by 1, 2")
 def judge_pass(spark, sf_dir):
     return collect.judge_pass(_union(spark))
 
@@ -388,18 +388,18 @@ def _tree(spark) -> str:
 _TREE = f"(select * from {_CUSTOM} union all by name select * from {_unpivot(f.LM_TREE, 'lm-eval', 'accuracy', LM_ROOT, LM_RULE)} union all by name select * from {_BIG} union all by name select * from {_DEEP})"
 
 
-@query("aggregate_files", f"select * from {_TREE}")
+@literal("aggregate_files", f"select * from {_TREE}")
 def aggregate_files(spark, sf_dir):
     return collect.aggregate(spark, _tree(spark))
 
 
-@query("aggregate_macro", f"select model, framework, round_even(avg(m), 6) as macro, count(*) as n_tasks from (select model, framework, task, avg(score) as m from {_TREE} group by 1, 2, 3) group by 1, 2")
+@literal("aggregate_macro", f"select model, framework, round_even(avg(m), 6) as macro, count(*) as n_tasks from (select model, framework, task, avg(score) as m from {_TREE} group by 1, 2, 3) group by 1, 2")
 def aggregate_macro(spark, sf_dir):
     return collect.macro_average(collect.aggregate(spark, _tree(spark)))
 
 
 # no task of the literal rows ties with another but in the run log, where the first seen is the first by name
-@query("aggregate_top5", f"select model, framework, task, round_even(mean, 6) as task_mean, row_number() over (partition by model, framework order by mean desc, task)::int as rank from (select model, framework, task, round_even(avg(score), 9) as mean from {_TREE} group by 1, 2, 3) qualify rank <= 5")
+@literal("aggregate_top5", f"select model, framework, task, round_even(mean, 6) as task_mean, row_number() over (partition by model, framework order by mean desc, task)::int as rank from (select model, framework, task, round_even(avg(score), 9) as mean from {_TREE} group by 1, 2, 3) qualify rank <= 5")
 def aggregate_top5(spark, sf_dir):
     return collect.top_tasks(collect.aggregate(spark, _tree(spark), seq=True)).drop("first_seq")
 

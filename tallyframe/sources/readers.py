@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from . import schemas
+from . import result_tree, schemas
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -65,13 +65,6 @@ def responses(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("_metadata.file_name", r"^([^.]*)", 1).alias("run_id"), F.col("value").alias("content"))
 
 
-def run_entries(spark: SparkSession, root: str) -> DataFrame:
-    """All that lies in the models' folders under root, empty runs and stray files too: model, run_ts. A listing of names on the driver."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/*/*")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
-    return spark.createDataFrame([(f.getPath().getParent().getName(), f.getPath().getName()) for f in found], "model string, run_ts string")
-
-
 def run_meta(spark: SparkSession, root: str) -> DataFrame:
     """run_meta.json of all runs under root: model, run_ts and schemas.RUN_META."""
     files = result_files(spark, root, "run_meta.json", direct=True)
@@ -79,14 +72,8 @@ def run_meta(spark: SparkSession, root: str) -> DataFrame:
 
 
 def result_files(spark: SparkSession, root: str, file_name: str, direct: bool = False) -> DataFrame:
-    """Whole files of that name anywhere under <root>/<model>/<run>/: model, run_ts, inner (path below the run), content. direct: only those that lie in the run's own folder."""
-    if not exists(spark, root):
-        return empty(spark, "model string, run_ts string, inner string, content string")
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", file_name).text(root, wholetext=True)
-    name = root.rstrip("/").rsplit("/", 1)[-1]
-    path = F.col("_metadata.file_path")
-    part = lambda i: F.regexp_extract(path, rf"/\Q{name}\E/([^/]+)/([^/]+)/(.+)$", i)
-    return files.select(part(1).alias("model"), part(2).alias("run_ts"), part(3).alias("inner"), F.col("value").alias("content")).where("model <> ''" + " and not contains(inner, '/')" * direct)
+    """Whole files of that name anywhere under <root>/<model>/<run>/: model, run_ts, latest, inner (path below the run), content. direct: only those that lie in the run's own folder."""
+    return result_tree.load(spark, root, file_name, direct)
 
 
 def append(df: DataFrame, path: str, kind: str = "parquet") -> None:
