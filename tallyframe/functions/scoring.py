@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import text as t
+from .rounding import bound, half_even
 
 FULL, PART, NONE = 5.0, 3.0, 0.0
 
@@ -34,7 +35,7 @@ def keywords(response: Column, words: Column) -> Column:
     """Share of keywords found, of 5, half-even to one place; 0 without keywords."""
     n, lowered = F.size(words), F.lower(response)
     found = F.size(F.filter(words, lambda w: F.contains(lowered, F.lower(w))))
-    return F.when(n > 0, F.bround(F.lit(FULL) * found / n, 1)).otherwise(NONE)
+    return F.when(n > 0, half_even(F.lit(FULL) * found / n, 1)).otherwise(NONE)
 
 
 #: Fixed value: how a fenced block of code is found.
@@ -141,10 +142,15 @@ def tool_trace(trace: Column, tool: Column, args: Column, response: Column, word
     """
     calls = F.filter(F.flatten(trace), lambda x: x["function_name"] == tool)
     first = F.try_element_at(calls, F.lit(1))
-    actual = json_fields(first["function_args"])
     pairs = F.map_entries(args)
-    hits = F.size(F.filter(pairs, lambda e: python_text(F.try_element_at(actual, e["key"])) == python_text(e["value"])))
-    share = F.when(actual.isNotNull() & (F.size(pairs) > 0), F.lit(2.5) * hits / F.size(pairs)).otherwise(NONE)
+
+    def share_of(actual: Column) -> Column:
+        """actual is bound, so that it is parsed once, not for each expected argument and mention."""
+        alike = lambda given, wanted: F.when(given == wanted, True).otherwise(bound(given, python_text) == bound(wanted, python_text))
+        hits = F.size(F.filter(pairs, lambda e: alike(F.try_element_at(actual, e["key"]), e["value"])))
+        return F.when(actual.isNotNull() & (F.size(pairs) > 0), F.lit(2.5) * hits / F.size(pairs)).otherwise(NONE)
+
+    share = bound(json_fields(first["function_args"]), share_of)
     called = F.coalesce(F.when(tool.isNotNull() & (F.size(calls) > 0), F.lit(2.5) + share), F.lit(NONE))
     scored = keywords(response, words)
     with_words = F.when(called > 0, (called + scored) / 2).otherwise(scored)

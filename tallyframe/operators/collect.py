@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources import readers
+from ..functions.rounding import half_even
+from ..sources import quarantine, readers
 
 #: The columns that all collectors come to, and how a block of a judge's metric is found in free text.
 COLUMNS = ("model", "framework", "task", "category", "score", "score_type", "tok_per_s")
@@ -52,7 +53,13 @@ def metrics(files: DataFrame, framework: str, seq: bool = False) -> DataFrame:
         flat = flat.where(~F.endswith("metric", F.lit(",none")) & (F.col("metric") != "alias"))
     number = F.when(kind == "BOOLEAN", F.expr("try_variant_get(value, '$', 'boolean')").cast("double")).otherwise(F.expr("try_variant_get(value, '$', 'double')"))
     kind = "accuracy" if framework == "lm-eval" else "pass@1"
-    return flat.select(*row(F.col("model"), framework, F.col("task"), F.col("metric"), F.bround(number, 4), kind, 0.0), *(["seq"] if seq else []))
+    return flat.select(*row(F.col("model"), framework, F.col("task"), F.col("metric"), half_even(number, 4), kind, 0.0), *(["seq"] if seq else []))
+
+
+def skipped(files: DataFrame, framework: str) -> DataFrame:
+    """Files that metrics() passes over, which nobody would miss otherwise: model, run_ts, inner, reason."""
+    root = F.get_json_object("content", "$.results") if framework == "lm-eval" else None
+    return files.withColumn("reason", quarantine.file_reason(F.col("content"), root)).where("reason is not null").select("model", "run_ts", "inner", "reason")
 
 
 def blocks(files: DataFrame, seq: bool = False) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import selection
+
 
 def mean(c: Column | str) -> Column:
     """A mean that doesn't depend on the order of its rows: half-even to 6 places."""
@@ -37,8 +39,9 @@ def invalid_breakdown(runs: DataFrame) -> DataFrame:
 
 
 def medians(runs: DataFrame, *columns: str) -> DataFrame:
-    """Exact medians for each model."""
-    return runs.groupBy("model_label").agg(*(F.bround(F.median(c), 6).alias(f"median_{c}") for c in columns))
+    """Exact medians for each model, by distributed selection."""
+    found = selection.medians(runs, ["model_label"], *columns)
+    return found.select("model_label", *(F.bround(f"median_{c}", 6).alias(f"median_{c}") for c in columns))
 
 
 def baseline_delta(summary: DataFrame, baseline: str, value: str = "mean_score") -> DataFrame:

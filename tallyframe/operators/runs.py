@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rounding import half_even
+
 
 def work_list(cases: DataFrame, models: DataFrame, repeats: int = 3, creative_seeds=(41, 42, 43), seed: int = 42) -> DataFrame:
     """Every case with every model and repeat, with the repeat's seed."""
@@ -87,7 +89,7 @@ def run_table(transcripts: DataFrame, cases: DataFrame, registry: DataFrame) ->
 
     Transcripts carry repeat and seed; seconds are rounded to 4 places, tokens a second to 2.
     """
-    m = lambda c, n: F.bround(F.coalesce(F.col(f"metrics.{c}"), F.lit(0.0)), n).alias(c)
+    m = lambda c, n: half_even(F.coalesce(F.col(f"metrics.{c}"), F.lit(0.0)), n).alias(c)
     asked = declared(cases).select(F.col("id").alias("prompt_id"), "temperature", "top_p", "max_tokens")
     joined = registered(transcripts, registry.withColumnRenamed("label", "model_label")).join(asked, "prompt_id", "left")
     return joined.select(

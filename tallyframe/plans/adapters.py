@@ -75,7 +75,8 @@ def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     What users say is reasoning, the rest content. Every third turn calls a tool, its arguments in two events; each turn
     begins with a line that says nothing, or with a broken one, and ends with an end mark, but every fifth conversation.
     """
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("int").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    talks = readers.balanced(table(spark, sf_dir, "conversations"))  # a text becomes many lines, which is worth a shuffle of one file
+    c = talks.select("conv_id", F.col("turn").cast("int").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
     event = lambda *fields: F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(*fields)).alias("choices"))))
     delta = lambda name, x: event(F.struct(x.alias(name)).alias("delta"))
     cuts = F.filter(F.sequence(F.lit(0), F.ceil(F.length("text") / PIECE).cast("int")), lambda k: k * PIECE < F.length("text"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import verdicts as v
-from ..operators import collect, external, pairs, reports, runs
+from ..functions.rounding import half_even
+from ..operators import collect, external, pairs, reports, runs, selection
 from ..operators import statistics as st
 from ..sources import generators, readers, schemas
 from ..streaming import counts
@@ -13,6 +14,8 @@ from . import adapters as a
 from . import fixtures as f
 from .registry import literal, query
 
+_LOG = "(select l_orderkey as prompt_id, l_suppkey as model_label, l_linenumber as repeat, l_extendedprice as score, l_quantity as quantity, l_returnflag as task, l_linestatus as framework from lineitem)"
+
 # --- leaderboards ---------------------------------------------------------------------------------
 
 
@@ -56,6 +59,13 @@ def perf_median(spark, sf_dir):
     return reports.medians(turns.withColumn("tok_per_s", t.rate(t.tokens(F.col("response")), F.col("gen_s"))), "tok_per_s", "total_s")
 
 
+@query("median_large", f"select task, framework, round_even(median(score), 6) as median_score, round_even(median(quantity), 6) as median_quantity from {_LOG} group by 1, 2")
+def median_large(spark, sf_dir):
+    """Two medians of a large log for six groups, the largest with half of all rows."""
+    found = selection.medians(a.log(spark, sf_dir), ["task", "framework"], "score", "quantity")
+    return found.select("task", "framework", *(F.bround(f"median_{c}", 6).alias(f"median_{c}") for c in ("score", "quantity")))
+
+
 @query(
     "invalid_breakdown",
     f"""select model_label, reason, count(*) as n from (select model_label, case when finish_reason = 'error' then 'error' when {a.strip('response')} = '' then 'empty'
@@ -91,7 +101,6 @@ def best_repeat(spark, sf_dir):
     return _best(spark, sf_dir).select("prompt_id", "model_label", "seq", "score")
 
 
-_LOG = "(select l_orderkey as prompt_id, l_suppkey as model_label, l_linenumber as repeat, l_extendedprice as score, l_quantity as quantity, l_returnflag as task, l_linestatus as framework from lineitem)"
 
 
 @query(
@@ -201,10 +210,26 @@ def shortened_output(spark, sf_dir):
     return docs.select("doc_id", runs.shortened(F.col("text"), last=2000).alias("tail"), runs.shortened(F.col("text"), first=200).alias("head"))
 
 
-@query("rounded_metrics", "select event_id, round_even(value, 1) as one, round_even(value, 2) as two, round_even(value, 4) as four, '[\"' || event_type || '\",\"' || user_id || '\"]' as encoded from events")
+def _exact(x: str, places: int) -> str:
+    """x >= 0 rounded by whole numbers alone: its double times 2^60 is one, for x of 2^-8 and more."""
+    y = f"(({x} * 1152921504606846976.0::double)::hugeint * {10**places})"
+    whole, rest = f"({y} // 1152921504606846976)", f"({y} % 1152921504606846976)"
+    return f"(({whole} + case when {rest} > 576460752303423488 or ({rest} = 576460752303423488 and {whole} % 2 = 1) then 1 else 0 end)::double / {10**places})"
+
+
+# halves of values, most of them between two digits, with the double before and after: all that decides is in the last bits
+_NEAR = "(select event_id, event_type, user_id, value, value + 0.005 as up, 8 + (event_id * 10 + 5) / 1000.0::double as half from events)"
+
+
+@query(
+    "rounded_metrics",
+    f"""select event_id, {_exact('value', 1)} as one, {_exact('value', 2)} as two, {_exact('value', 4)} as four, {_exact('up', 2)} as up_two, {_exact('half', 2)} as half_two,
+    '["' || event_type || '","' || user_id || '"]' as encoded from {_NEAR}""",
+)
 def rounded_metrics(spark, sf_dir):
     e = a.table(spark, sf_dir, "events")
-    return e.select("event_id", *(F.bround("value", n).alias(c) for n, c in ((1, "one"), (2, "two"), (4, "four"))), F.to_json(F.array("event_type", F.col("user_id").cast("string"))).alias("encoded"))
+    near = [half_even(F.col("value") + 0.005, 2).alias("up_two"), half_even(8 + (F.col("event_id") * 10 + 5) / F.lit(1000.0), 2).alias("half_two")]
+    return e.select("event_id", *near, *(half_even(F.col("value"), n).alias(c) for n, c in ((1, "one"), (2, "two"), (4, "four"))), F.to_json(F.array("event_type", F.col("user_id").cast("string"))).alias("encoded"))
 
 
 # --- judging --------------------------------------------------------------------------------------

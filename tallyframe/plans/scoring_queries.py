@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as s
 from ..functions import text as t
 from ..operators import runs
-from ..sources import schemas
+from ..sources import readers, schemas
 from ..streaming import counts, sse
 from . import adapters as a
 from . import fixtures as f
@@ -205,7 +205,7 @@ def extract_code(spark, sf_dir):
     select id, least(5.0, case when called > 0 then (called + kw) / 2 else kw end)::double as score from c""",
 )
 def tool_trace(spark, sf_dir):
-    e = a.table(spark, sf_dir, "events")
+    e = readers.balanced(a.table(spark, sf_dir, "events"))
     call = F.struct(F.lit("c").alias("id"), F.col("event_type").alias("function_name"), F.col("props").alias("function_args"))
     trace = F.array(F.array().cast(f"array<{schemas.CALL}>"), F.array(call))
     args = F.create_map(F.lit("k"), F.lit("7"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..sources import quarantine
 from ..streaming import completions, counts, framing
 from . import adapters as a
 from .registry import query
@@ -46,3 +47,33 @@ def line_framing(spark, sf_dir):
     cuts = F.sequence(F.lit(0), F.floor(F.length("text") / F.col("w")).cast("int"))
     chunks = rows.select("run_id", "turn", "text", "w", F.explode(cuts).alias("seq")).select("run_id", "turn", F.col("seq").cast("long").alias("seq"), F.substring(F.col("text"), F.col("seq") * F.col("w") + 1, F.col("w")).alias("chunk"))
     return framing.lines(chunks, span=16)
+
+
+# every line of a text is an event; some are planted as broken, by the line's place in its text
+_PLANTED = """(select conv_id, turn, i - 1 as n, line, (conv_id + turn + i - 1) % 6 as kind from (select conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from conversations))"""
+_REASON = "case kind when 1 then 'not JSON' when 2 then 'no choice' when 3 then 'no data line' end"
+
+
+@query(
+    "quarantine_lines",
+    f"""select 'dead' as part, {_REASON} as reason, conv_id || '/' || turn || '/' || n as place, case kind when 1 then 'data: {{broken ' || line when 2 then 'data: {{"choices":[]}}' else 'line ' || line end as raw, null::bigint as n
+    from {_PLANTED} where kind in (1, 2, 3)
+    union all select 'good', null, conv_id || '/' || turn, null, count(*) from {_PLANTED} where kind not in (1, 2, 3) group by conv_id, turn
+    union all select 'count', name, null, null, n from (select count(*) as n_read, count(*) filter (kind not in (1, 2, 3)) as n_good, count(*) filter (kind = 1) as n_not_JSON, count(*) filter (kind = 2) as n_no_choice,
+        count(*) filter (kind = 3) as n_no_data_line, 0 as n_other from {_PLANTED}) unpivot (n for name in (n_read, n_good, n_not_JSON, n_no_choice, n_no_data_line, n_other))""",
+)
+def quarantine_lines(spark, sf_dir):
+    """Lines of texts as events, broken ones among them: every dead row with its reason and place, good rows by turn, and what was counted in the same pass."""
+    c = a.table(spark, sf_dir, "conversations")
+    each = c.select("conv_id", "turn", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "text"))
+    kind = (F.col("conv_id") + F.col("turn") + F.col("n")) % 6
+    event = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))))
+    line = F.when(kind == 0, ": keep-alive").when(kind == 1, F.concat(F.lit("data: {broken "), "text")).when(kind == 2, 'data: {"choices":[]}').when(kind == 3, F.concat(F.lit("line "), "text")).when(kind == 4, "data: [DONE]").otherwise(event)
+    rows = each.select("conv_id", "turn", "n", line.alias("line"))
+    place = F.concat_ws("/", "conv_id", "turn", "n")
+    out = quarantine.divide(rows, quarantine.event_reason(F.col("line")), place, F.col("line"), counts.own_path(spark, "quarantine"), ("not JSON", "no choice", "no data line"))
+    text, none = F.lit(None).cast("string"), F.lit(None).cast("long")
+    dead = out.dead.select(F.lit("dead").alias("part"), "reason", "place", "raw", none.alias("n"))
+    good = out.good.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).select(F.lit("good").alias("part"), text.alias("reason"), F.concat_ws("/", "conv_id", "turn").alias("place"), text.alias("raw"), "n")
+    told = spark.createDataFrame([("count", k, None, None, v) for k, v in out.counts.items()], "part string, reason string, place string, raw string, n long")
+    return dead.unionByName(good).unionByName(told)

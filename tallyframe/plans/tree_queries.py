@@ -139,3 +139,19 @@ _MEANS = f"(select model, framework, task, round_even(avg(score), 9) as mean fro
 def aggregate_top5(spark, sf_dir):
     """Ties go by the task's name: what Spark writes has no order of its own."""
     return collect.top_tasks(collect.aggregate(spark, _tree(spark, sf_dir))).drop("first_seq")
+
+
+_DAY = "substr(run_ts, 7, 2)::int % 4"
+
+
+@query(
+    "skipped_files",
+    f"select model, run_ts, 'a b/results.json' as inner, case {_DAY} when 1 then 'not JSON' when 2 then 'no object' else 'empty' end as reason from (select distinct model, run_ts from {_CELLS}) where {_DAY} <> 0",
+)
+def skipped_files(spark, sf_dir):
+    """A tree in which the files of three days in four are broken, each in another way."""
+    day = F.substring("run_ts", 7, 2).cast("int") % 4
+    broken = F.when(day == 1, F.left("content", F.lit(20))).when(day == 2, F.replace(F.col("content"), F.lit('"results"'), F.lit('"result"'))).when(day == 3, F.lit(" ")).otherwise(F.col("content"))
+    root = counts.own_path(spark, "results")
+    result_tree.save(_files(spark, sf_dir, "lm-eval").withColumn("content", broken), root)
+    return collect.skipped(result_tree.load(spark, root, "results.json"), "lm-eval")
