@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..functions.rounding import half_even
 from ..sources import schemas
 
 #: The least time that a completion is taken to last.
@@ -102,7 +103,7 @@ def whole(responses: DataFrame) -> DataFrame:
     parsed = responses.where(F.try_parse_json("content").isNotNull()).withColumn("r", F.from_json("content", schemas.struct("r " + schemas.RESPONSE)["r"].dataType))
     choice = F.try_element_at("r.choices", F.lit(1))
     n = lambda c: F.coalesce(F.col(f"r.timings.{c}"), F.lit(0)).alias(c)
-    rate = lambda c: F.bround(F.coalesce(F.col(f"r.timings.{c}"), F.lit(0.0)), 2).alias(c)
+    rate = lambda c: half_even(F.coalesce(F.col(f"r.timings.{c}"), F.lit(0.0)), 2).alias(c)
     texts = (t.strip(F.coalesce(choice["message"]["content"], F.lit(""))).alias("response_text"), F.coalesce(choice["message"]["reasoning_content"], F.lit("")).alias("reasoning_text"))
     return parsed.where(choice.isNotNull()).select("run_id", *texts, choice["finish_reason"].alias("finish_reason"), n("prompt_n"), rate("prompt_per_second"), n("predicted_n"), rate("predicted_per_second"))
 
