@@ -90,10 +90,12 @@ def test_divergence_of_clashing_names_long_texts_and_no_rows(spark):
     assert divergence.report(docs.limit(0)).collect() == []
 
 
-def test_shares_are_exact_for_large_counts(spark):
-    n, total, kinds = 9 * 10**12, 3 * 10**13 + 7, 10**9 + 9
-    got = spark.range(1).select(divergence.share(F.lit(n), F.lit(total), F.lit(kinds)).alias("p"), divergence.surprise(F.lit(10**9 + 1).cast("long"), F.lit(1).cast("long")).alias("f")).first()
-    assert (got.p, got.f) == (1 + 10**9 * (n + 1) // (total + kinds), 10**18)
+def test_shares_are_exact_for_counts_of_any_size(spark):
+    total, kinds = 3 * 10**13 + 7, 10**9 + 9
+    counts = [0, 1, 9_223_372_034, 9_223_372_035, 9_223_372_036, 9_223_372_037, 9 * 10**12]
+    got = spark.createDataFrame([(n,) for n in counts], "n long").select("n", divergence.share(F.col("n"), F.lit(total), F.lit(kinds)).alias("p")).collect()
+    assert [r.p for r in got] == [1 + 10**9 * (r.n + 1) // (total + kinds) for r in got]
+    assert spark.range(1).select(divergence.surprise(F.lit(10**9 + 1).cast("long"), F.lit(1).cast("long")).alias("f")).first().f == 10**18
 
 
 # --- centroids ------------------------------------------------------------------------------------
