@@ -82,14 +82,16 @@ def report(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP) -> DataFram
     words = cut(kept_words(docs, least), "words")
     langs = small(cut(groups_of(docs, words), "groups"))
     dense = words.join(langs.withColumnsRenamed({"total": "lang_total"}), "lang")
-    n = lambda g: F.coalesce(F.col("counts")[g["source"]], F.lit(0).cast("long"))
-    shares = F.transform("groups", lambda g: F.struct(g["source"].alias("source"), n(g).alias("n"), share(n(g), g["total"], F.col("kinds")).alias("p")))
-    dense = dense.select("lang", "term", share(F.col("n"), F.col("lang_total"), F.col("kinds")).alias("q"), shares.alias("shares"))
+    # a count is looked up once for each group, and the shares are written once for both parts
+    n = F.transform("groups", lambda g: F.coalesce(F.col("counts")[g["source"]], F.lit(0).cast("long")))
+    dense = dense.select("lang", "term", "groups", "kinds", share(F.col("n"), F.col("lang_total"), F.col("kinds")).alias("q"), n.alias("ns"))
+    shares = F.transform("groups", lambda g, i: share(F.get("ns", i), g["total"], F.col("kinds")))
+    dense = cut(dense.select("lang", "term", "q", "ns", shares.alias("ps")), "shares")
 
     # both sides of the self-join come out of the word's own row
-    one = dense.select("lang", "shares", F.posexplode("shares").alias("i", "one"))
-    both = one.select("lang", "i", F.col("one.p").alias("p"), F.posexplode("shares").alias("j", "other")).where("i <> j")
-    sums = both.groupBy("lang", "i", "j").agg(F.sum(surprise(F.col("p"), F.col("other.p"))).alias("value"))
+    one = dense.select("lang", "ps", F.posexplode("ps").alias("i", "p"))
+    both = one.select("lang", "i", "p", F.posexplode("ps").alias("j", "other")).where("i <> j")
+    sums = both.groupBy("lang", "i", "j").agg(F.sum(surprise(F.col("p"), F.col("other"))).alias("value"))
     source = lambda c: F.get("groups", F.col(c))["source"]
     pairs = sums.join(langs.select("lang", "groups"), "lang").select("lang", source("i").alias("source"), source("j").alias("item"), "value")
     bare = langs.where("kinds = 0").select("lang", "groups", F.explode("groups.source").alias("source"))
@@ -97,9 +99,11 @@ def report(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP) -> DataFram
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), F.asc("item"))
     pairs = pairs.unionByName(bare).select("lang", "source", F.lit("pair").alias("part"), "item", "value", F.row_number().over(by_value).alias("rank"))
 
-    own = dense.select("lang", F.col("term").alias("item"), "q", F.inline("shares")).where("n > 0 and p > q")
-    own = own.select("lang", "source", F.lit("term").alias("part"), "item", surprise(F.col("p"), F.col("q")).alias("value"))
-    terms = own.withColumn("rank", F.row_number().over(by_value)).where(F.col("rank") <= top)
+    own = dense.select("lang", F.col("term").alias("item"), "q", "ns", F.posexplode("ps").alias("i", "p")).where((F.get("ns", "i") > 0) & (F.col("p") > F.col("q")))
+    own = own.select("lang", "i", "item", surprise(F.col("p"), F.col("q")).alias("value"))
+    by_group = Window.partitionBy("lang", "i").orderBy(F.desc("value"), F.asc("item"))
+    own = own.withColumn("rank", F.row_number().over(by_group)).where(F.col("rank") <= top).join(langs.select("lang", "groups"), "lang")
+    terms = own.select("lang", source("i").alias("source"), F.lit("term").alias("part"), "item", "value", "rank")
     return pairs.unionByName(terms)
 
 
