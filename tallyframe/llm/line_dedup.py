@@ -18,8 +18,10 @@ With `every`, lines of WORD_CHARS characters and FEW_WORDS words are alike too i
 shorter line's and one at least, is edited. Words are what blanks separate, and each character of a script written without
 blanks. They are joined as above, words in the place of characters, with segments for each number of edits; for one edit
 the segments are the words, all but one of which must be shared, since the halves of a short line say too little. Lines of
-4 * every words and more, whose segments would be too many, file rare runs of words: such a pair has eight words in a row
-unedited, and of any eight the least hashed run of RUN words in each three is filed by both.
+4 * every words and more, whose segments would be too many, file their rarest runs of RUN words: an edit changes RUN of
+them at most, so if all lines put their runs in one order, the first run that two such lines share is among the first
+RUN * edits + 1 of each. The order puts runs first that all lines have least often, by counts in SLOTS slots, so what
+very many lines share, such as a passage, brings none of them together. Any order loses nothing.
 
 Defined results: a null text has no lines and stays null; a null id comes after all others; rows alike in id and text
 are one document and treated alike; a document all of whose lines go is left with an empty text; an empty table gives an
@@ -46,7 +48,9 @@ WORD_CHARS = 40
 #: Lines that a task remembers to have filed, so that a very common one is filed once a task.
 FILED = 300_000
 #: For comparing words: one in EVERY may be edited, in lines of FEW_WORDS and more; RUN words make a key of a long line.
-EVERY, FEW_WORDS, RUN = 10, 5, 6
+EVERY, FEW_WORDS, RUN = 10, 5, 3
+#: Runs are counted by their hashes in so many slots, a power of two: what a task sends of its counts and what all tasks are sent back.
+SLOTS = 1 << 16
 #: Rows of labels that are broadcast at most; the lines they are joined with are small numbers too.
 FEW = 50_000
 #: What is trimmed from a line's ends.
@@ -156,8 +160,35 @@ def one_word_buckets(hashes: np.ndarray, first: np.ndarray, most: int) -> tuple[
     return mix(keys ^ mix(count.astype(np.uint64) + np.uint64(1))), owners
 
 
-def word_buckets(lines: list[str], every: int = EVERY) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets by words of a batch of lines, and which line each is of."""
+def long_runs(hashes: np.ndarray, first: np.ndarray, every: int) -> tuple[np.ndarray, np.ndarray]:
+    """All runs of RUN words of the lines of 4 * every words and more, and which line each is of."""
+    sizes, runs = np.diff(first), shingles(hashes, RUN)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    inside = (owner[: len(runs)] == owner[RUN - 1 :]) & (sizes[owner[: len(runs)]] >= 4 * every)
+    return runs[inside], owner[: len(runs)][inside]
+
+
+def slots(runs: np.ndarray) -> np.ndarray:
+    return (runs % np.uint64(SLOTS)).astype(np.int64)
+
+
+def rare_runs(hashes: np.ndarray, first: np.ndarray, every: int, levels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The first RUN * edits + 1 distinct runs of each line of long_runs(), by the levels of their slots, and which line each is of."""
+    runs, owner = long_runs(hashes, first, every)
+    if levels is not None:
+        runs = (levels[slots(runs)].astype(np.uint64) << np.uint64(56)) | (runs >> np.uint64(8))  # the level leads the order
+    order = np.lexsort((runs, owner))
+    runs, owner = runs[order], owner[order]
+    new = np.ones(len(runs), bool)
+    new[1:] = (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])
+    runs, owner = runs[new], owner[new]
+    place = np.arange(len(runs)) - np.searchsorted(owner, owner)
+    kept = place <= RUN * word_limit(np.diff(first), every)[owner]
+    return mix(runs[kept]), owner[kept]
+
+
+def word_buckets(lines: list[str], every: int = EVERY, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets by words of a batch of lines, and which line each is of. levels: of all slots, see run_levels()."""
     hashes, first = word_hashes(lines)
     sizes, words = np.diff(first), as_chars((hashes >> np.uint64(1)).astype(np.int64), first)
     one, own = one_word_buckets(hashes, first, 2 * every)
@@ -168,16 +199,9 @@ def word_buckets(lines: list[str], every: int = EVERY) -> tuple[np.ndarray, np.n
         key, owner = buckets([words[i] for i in own], edits, near, top)
         keys.append(mix(key + np.uint64(edits)))
         owners.append(own[owner])
-    runs = shingles(hashes, RUN)
-    if len(runs) > 2:
-        owner = np.repeat(np.arange(len(lines)), sizes)
-        least = np.minimum(np.minimum(runs[:-2], runs[1:-1]), runs[2:])
-        inside = (owner[: len(least)] == owner[RUN + 1 :]) & (sizes[owner[: len(least)]] >= 4 * every)
-        chosen = np.zeros(len(runs), bool)
-        for d in range(3):
-            chosen[d : d + len(least)] |= inside & (runs[d : d + len(least)] == least)
-        keys.append(runs[chosen])
-        owners.append(owner[: len(runs)][chosen])
+    key, owner = rare_runs(hashes, first, every, levels)
+    keys.append(key)
+    owners.append(owner)
     return np.concatenate(keys), np.concatenate(owners)
 
 
@@ -345,6 +369,27 @@ def _file(file):
     return run
 
 
+def _count_runs(every: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            lines = b.drop_duplicates("h")["line"].tolist()
+            for at, end in chunks(lines):
+                counts += np.bincount(slots(long_runs(*word_hashes(lines[at:end]), every)[0]), minlength=SLOTS)
+        at = np.flatnonzero(counts)
+        yield pd.DataFrame({"slot": at, "n": counts[at]})
+
+    return run
+
+
+def run_levels(lines: DataFrame, every: int) -> np.ndarray:
+    """How often runs of all lines (h, line) fall into each slot, on a scale of eighths of powers of two: SLOTS bytes, whatever the corpus."""
+    counted = lines.mapInPandas(_count_runs(every), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows at most
+    levels = np.zeros(SLOTS, np.uint8)
+    levels[counted["slot"].to_numpy(np.int64)] = np.minimum(255, 8 * np.log2(1 + counted["n"].to_numpy(np.float64))).astype(np.uint8)
+    return levels
+
+
 def char_distances(a: list[str], b: list[str], edits: int = EDITS, near: int = NEAR_CHARS) -> np.ndarray:
     """Edits of each pair of lines as a share of how many may be; over 1 where they are not alike."""
     n = np.minimum(np.fromiter(map(len, a), np.int64, len(a)), np.fromiter(map(len, b), np.int64, len(b)))
@@ -457,7 +502,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     labels, _ = links.classes(members, distances, 1 + 1e-9, "lines", open_pairs)
     if every:
         tidy(docs.sparkSession)
-        members = near.where(F.length("line") >= WORD_CHARS).mapInPandas(_file(lambda x: word_buckets(x, every)), "bucket long, id long")
+        worded = near.where(F.length("line") >= WORD_CHARS)
+        levels = run_levels(worded, every)
+        members = worded.mapInPandas(_file(lambda x: word_buckets(x, every, levels)), "bucket long, id long")
         by_words, _ = links.classes(members, lambda pairs: with_texts(pairs).mapInPandas(_verify_words(every), "a long, b long, d double"), 1 + 1e-9, "words", word_open_pairs)
         tidy(docs.sparkSession)
         labels = links.components(labels.union(by_words).select(F.col("id").alias("a"), F.col("label").alias("b")))

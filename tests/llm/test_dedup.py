@@ -186,6 +186,22 @@ def test_lines_with_few_edited_words_share_a_bucket_and_are_verified():
     assert line_dedup.word_distances([a], [a[:9] + "十" + a[10:]])[0] <= 1
 
 
+def test_rare_runs_keep_alike_lines_together_and_passages_apart():
+    rng = random.Random(14)
+    passage = prose(rng, 60)
+    lines = [f"{prose(rng, 30)} {passage} {prose(rng, 30)}" for _ in range(300)]
+    lines += [reworded(rng, lines[i], 11) for i in range(100)] + ["a " * 60 + "b", "a " * 30 + "c " + "a " * 30]
+    counts = np.bincount(line_dedup.slots(line_dedup.long_runs(*line_dedup.word_hashes(lines), 10)[0]), minlength=line_dedup.SLOTS)
+    levels = np.minimum(255, 8 * np.log2(1 + counts)).astype(np.uint8)
+    for ordered in (None, levels):
+        keys, owner = line_dedup.word_buckets(lines, 10, ordered)
+        filed = [set(keys[owner == i].tolist()) for i in range(len(lines))]
+        for i in range(100):
+            assert not words_alike(lines[i], lines[300 + i]) or filed[i] & filed[300 + i]
+        assert filed[400] & filed[401]
+    assert max(np.unique(keys, return_counts=True)[1]) <= 4  # what 400 lines share is no key
+
+
 def test_lines_with_edited_words_against_brute_force(spark):
     rng = random.Random(9)
     base = [prose(rng, n) for n in (10, 16, 25, 60, 100)]
