@@ -48,9 +48,11 @@ WORD_CHARS = 40
 #: Lines that a task remembers to have filed, so that a very common one is filed once a task.
 FILED = 300_000
 #: For comparing words: one in EVERY may be edited, in lines of FEW_WORDS and more; RUN words make a key of a long line.
-EVERY, FEW_WORDS, RUN = 10, 5, 3
+EVERY, FEW_WORDS, RUN = 10, 5, 4
 #: Runs are counted by their hashes in so many slots, a power of two: what a task sends of its counts and what all tasks are sent back.
 SLOTS = 1 << 16
+#: Pairs that are worth a task of their own.
+PAIRS = 256
 #: Rows of labels that are broadcast at most; the lines they are joined with are small numbers too.
 FEW = 50_000
 #: What is trimmed from a line's ends.
@@ -305,15 +307,15 @@ def _long_distance(x: str, y: str, limit: int) -> int:
     return int(row[len(b) - len(a) + limit])
 
 
-def _widening(a: list[str], b: list[str], limit: int) -> np.ndarray:
-    """edit_distances() for any limit: with a narrow band first, and wider ones only for pairs that it doesn't settle."""
-    tried = min(limit, 7)
-    out = edit_distances(a, b, tried)
-    while tried < limit and (out > tried).any():
-        at = np.flatnonzero(out > tried)
-        tried = min(limit, 31) if tried < 31 else limit
-        x, y = [a[i] for i in at], [b[i] for i in at]
-        out[at] = edit_distances(x, y, tried) if tried <= 31 else [_long_distance(p, q, tried) for p, q in zip(x, y, strict=True)]
+def _widening(a: list[str], b: list[str], limits: np.ndarray) -> np.ndarray:
+    """Edit distances as far as each pair's limit: all pairs with a narrow band, and with wider ones those that it doesn't settle."""
+    out, tried = np.ones(len(a), np.int64), 0
+    for band in (3, 7, 31):
+        at = np.flatnonzero((out > tried) & (limits > tried))
+        out[at] = edit_distances([a[i] for i in at], [b[i] for i in at], band)
+        tried = band
+    for i in np.flatnonzero((out > tried) & (limits > tried)):
+        out[i] = _long_distance(a[i], b[i], int(limits[i]))
     return out
 
 
@@ -331,15 +333,12 @@ def word_distances(a: list[str], b: list[str], every: int = EVERY) -> np.ndarray
     """Edited words of each pair of lines as a share of how many may be; over 1 where they are not alike."""
     hashes, first = word_hashes(a + b)
     codes, sizes = np.unique(hashes, return_inverse=True)[1], np.diff(first)
-    words = as_chars(codes, first)
-    x, y = words[: len(a)], words[len(a) :]
     least = np.minimum(sizes[: len(a)], sizes[len(a) :])
     limits, out = word_limit(least, every), np.full(len(a), 3.0)
-    near = (least >= FEW_WORDS) & (lacking(codes, sizes, len(a)) <= limits)  # most pairs are told apart by their words alone
-    for limit in np.unique(limits[near]).tolist():
-        at = np.flatnonzero((limits == limit) & near)
-        xs, ys = [x[i] for i in at], [y[i] for i in at]
-        out[at] = _widening(xs, ys, limit) / limit
+    at = np.flatnonzero((least >= FEW_WORDS) & (lacking(codes, sizes, len(a)) <= limits))  # most pairs are told apart by their words alone
+    if len(at):
+        words = as_chars(codes, first)
+        out[at] = _widening([words[i] for i in at], [words[len(a) + i] for i in at], limits[at]) / limits[at]
     return out
 
 
@@ -479,6 +478,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         needed = cut(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct(), "line-needed")
         texts = cut(links.restrict(lines.select("h", "line"), needed, "h").groupBy("h").agg(F.first("line").alias("line")), "line-texts")
         scratch.append(texts)
+        tasks = min(pairs.sparkSession.sparkContext.defaultParallelism, 1 + pairs.count() // PAIRS)
+        if pairs.rdd.getNumPartitions() < tasks:  # a small file of ids is much work for one task
+            pairs = pairs.repartition(tasks)
         return pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("ta")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("tb")), "b")
 
     def distances(pairs: DataFrame) -> DataFrame:
