@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import report_queries, scoring_queries, stream_queries, tree_queries  # noqa: F401  they register
+from . import report_queries, scoring_queries, stream_queries, table_queries, tree_queries  # noqa: F401  they register
 from .registry import QUERIES, SQL, Query
 
 

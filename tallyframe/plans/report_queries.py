@@ -112,7 +112,7 @@ def best_repeat_large(spark, sf_dir):
     return best.select("prompt_id", "repeat", "score", "quantity")
 
 
-@query("needs_judge", f"select model_label, count(*) as n from {a.values([r[:6] for r in f.RUN_ROWS], 'model_label', 'prompt_id', 'category', 'score_raw', 'score_type', 'tok')} where score_type is null or score_type = 'needs_judge' group by 1")
+@literal("needs_judge", f"select model_label, count(*) as n from {a.values([r[:6] for r in f.RUN_ROWS], 'model_label', 'prompt_id', 'category', 'score_raw', 'score_type', 'tok')} where score_type is null or score_type = 'needs_judge' group by 1")
 def needs_judge(spark, sf_dir):
     return _run_rows(spark).where(runs.needs_judge(F.col("score_type"))).groupBy("model_label").agg(F.count("*").alias("n"))
 
@@ -125,7 +125,7 @@ def sanity_prefix(spark, sf_dir):
     return runs.opening_is_empty(a.runs(spark, sf_dir), ["model_label"], F.col("score") < 50, "seq")
 
 
-@query(
+@literal(
     "work_list",
     f"""select c.id, m.label, r as repeat, case when c.category = 'creative' then [41, 42, 43][r] else 42 end as seed
     from {a.values([(x[0], x[1]) for x in f.CASES], 'id', 'category')} c, {a.values([(x[0],) for x in f.MODELS], 'label')} m, (select unnest([1, 2, 3])::int as r)""",
@@ -135,7 +135,7 @@ def work_list(spark, sf_dir):
     return runs.work_list(cases, spark.createDataFrame([(x[0],) for x in f.MODELS], "label string")).select("id", "label", "repeat", "seed")
 
 
-@query(
+@literal(
     "run_projection",
     f"""select id, coalesce(temperature, 0.0)::double as temperature, coalesce(max_tokens, 512)::int as max_tokens, case when category = 'creative' then 0.95 else 1.0 end::double as top_p
     from {a.values(f.CASES, 'id', 'category', 'temperature', 'max_tokens', 'scoring')}""",
@@ -144,7 +144,7 @@ def run_projection(spark, sf_dir):
     return runs.declared(spark.createDataFrame(f.CASES, "id string, category string, temperature double, max_tokens int, scoring string")).select("id", "temperature", "max_tokens", "top_p")
 
 
-@query("model_check", f"select label, served_model from {a.values(f.MODELS, 'label', 'served_model', 'quant')} where served_model not in (select s from {a.values(f.SERVED, 's')})")
+@literal("model_check", f"select label, served_model from {a.values(f.MODELS, 'label', 'served_model', 'quant')} where served_model not in (select s from {a.values(f.SERVED, 's')})")
 def model_check(spark, sf_dir):
     required = spark.createDataFrame(f.MODELS, "label string, served_model string, quant string")
     return runs.missing_models(required, spark.createDataFrame(f.SERVED, "served_model string")).select("label", "served_model")
@@ -156,7 +156,7 @@ def latest_run(spark, sf_dir):
     return runs.latest_run(files)
 
 
-@query(
+@literal(
     "prompt_sweep",
     f"""select t::int as target_tokens, case when t <= 50 then {a.literal(generators.SHORT_PROMPT)} else {a.literal(generators.OPENING)}
     || left(repeat({a.literal(generators.BLOCK)}, greatest((t * 4) // {len(generators.BLOCK)}, 1)::int), (t * 4)::int) || {a.literal(generators.CLOSING)} end as prompt
@@ -166,7 +166,7 @@ def prompt_sweep(spark, sf_dir):
     return generators.sweep(spark)
 
 
-@query("model_catalogue", f"select 'model' as kind, label as name, served_model, quant from {a.values(f.MODELS, 'label', 'served_model', 'quant')} union all select 'lm-eval', 'ifeval', null, null")
+@literal("model_catalogue", f"select 'model' as kind, label as name, served_model, quant from {a.values(f.MODELS, 'label', 'served_model', 'quant')} union all select 'lm-eval', 'ifeval', null, null")
 def model_catalogue(spark, sf_dir):
     return generators.catalogue(spark, {m: {"served_model": s, "quant": q} for m, s, q in f.MODELS}, {"lm-eval": ["ifeval"]})
 
@@ -281,7 +281,7 @@ _V = f"""(select *, case when json_valid(x) and regexp_replace(x, '\\s', '', 'g'
 _FIELDS = "json_extract_string(j, '$.winner') as w, json_extract_string(j, '$.a_score')::double as sa, json_extract_string(j, '$.b_score')::double as sb, coalesce(json_extract(j, '$.violations.A')::varchar, '[]') as va, coalesce(json_extract(j, '$.violations.B')::varchar, '[]') as vb"
 
 
-@query("parse_verdict", f"select prompt_id, w as winner, sa as a_score, sb as b_score from (select prompt_id, {_FIELDS} from {_V} where j is not null)")
+@literal("parse_verdict", f"select prompt_id, w as winner, sa as a_score, sb as b_score from (select prompt_id, {_FIELDS} from {_V} where j is not null)")
 def parse_verdict(spark, sf_dir):
     return _answers(spark).where("v is not null").select("prompt_id", "v.winner", "v.a_score", "v.b_score")
 
@@ -295,7 +295,7 @@ def _judged(spark):
     return _answers(spark).where("v is not null").select("prompt_id", "category", v.unswap(F.col("v"), F.col("swapped")).alias("u")).select("prompt_id", "category", "u.*")
 
 
-@query("unswap", f"select * from {_UNSWAPPED}")
+@literal("unswap", f"select * from {_UNSWAPPED}")
 def unswap(spark, sf_dir):
     return _judged(spark)
 
@@ -493,13 +493,13 @@ def bootstrap_ci(spark, sf_dir):
 # --- outside effects ------------------------------------------------------------------------------
 
 
-@query("unit_tests_exec", f"select id::bigint as id, response, test_code, unit_score::double as unit_score from {a.values([(*r, s) for r, s in zip(f.CODE, f.CODE_SCORES, strict=True)], 'id', 'response', 'test_code', 'unit_score')}")
+@literal("unit_tests_exec", f"select id::bigint as id, response, test_code, unit_score::double as unit_score from {a.values([(*r, s) for r, s in zip(f.CODE, f.CODE_SCORES, strict=True)], 'id', 'response', 'test_code', 'unit_score')}")
 def unit_tests_exec(spark, sf_dir):
     rows = spark.createDataFrame(f.CODE, "id long, response string, test_code string")
     return external.unit_tests(rows, enabled=True, seconds=2)
 
 
-@query("judge_provider", f"select prompt_id, x as answer from {a.values([(p, x) for p, _, _, x in f.ANSWERS], 'prompt_id', 'x')} where x <> ''")
+@literal("judge_provider", f"select prompt_id, x as answer from {a.values([(p, x) for p, _, _, x in f.ANSWERS], 'prompt_id', 'x')} where x <> ''")
 def judge_provider(spark, sf_dir):
     shown = spark.createDataFrame([(p,) for p, *_ in f.ANSWERS], "prompt_id string")
     record = spark.createDataFrame([(p, x if i % 2 else "", x) for i, (p, _, _, x) in enumerate(f.ANSWERS)], "prompt_id string, primary_answer string, tiebreak_answer string")

@@ -14,7 +14,7 @@ from ..sources import readers, schemas
 from ..streaming import counts, sse
 from . import adapters as a
 from . import fixtures as f
-from .registry import query
+from .registry import literal, query
 
 KEYWORDS = ["the", "and", "of", "que", "nowhere"]
 FORBIDDEN = ["pathetic", "worthless", "idiot"]
@@ -61,7 +61,7 @@ def score_exact(spark, sf_dir):
     return rows.join(items, "item_id").select("id", s.exact(F.col("response"), F.col("text")).alias("score"))
 
 
-@query("score_exact_cases", f"with j as (select id, {_CLEAN} as clean, {a.strip('expected')} as wanted from {a.values(f.EXACT, 'id', 'response', 'expected')}) select id::bigint as id, {_EXACT} as score from j")
+@literal("score_exact_cases", f"with j as (select id, {_CLEAN} as clean, {a.strip('expected')} as wanted from {a.values(f.EXACT, 'id', 'response', 'expected')}) select id::bigint as id, {_EXACT} as score from j")
 def score_exact_cases(spark, sf_dir):
     return spark.createDataFrame(f.EXACT, "id long, response string, expected string").select("id", s.exact(F.col("response"), F.col("expected")).alias("score"))
 
@@ -126,12 +126,12 @@ _BULLET = f"regexp_replace({a.strip('b')}, '^[-*• ]+', '')"
 _WRONG = f"len(list_filter({a.bullets('response')}, lambda b: {a.words(_BULLET)} <> 2))"
 
 
-@query("constraint_bullets", f"select id::bigint as id, case when len({a.bullets('response')}) = 3 then 0 else 1 end::double as penalty from {_V_BULLETS}")
+@literal("constraint_bullets", f"select id::bigint as id, case when len({a.bullets('response')}) = 3 then 0 else 1 end::double as penalty from {_V_BULLETS}")
 def constraint_bullets(spark, sf_dir):
     return _bullet_rows(spark).select("id", s.penalties(F.col("response"), _constraints(bullet_count=F.lit(3)))["bullet_count"].alias("penalty"))
 
 
-@query("constraint_bullet_words", f"select id::bigint as id, (0.5 * {_WRONG})::double as penalty from {_V_BULLETS}")
+@literal("constraint_bullet_words", f"select id::bigint as id, (0.5 * {_WRONG})::double as penalty from {_V_BULLETS}")
 def constraint_bullet_words(spark, sf_dir):
     return _bullet_rows(spark).select("id", s.penalties(F.col("response"), _constraints(words_per_bullet=F.lit(2)))["words_per_bullet"].alias("penalty"))
 
@@ -146,7 +146,7 @@ def score_constraint(spark, sf_dir):
     return _response(spark, sf_dir).select("id", s.constraints(F.col("response"), c).alias("score"))
 
 
-@query("scoreable_text", f"select id::bigint as id, coalesce(nullif({a.strip('response')}, ''), {a.strip('reasoning')}, '') as answer from {a.values(f.TEXTS, 'id', 'response', 'reasoning')}")
+@literal("scoreable_text", f"select id::bigint as id, coalesce(nullif({a.strip('response')}, ''), {a.strip('reasoning')}, '') as answer from {a.values(f.TEXTS, 'id', 'response', 'reasoning')}")
 def scoreable_text(spark, sf_dir):
     return spark.createDataFrame(f.TEXTS, "id long, response string, reasoning string").select("id", s.scoreable(F.col("response"), F.col("reasoning")).alias("answer"))
 
@@ -187,7 +187,7 @@ def score_router(spark, sf_dir):
     return a.responses(spark, sf_dir).select("id", s.route(answer, invalid, case, F.array(F.array(call)), unit).alias("r")).select("id", "r.score", "r.score_type")
 
 
-@query(
+@literal(
     "extract_code",
     f"""with c as (select *, string_split(response, chr(10)) as ls from {a.values([r[:2] for r in f.CODE], 'id', 'response')}),
     p as (select *, list_position(list_transform(ls, lambda l: regexp_matches({a.strip('l')}, '^(def |class )')), true) as first from c)
@@ -212,7 +212,7 @@ def tool_trace(spark, sf_dir):
     return e.select(F.col("event_id").alias("id"), s.tool_trace(trace, F.lit("click"), args, F.col("event_type"), _list(["i", "absent"])).alias("score"))
 
 
-@query("tool_arguments", f"select id::bigint as id, score::double as score from {a.values(f.ARGUMENTS, 'id', 'args', 'expected', 'score')}")
+@literal("tool_arguments", f"select id::bigint as id, score::double as score from {a.values(f.ARGUMENTS, 'id', 'args', 'expected', 'score')}")
 def tool_arguments(spark, sf_dir):
     rows = spark.createDataFrame([r[:3] for r in f.ARGUMENTS], "id long, args string, expected string")
     call = F.struct(F.lit("c").alias("id"), F.lit("f").alias("function_name"), F.col("args").alias("function_args"))
@@ -258,7 +258,7 @@ def real_throughput(spark, sf_dir):
     return runs.real_throughput(turns.select("bench_run_id", "run_id", "response", "reasoning"), turns.select("bench_run_id", "run_id", "model_label", "gen_s"))
 
 
-@query(
+@literal(
     "whole_responses",
     f"""with r as (select run_id, content::json as j from {a.values(f.RESPONSES, 'run_id', 'content')} where json_valid(content)), c as (select run_id, j, json_extract(j, '$.choices[0]') as c from r)
     select run_id, {a.strip("coalesce(json_extract_string(c, '$.message.content'), '')")} as response_text, coalesce(json_extract_string(c, '$.message.reasoning_content'), '') as reasoning_text, json_extract_string(c, '$.finish_reason') as finish_reason,
