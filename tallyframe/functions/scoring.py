@@ -14,7 +14,7 @@ FULL, PART, NONE = 5.0, 3.0, 0.0
 def scoreable(response: Column, reasoning: Column) -> Column:
     """The stripped response, or the stripped reasoning where that is empty."""
     own = t.strip(F.coalesce(response, F.lit("")))
-    return F.when(own != "", own).otherwise(t.strip(F.coalesce(reasoning, F.lit(""))))
+    return bound(own, lambda x: F.when(x != "", x).otherwise(t.strip(F.coalesce(reasoning, F.lit("")))))
 
 
 def is_invalid(answer: Column, finish_reason: Column, category: Column) -> Column:
@@ -25,16 +25,14 @@ def is_invalid(answer: Column, finish_reason: Column, category: Column) -> Colum
 
 def exact(response: Column, expected: Column) -> Column:
     """5 if equal but for white space and backticks around, 3 if contained whatever the case and white space, else 0."""
-    clean = t.strip(F.regexp_replace(t.strip(response), r"\A`+|`+\z", ""))
-    wanted = t.strip(expected)
+    clean, wanted = t.strip(F.btrim(t.strip(response), F.lit("`"))), t.strip(expected)
     spaced = lambda c: t.strip(F.regexp_replace(c, f"{t.SPACE}+", " "))
-    return F.when(clean == wanted, FULL).when(t.holds(clean, wanted) | t.holds(spaced(clean), spaced(wanted)), PART).otherwise(NONE)
+    return bound(clean, lambda x: F.when(x == wanted, FULL).when(t.holds(x, wanted) | t.holds(spaced(x), spaced(wanted)), PART).otherwise(NONE))
 
 
 def keywords(response: Column, words: Column) -> Column:
     """Share of keywords found, of 5, half-even to one place; 0 without keywords."""
-    n, lowered = F.size(words), F.lower(response)
-    found = F.size(F.filter(words, lambda w: F.contains(lowered, F.lower(w))))
+    n, found = F.size(words), _present(response, words)
     return F.when(n > 0, half_even(F.lit(FULL) * found / n, 1)).otherwise(NONE)
 
 
@@ -54,29 +52,27 @@ def code(response: Column) -> Column:
 
 
 def _missing(response: Column, words: Column) -> Column:
-    lowered = F.lower(response)
-    return F.size(F.filter(words, lambda w: ~F.contains(lowered, F.lower(w))))
+    return bound(F.lower(response), lambda x: F.size(F.filter(words, lambda w: ~F.contains(x, F.lower(w)))))
 
 
 def _present(response: Column, words: Column) -> Column:
-    lowered = F.lower(response)
-    return F.size(F.filter(words, lambda w: F.contains(lowered, F.lower(w))))
+    return bound(F.lower(response), lambda x: F.size(F.filter(words, lambda w: F.contains(x, F.lower(w)))))
 
 
 def penalties(response: Column, c: Column) -> dict[str, Column]:
     """What each evaluated constraint takes off; null where a case doesn't have it."""
-    words, bullets = t.word_count(response), t.bullets(response)
-    wrong = F.size(F.filter(bullets, lambda b: t.bullet_words(b) != c["words_per_bullet"]))
+    words, bullets = t.word_count(response), t.bullet_count(response)
+    wrong = bullets - t.bullets_of(response, c["words_per_bullet"])
     unless = lambda key, fine, points: F.when(c[key].isNotNull(), F.when(fine, 0.0).otherwise(points))
     each = lambda key, count, points=1.0: F.when(c[key].isNotNull(), count * F.lit(points))
     return {
         "word_count": unless("word_count", words == c["word_count"], 2.0),
         "required_words": each("required_words", _missing(response, c["required_words"])),
         "forbidden_chars": each("forbidden_chars", F.size(F.filter(c["forbidden_chars"], lambda x: F.contains(response, x)))),
-        "bullet_count": unless("bullet_count", F.size(bullets) == c["bullet_count"], 1.0),
+        "bullet_count": unless("bullet_count", bullets == c["bullet_count"], 1.0),
         "words_per_bullet": each("words_per_bullet", wrong, 0.5),
         "line_count": unless("line_count", F.size(t.filled_lines(response)) == c["line_count"], 2.0),
-        "word_range": unless("word_range", words.between(F.element_at(c["word_range"], 1), F.element_at(c["word_range"], 2)), 2.0),
+        "word_range": unless("word_range", bound(words, lambda n: n.between(F.element_at(c["word_range"], 1), F.element_at(c["word_range"], 2))), 2.0),
         "required_elements": each("required_elements", _missing(response, c["required_elements"])),
         "forbidden_words": each("forbidden_words", _present(response, c["forbidden_words"])),
         "forbidden_elements": each("forbidden_elements", _present(response, c["forbidden_elements"])),

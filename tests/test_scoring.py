@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tallyframe.functions import scoring, text
+from tallyframe.plans.scoring_queries import _constraints
 from tallyframe.sources import schemas
 
 CALL = f"array<array<{schemas.CALL}>>"
@@ -101,3 +102,26 @@ def test_router(spark):
     got = df.select(scoring.route(F.lit("it is 42"), F.lit(False), case, unit_score=F.lit(1.0)).alias("r")).collect()
     assert [tuple(g["r"]) for g in got] == [(3.0, "exact"), (None, "needs_judge"), (5.0, "keyword"), (None, "needs_judge"), (1.0, "unit_test"), (None, "needs_judge")]
     assert tuple(one(spark, scoring.route(F.lit(""), F.lit(True), {k: F.lit(None) for k in df.columns} | {"expected_keywords": F.lit(None).cast("array<string>"), "constraints": F.lit(None).cast(schemas.CONSTRAINTS)}))) == (None, "invalid")
+
+
+def test_bullets_are_counted_in_one_pass(spark):
+    texts = ["- a b\n• c\n  * d e f", "\t- - • a\tb \r\n-\n--a b\nno - a b", "-\x85a b　\n•a b", "x\n\n \n - a b", "- a b", "", "-", "\n-\x0b*a b", "- a\n\n- b\nc"] + ["- " + "a" * 5000, " " * 5000 + "- a b" + " " * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    n = [0, 1, 2, 3, -1]
+    rows = df.select("i", text.bullet_count(F.col("t")).alias("b"), F.array(*(text.bullets_of(F.col("t"), F.lit(k)) for k in n)).alias("of")).collect()
+    for r in rows:
+        lines = [x.strip() for x in texts[r["i"]].strip().split("\n")]
+        words = [len(re.sub(r"\A[-*• ]+", "", x).split()) for x in lines if re.match(r"[-*•]", x)]
+        assert (r["b"], r["of"]) == (len(words), [words.count(k) for k in n]), texts[r["i"]]
+    assert spark.createDataFrame([(None,)], "t string").select(text.bullet_count(F.col("t"))).first()[0] is None
+    scored = df.select(scoring.penalties(F.col("t"), _constraints(words_per_bullet=F.lit(2)))["words_per_bullet"])
+    assert "split(" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_responses_are_lowered_once_for_all_words(spark):
+    df = spark.createDataFrame([(1, "  The END\n", ["the", "end", "x"])], "id long, response string, words array<string>")
+    for score in (scoring.keywords(F.col("response"), F.col("words")), scoring._missing(F.col("response"), F.col("words"))):
+        plan = df.select(score)._jdf.queryExecution().optimizedPlan().toString()
+        assert "contains(lower(response" not in plan and "lower(response" in plan
+    assert "regexp" not in df.select(text.strip("response"))._jdf.queryExecution().optimizedPlan().toString()
+    assert df.select(scoring.keywords(F.col("response"), F.col("words"))).first()[0] == 3.3
