@@ -53,6 +53,8 @@ EVERY, FEW_WORDS, RUN = 10, 5, 4
 SLOTS = 1 << 16
 #: Pairs that are worth a task of their own.
 PAIRS = 256
+#: Parts that the buckets are joined in with `every`, by characters and by words: lines have some 10 and 20 buckets each, few of them shared, so disk is saved for hashing anew.
+CHAR_PARTS, WORD_PARTS = 2, 5
 #: Rows of labels that are broadcast at most; the lines they are joined with are small numbers too.
 FEW = 50_000
 #: What is trimmed from a line's ends.
@@ -350,7 +352,9 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Dat
     return rows.select("id", "dk", "pos", "line", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"))
 
 
-def _file(file):
+def _file(file, part: int = 0, parts: int = 1):
+    """(bucket, id) of the buckets that fall to one of so many parts."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filed: set[int] = set()
         for b in batches:
@@ -363,6 +367,9 @@ def _file(file):
             lines, h = b["line"].tolist(), b["h"].to_numpy()
             for at, end in chunks(lines):
                 keys, owner = file(lines[at:end])
+                if parts > 1:
+                    own = keys % np.uint64(parts) == part
+                    keys, owner = keys[own], owner[own]
                 yield pd.DataFrame({"bucket": keys.view(np.int64), "id": h[at:end][owner]})
 
     return run
@@ -468,13 +475,19 @@ def _word_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, edits: int = EDITS, every: int | None = None) -> DataFrame:
     """A row for each document that loses lines: dk (see doc_key), removed: the lines' places and, for each, where its class's first line is. every: one word in so many may be edited; None compares characters alone."""
-    lines = cut(lines_of(spread(docs.select(id_col, text_col)), id_col, text_col, min_chars), "lines", "snappy")  # texts are split once
+    lines = cut(lines_of(spread(docs.select(id_col, text_col)), id_col, text_col, min_chars), "lines", "zstd" if every else "snappy")  # texts are split once
     scratch = [lines]
     near = lines.where(F.length("line") >= near_chars).select("h", "line")
-    members = near.mapInPandas(_file(lambda x: char_buckets(x, edits, near_chars)), "bucket long, id long")
+
+    def filed(rows: DataFrame, file, parts: int) -> list[DataFrame]:
+        return [rows.mapInPandas(_file(file, part, parts), "bucket long, id long") for part in range(parts)]
 
     def with_texts(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs, "line-pairs")
+        release(*scratch[1:])  # texts of former pairs; what came of them has been written by now
+        del scratch[1:]
+        if every:
+            tidy(pairs.sparkSession)
         needed = cut(pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct(), "line-needed")
         texts = cut(links.restrict(lines.select("h", "line"), needed, "h").groupBy("h").agg(F.first("line").alias("line")), "line-texts")
         scratch.append(texts)
@@ -501,12 +514,13 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         xn = F.col("xn")
         return links.by_sets(told, sets, lambda light: shares(F.greatest("xn", "n") - limit(F.least("xn", "n")), light), "word-sets", ("n",), (xn - limit(xn), xn + limit(xn)))
 
+    members = filed(near, lambda x: char_buckets(x, edits, near_chars), CHAR_PARTS if every else 1)
     labels, _ = links.classes(members, distances, 1 + 1e-9, "lines", open_pairs)
     if every:
         tidy(docs.sparkSession)
         worded = near.where(F.length("line") >= WORD_CHARS)
         levels = run_levels(worded, every)
-        members = worded.mapInPandas(_file(lambda x: word_buckets(x, every, levels)), "bucket long, id long")
+        members = filed(worded, lambda x: word_buckets(x, every, levels), WORD_PARTS)
         by_words, _ = links.classes(members, lambda pairs: with_texts(pairs).mapInPandas(_verify_words(every), "a long, b long, d double"), 1 + 1e-9, "words", word_open_pairs)
         tidy(docs.sparkSession)
         labels = links.components(labels.union(by_words).select(F.col("id").alias("a"), F.col("label").alias("b")))

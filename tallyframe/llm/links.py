@@ -18,13 +18,14 @@ table written to the shared folder after each; their number grows with the logar
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, release, small, tidy
 
 Distances = Callable[[DataFrame], DataFrame]
 OpenPairs = Callable[[DataFrame], DataFrame]
@@ -49,11 +50,21 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
 
 
-def stars(members: DataFrame, name: str) -> DataFrame:
-    """(leader, id, pivot) for all comparisons of step 1; pivot is the item's own."""
+def shared_buckets(members: DataFrame, name: str) -> DataFrame:
+    """(bucket, id, n) of the buckets that have different items; n counts a bucket's rows."""
     bucket = Window.partitionBy("bucket")
     shared = members.select("*", F.count("*").over(bucket).alias("n"), F.min("id").over(bucket).alias("low"), F.max("id").over(bucket).alias("high"))
-    shared = cut(shared.where("low < high").select("bucket", "id", "n").distinct(), f"{name}-shared")  # items without a like end here
+    return cut(shared.where("low < high").select("bucket", "id", "n").distinct(), f"{name}-shared")  # items without a like end here
+
+
+def stars(members: Sequence[DataFrame], name: str) -> DataFrame:
+    """(leader, id, pivot) for all comparisons of step 1; pivot is the item's own."""
+    parts = []
+    for m in members:
+        parts.append(shared_buckets(m, name))
+        if len(members) > 1:
+            tidy(m.sparkSession)  # nearly all rows end here, and the next part can have their place on disk
+    shared = reduce(DataFrame.union, parts)
     weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
     lead = shared.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("w", "id")).alias("lead"))
     led = shared.select("bucket", "id").join(lead, "bucket")
@@ -64,15 +75,18 @@ def stars(members: DataFrame, name: str) -> DataFrame:
     return own.union(led.join(mixed, "bucket").select("leader", "id", "pivot")).where("leader <> id").distinct()
 
 
-def classes(members: DataFrame, distances: Distances, radius: float, name: str, open_pairs: OpenPairs | None = None) -> tuple[DataFrame, DataFrame]:
+def classes(members: DataFrame | Sequence[DataFrame], distances: Distances, radius: float, name: str, open_pairs: OpenPairs | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, label) of items that are linked to another, and the links (a, b) that were found.
 
-    members: (bucket, id), a row for each bucket of an item. distances: adds `d` to pairs (a, b) of items; where that is
+    members: (bucket, id), a row for each bucket of an item; also as parts that have no bucket in common, which are then
+    shuffled one after the other, so that the disk need hold one of them only. distances: adds `d` to pairs (a, b) of items; where that is
     over 2 * radius, any lower bound that is over 2 * radius itself may stand for it. open_pairs: for step 2, takes
     (leader, id, pivot, d, label, outsider) of all leaders that have an outsider and gives the pairs (a, b) to compare.
     """
-    led = cut(stars(members, name), f"{name}-stars")
+    led = cut(stars([members] if isinstance(members, DataFrame) else members, name), f"{name}-stars")
     near = cut(distances(led.select(F.col("leader").alias("a"), F.col("id").alias("b"))).select(F.col("a").alias("leader"), F.col("b").alias("id"), "d"), f"{name}-near")
+    if not isinstance(members, DataFrame):
+        tidy(near.sparkSession)
     links = near.where(F.col("d") <= radius).select(F.col("leader").alias("a"), F.col("id").alias("b"))
     labels = cut(components(links), f"{name}-labels")
     known = small(labels)
@@ -120,15 +134,24 @@ def by_sets(told: DataFrame, sets: DataFrame, fit: Callable[[bool], Column], nam
     close, from x's columns (named with an x before) and y's: cells, o, h and t, the mass of heavy elements and of others
     that some other member has too, label, pivot and what is carried. It is checked inside the joins.
     """
-    each = F.explode(F.arrays_zip("rest", "mass")) if "mass" in sets.columns else F.explode(F.transform("rest", lambda s: F.struct(s.alias("rest"), F.lit(1.0).alias("mass"))))
-    known = cut(sets.join(told.select("leader", "id", "pivot", "label", "outsider"), ["leader", "id"]), name)
-    rest = known.select("leader", "id", "lacks", "slack", each.alias("e")).select("leader", "id", "lacks", "slack", F.col("e.rest").alias("s"), F.col("e.mass").alias("w"))
-    rest = rest.withColumn("c", F.count("*").over(Window.partitionBy("leader", "s"))).where("c > 1")
-    own = Window.partitionBy("leader", "id")
-    before = F.coalesce(F.sum("w").over(own.orderBy("c", "s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    again, heavy = F.sum("w").over(own), F.coalesce(F.sum(F.when(F.col("c") > HEAVY, F.col("w"))).over(own), F.lit(0.0))
-    rest = rest.select("leader", "id", "s", "c", "slack", again.alias("again"), heavy.alias("h"), (F.col("lacks") - again + before).alias("before"))  # those of one member only come first
+    spark, key = told.sparkSession, ["leader", "id"]
+    known = cut(sets.join(told.select("leader", "id", "pivot", "label", "outsider"), key), name)
+    tidy(spark)  # the texts that the sets were made of
+    # elements are by far the most rows here, so they are shuffled with nothing that joins back by item, and without a mass that is 1 for all
+    if "mass" in known.columns:
+        each, w = known.select(*key, F.explode(F.arrays_zip("rest", "mass")).alias("e")).select(*key, F.col("e.rest").alias("s"), F.col("e.mass").alias("w")), F.col("w")
+    else:
+        each, w = known.select(*key, F.explode("rest").alias("s")), F.lit(1.0)
+    again = cut(each.withColumn("c", F.count("*").over(Window.partitionBy("leader", "s"))).where("c > 1"), f"{name}-again")
+    tidy(spark)
+    own = Window.partitionBy(*key)
+    before = F.coalesce(F.sum(w).over(own.orderBy("c", "s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    total, heavy = F.sum(w).over(own), F.coalesce(F.sum(F.when(F.col("c") > HEAVY, w)).over(own), F.lit(0.0))
+    rest = again.select(*key, "s", "c", total.alias("again"), heavy.alias("h"), before.alias("before")).join(known.select(*key, "lacks", "slack"), key)
+    rest = rest.withColumn("before", F.col("lacks") - F.col("again") + F.col("before")).drop("lacks")  # those of one member only come first
     rest = cut(rest.where((F.col("c") > HEAVY) | (F.col("before") <= F.col("slack"))), f"{name}-rest")
+    release(again)
+    tidy(spark)
     sums = rest.groupBy("leader", "id").agg(F.first("h").alias("h"), (F.first("again") - F.first("h")).alias("t"))
     known = known.drop("rest", "mass", "lacks", "slack").join(sums, ["leader", "id"], "left").fillna(0.0, ["h", "t"])
     known = cut(known, f"{name}-known")

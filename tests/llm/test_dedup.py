@@ -3,8 +3,10 @@
 import hashlib
 import random
 import time
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -366,3 +368,19 @@ def test_words():
     h, first, start, end = tokens.words(["  Héllo wörld_x", None, "", "HÉLLO"])
     assert first.tolist() == [0, 3, 3, 3, 4] and h[0] == h[3] and end[0] - start[0] == 5
     assert tokens.words([])[0].size == 0 and list(tokens.chunks(["a" * 10, "b", "c" * 5], 10)) == [(0, 1), (1, 3)]
+
+
+def test_buckets_are_joined_in_parts(spark):
+    lines = [" ".join(f"w{i % 7}{j}" for j in range(6 + i // 7)) for i in range(60)]
+    batch = pd.DataFrame({"h": np.arange(len(lines)), "line": lines})
+
+    def rows(part, parts):
+        filed = pd.concat(line_dedup._file(line_dedup.word_buckets, part, parts)(iter([batch])))
+        return Counter(zip(filed["bucket"].tolist(), filed["id"].tolist(), strict=True))
+
+    parts = [rows(p, 3) for p in range(3)]
+    assert all(parts) and sum(parts, Counter()) == rows(0, 1)
+    assert not {b for b, _ in parts[0]} & {b for b, _ in parts[1]}
+    members = [spark.createDataFrame(list(p.elements()), "bucket long, id long") for p in [*parts, rows(0, 1)]]
+    told = [links.classes(m, lambda p: p.withColumn("d", F.when(F.col("a") % 7 == F.col("b") % 7, 0.5).otherwise(3.0)), 1 + 1e-9, "parts")[0] for m in (members[:3], members[3])]
+    assert sorted(told[0].collect()) == sorted(told[1].collect()) and told[0].count() == len(lines)
