@@ -146,6 +146,24 @@ def test_code_runs_only_when_asked(spark):
     assert [r["unit_score"] for r in external.unit_tests(rows, enabled=True, seconds=2).collect()] == [5.0, 1.0, 0.0, 0.0, 5.0, None]
 
 
+def test_programs_run_in_forks_of_one_interpreter_and_apart(spark):
+    ends = ["import sys; sys.exit(0)", "import sys; sys.exit(3)", "import os; os._exit(0)", "import os; os.kill(os.getppid(), 9)", "x = (", "assert __name__ == '__main__'", "import atexit, os; atexit.register(os._exit, 7)"]
+    apart = ["import builtins, os; builtins.seen = 1; open('f', 'w').write('x'); os.environ['A'] = 'b'", "import builtins, os; assert not hasattr(builtins, 'seen') and not os.listdir() and not os.environ", "print(input())", "import sys; sys.stdout.write('5\\n' * 9); sys.stdout.flush(); 1 / 0"]
+    memory = ["x = 'a' * (1 << 30)", "```\nimport dataclasses\n@dataclasses.dataclass\nclass A:\n    x: int\nassert A(1) == A(1)\n```", "'a\0b'", "assert 'é\u2028' == '\\xe9\\u2028'"]
+    rows = spark.createDataFrame([(c, "") for c in ends + apart + memory], "response string, test_code string").coalesce(1)
+    assert [r["unit_score"] for r in external.unit_tests(rows, enabled=True, seconds=5).collect()] == [5.0, 1.0, 5.0, 0.0, 1.0, 5.0, 1.0] + [5.0, 5.0, 1.0, 1.0] + [1.0, 5.0, 0.0, 5.0]
+    pids = spark.createDataFrame([("import os", f"assert os.getppid() > 1 and open('/proc/%d/cmdline' % os.getppid()).read().count('_serve')")] * 3, "response string, test_code string")
+    assert {r["unit_score"] for r in external.unit_tests(pids, enabled=True).collect()} == {5.0}
+
+
+def test_same_programs_run_once_a_task(spark, tmp_path):
+    log = tmp_path / "log"
+    code = f"```\nwith open('{log}', 'a') as f:\n    f.write('x')\n```"
+    rows = spark.createDataFrame([(code, "")] * 50 + [(code, "1 / 0")] * 50, "response string, test_code string").coalesce(1)
+    assert [r["unit_score"] for r in external.unit_tests(rows, enabled=True).collect()] == [5.0] * 50 + [1.0] * 50
+    assert log.read_text() == "xx"
+
+
 def test_retries_wait_longer_each_time_and_then_raise():
     waits, calls = [], []
 
