@@ -10,6 +10,8 @@ from . import adapters as a
 from .registry import query
 from .scoring_queries import _FOLDED
 
+#: Batches that completion_fold's lines arrive in.
+BATCHES = 4
 _LATE = "run_id::bigint % 7 = 3"
 
 
@@ -26,10 +28,11 @@ def completion_fold(spark, sf_dir):
     late = late.withColumns({"seq": F.col("seq") + 1, "arrival": F.col("arrival") + 1, "line": F.lit('data: {"choices":[{"delta":{"content":" too late"}}]}')})
     path = counts.own_path(spark, "chunks")
     dealt = lines.unionByName(late).withColumn("turn", F.col("turn").cast("int"))
-    dealt.repartition(4, F.xxhash64("run_id", "turn", "seq")).write.json(path)
+    files = max(1, -(-spark.sparkContext.defaultParallelism // BATCHES))  # of a batch, so that all cores write and read
+    dealt.repartition(BATCHES * files, F.xxhash64("run_id", "turn", "seq")).write.json(path)
     last = spark.read.json(path, schema="arrival double").agg(F.max("arrival")).first()[0] or 0.0
     completions.flush_line(spark, last).coalesce(1).write.mode("append").json(path)
-    out = completions.completions(completions.run_files(spark, path))
+    out = completions.completions(completions.run_files(spark, path, files))
     return out.select("run_id", "turn", "response_text", "reasoning_text", "ttft_s", "gen_s", "output_tokens_approx", "finish_reason", "single_chunk", "ended", "n_late")
 
 

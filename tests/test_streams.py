@@ -1,9 +1,11 @@
 """Streams: literal lines against the twins, line framing, and completions folded as they arrive."""
 
 import random
+from datetime import datetime, timezone
 
 import duckdb
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallyframe.plans import adapters as a
@@ -103,3 +105,24 @@ def test_streamed_tool_calls_are_those_of_the_batch(spark):
     for r in completions.completions(folded).collect():
         assert tuple(r[: len(r) - 3]) == tuple(plain.pop((r.run_id, r.turn)))
     assert not plain
+
+
+def test_a_timer_that_was_put_off_rings_once_and_not_before():
+    from types import SimpleNamespace as N
+
+    state, timers, texts = {}, [], []
+    facts = N(get=lambda: state.get("f"), update=lambda v: state.update(f=v), clear=lambda: state.pop("f"))
+    fold = completions.Fold()
+    fold.handle = N(registerTimer=timers.append, deleteTimer=lambda t: timers.remove(t))
+    fold.facts, fold.lines = facts, N(appendList=texts.extend, get=lambda: iter(texts), clear=texts.clear)
+    at = lambda ms: datetime.fromtimestamp(ms / 1000, timezone.utc)
+    row = lambda n, ms: Row(seq=n, at=at(ms), done=False, payload=True, arrival=float(n), content="x", reasoning=None, calls=None, finish_reason=None)
+    ring = lambda t, mark: list(fold.handleExpiredTimer(("r", 1), N(getCurrentWatermarkInMs=lambda: mark), N(getExpiryTimeInMs=lambda: t)))
+    silent = completions.SILENT_MS
+    for n, ms in enumerate((1000, 5000, 9000)):
+        assert list(fold.handleInputRows(("r", 1), iter([row(n, ms)]), None)) == []
+    assert timers == [1000 + silent]  # one call for three batches
+    assert ring(timers[-1], 2000 + silent) == [] and timers[-1] == 9000 + silent
+    out = ring(timers[-1], 9000 + silent)
+    assert [(r["ended"], r["n_lines"], r["response_text"]) for r in out] == [("time-out", 3, "xxx")] and timers[-1] == 9000 + 2 * silent
+    assert ring(timers[-1], 9000 + 2 * silent) == [] and "f" not in state
