@@ -21,7 +21,9 @@ the segments are the words, all but one of which must be shared, since the halve
 4 * every words and more, whose segments would be too many, file their rarest runs of RUN words: an edit changes RUN of
 them at most, so if all lines put their runs in one order, the first run that two such lines share is among the first
 RUN * edits + 1 of each. The order puts runs first that all lines have least often, by counts in SLOTS slots, so what
-very many lines share, such as a passage, brings none of them together. Any order loses nothing.
+very many lines share, such as a passage, brings none of them together. Any order loses nothing. The first run that no
+edit changes is one of these too, and its place and the line's length differ by the edits at most between two alike lines:
+lines that have a run by chance, at places or in lengths too far apart, do not meet (see links.shared_buckets).
 
 Defined results: a null text has no lines and stays null; a null id comes after all others; rows alike in id and text
 are one document and treated alike; a document all of whose lines go is left with an empty text; an empty table gives an
@@ -51,10 +53,12 @@ FILED = 300_000
 EVERY, FEW_WORDS, RUN = 10, 5, 4
 #: Runs are counted by their hashes in so many slots, a power of two: what a task sends of its counts and what all tasks are sent back.
 SLOTS = 1 << 16
+#: Of a long line's run: the line's words, and the run's first and last place there. Larger ones than TOP, which are rare, are taken to be TOP, and such a line's places to be any.
+SPOT, TOP = ("size", "low", "high"), (1 << 15) - 1
 #: Pairs that are worth a task of their own.
 PAIRS = 256
 #: Parts that the buckets are joined in with `every`, by characters and by words: lines have some 10 and 20 buckets each, few of them shared, so disk is saved for hashing anew.
-CHAR_PARTS, WORD_PARTS = 2, 5
+CHAR_PARTS, WORD_PARTS = 2, 3
 #: Rows of labels that are broadcast at most; the lines they are joined with are small numbers too.
 FEW = 50_000
 #: What is trimmed from a line's ends.
@@ -176,23 +180,33 @@ def slots(runs: np.ndarray) -> np.ndarray:
     return (runs % np.uint64(SLOTS)).astype(np.int64)
 
 
-def rare_runs(hashes: np.ndarray, first: np.ndarray, every: int, levels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """The first RUN * edits + 1 distinct runs of each line of long_runs(), by the levels of their slots, and which line each is of."""
+def rare_runs(hashes: np.ndarray, first: np.ndarray, every: int, levels: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first RUN * edits + 1 distinct runs of each line of long_runs(), by the levels of their slots, which line each is of, and its SPOT."""
     runs, owner = long_runs(hashes, first, every)
+    at = np.arange(len(runs)) - np.searchsorted(owner, owner)
     if levels is not None:
         runs = (levels[slots(runs)].astype(np.uint64) << np.uint64(56)) | (runs >> np.uint64(8))  # the level leads the order
-    order = np.lexsort((runs, owner))
-    runs, owner = runs[order], owner[order]
-    new = np.ones(len(runs), bool)
-    new[1:] = (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])
-    runs, owner = runs[new], owner[new]
+    order = np.lexsort((runs, owner))  # stable, so equal runs of a line are in the order of their places
+    runs, owner, at = runs[order], owner[order], at[order]
+    new = np.ones(len(runs) + 1, bool)
+    new[1:-1] = (runs[1:] != runs[:-1]) | (owner[1:] != owner[:-1])
+    new = np.flatnonzero(new[: len(runs) + bool(len(runs))])
+    runs, owner, low, high = runs[new[:-1]], owner[new[:-1]], at[new[:-1]], at[new[1:] - 1]
     place = np.arange(len(runs)) - np.searchsorted(owner, owner)
-    kept = place <= RUN * word_limit(np.diff(first), every)[owner]
-    return mix(runs[kept]), owner[kept]
+    sizes = np.diff(first)[owner]
+    kept = place <= RUN * word_limit(sizes, every)
+    wide = sizes > TOP
+    spot = np.stack([np.minimum(sizes, TOP), np.where(wide, 0, low), np.where(wide, TOP, high)], 1)
+    return mix(runs[kept]), owner[kept], spot[kept].astype(np.int16)
 
 
 def word_buckets(lines: list[str], every: int = EVERY, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets by words of a batch of lines, and which line each is of. levels: of all slots, see run_levels()."""
+    return placed_word_buckets(lines, every, levels)[:2]
+
+
+def placed_word_buckets(lines: list[str], every: int = EVERY, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_buckets() and a SPOT for each, zeros where the bucket itself tells lengths and places apart."""
     hashes, first = word_hashes(lines)
     sizes, words = np.diff(first), as_chars((hashes >> np.uint64(1)).astype(np.int64), first)
     one, own = one_word_buckets(hashes, first, 2 * every)
@@ -203,10 +217,11 @@ def word_buckets(lines: list[str], every: int = EVERY, levels: np.ndarray | None
         key, owner = buckets([words[i] for i in own], edits, near, top)
         keys.append(mix(key + np.uint64(edits)))
         owners.append(own[owner])
-    key, owner = rare_runs(hashes, first, every, levels)
+    key, owner, spot = rare_runs(hashes, first, every, levels)
+    spots = np.concatenate([np.zeros((sum(map(len, keys)), len(SPOT)), np.int16), spot])
     keys.append(key)
     owners.append(owner)
-    return np.concatenate(keys), np.concatenate(owners)
+    return np.concatenate(keys), np.concatenate(owners), spots
 
 
 def _common(x: str, y: str, same) -> int:
@@ -353,7 +368,7 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> Dat
 
 
 def _file(file, part: int = 0, parts: int = 1):
-    """(bucket, id) of the buckets that fall to one of so many parts."""
+    """(bucket, id), and the SPOT if there is one, of the buckets that fall to one of so many parts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         filed: set[int] = set()
@@ -366,11 +381,11 @@ def _file(file, part: int = 0, parts: int = 1):
             filed |= new
             lines, h = b["line"].tolist(), b["h"].to_numpy()
             for at, end in chunks(lines):
-                keys, owner = file(lines[at:end])
+                keys, owner, *spot = file(lines[at:end])
                 if parts > 1:
                     own = keys % np.uint64(parts) == part
-                    keys, owner = keys[own], owner[own]
-                yield pd.DataFrame({"bucket": keys.view(np.int64), "id": h[at:end][owner]})
+                    keys, owner, spot = keys[own], owner[own], [x[own] for x in spot]
+                yield pd.DataFrame({"bucket": keys.view(np.int64), "id": h[at:end][owner]} | {c: x[:, i] for x in spot for i, c in enumerate(SPOT)})
 
     return run
 
@@ -479,8 +494,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     scratch = [lines]
     near = lines.where(F.length("line") >= near_chars).select("h", "line")
 
-    def filed(rows: DataFrame, file, parts: int) -> list[DataFrame]:
-        return [rows.mapInPandas(_file(file, part, parts), "bucket long, id long") for part in range(parts)]
+    def filed(rows: DataFrame, file, parts: int, spot: tuple[str, ...] = ()) -> list[DataFrame]:
+        return [rows.mapInPandas(_file(file, part, parts), ", ".join(["bucket long", "id long", *(f"{c} short" for c in spot)])) for part in range(parts)]
 
     def with_texts(pairs: DataFrame) -> DataFrame:
         pairs = cut(pairs, "line-pairs")
@@ -520,8 +535,9 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
         tidy(docs.sparkSession)
         worded = near.where(F.length("line") >= WORD_CHARS)
         levels = run_levels(worded, every)
-        members = filed(worded, lambda x: word_buckets(x, every, levels), WORD_PARTS)
-        by_words, _ = links.classes(members, lambda pairs: with_texts(pairs).mapInPandas(_verify_words(every), "a long, b long, d double"), 1 + 1e-9, "words", word_open_pairs)
+        members = filed(worded, lambda x: placed_word_buckets(x, every, levels), WORD_PARTS, SPOT)
+        reach = F.greatest(F.lit(1).cast("long"), F.floor(F.col("size") / every))
+        by_words, _ = links.classes(members, lambda pairs: with_texts(pairs).mapInPandas(_verify_words(every), "a long, b long, d double"), 1 + 1e-9, "words", word_open_pairs, reach)
         tidy(docs.sparkSession)
         labels = links.components(labels.union(by_words).select(F.col("id").alias("a"), F.col("label").alias("b")))
     labels = small(cut(labels, "line-labels"), FEW)

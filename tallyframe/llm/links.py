@@ -50,18 +50,40 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
 
 
-def shared_buckets(members: DataFrame, name: str) -> DataFrame:
-    """(bucket, id, n) of the buckets that have different items; n counts a bucket's rows."""
-    bucket = Window.partitionBy("bucket")
-    shared = members.select("*", F.count("*").over(bucket).alias("n"), F.min("id").over(bucket).alias("low"), F.max("id").over(bucket).alias("high"))
-    return cut(shared.where("low < high").select("bucket", "id", "n").distinct(), f"{name}-shared")  # items without a like end here
+def several(rows: DataFrame, *key: str) -> DataFrame:
+    """The rows whose key different items have, and how many rows have it: n."""
+    own = Window.partitionBy(*key)
+    rows = rows.select("*", F.count("*").over(own).alias("n"), F.min("id").over(own).alias("least"), F.max("id").over(own).alias("most"))
+    return rows.where("least < most").drop("least", "most")
+
+
+def parted(rows: DataFrame, key: list[str], start: str, end: str, reach: Column, to: str) -> DataFrame:
+    """Numbers the parts of each key's rows, by their ranges from start to end, between which more than reach is free. Ranges within reach of each other are in one part."""
+    order = Window.partitionBy(*key).orderBy(start)
+    free = F.col(start) - F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)) > reach
+    return rows.withColumn(to, F.coalesce(free, F.lit(False)).cast("int")).withColumn(to, F.sum(to).over(order))  # rows with an equal start count together
+
+
+def shared_buckets(members: DataFrame, name: str, reach: Column | None = None) -> DataFrame:
+    """(bucket, id, n) of the buckets that have different items; n counts a bucket's rows.
+
+    reach: members have size, low and high too, and items can only be close if their sizes, and their ranges from low to
+    high, are within the reach of the smaller one; it grows with the size. Buckets are then parted where more is free.
+    """
+    shared = several(members, "bucket")  # items without a like end here
+    if reach is not None:
+        shared = parted(shared.drop("n"), ["bucket"], "size", "size", reach, "by_size")
+        shared = shared.withColumn("reach", F.max(reach).over(Window.partitionBy("bucket", "by_size")))
+        shared = several(parted(shared, ["bucket", "by_size"], "low", "high", F.col("reach"), "by_place"), "bucket", "by_size", "by_place")
+        shared = shared.withColumn("bucket", F.xxhash64("bucket", "by_size", "by_place"))
+    return cut(shared.select("bucket", "id", "n").distinct(), f"{name}-shared")
 
 
-def stars(members: Sequence[DataFrame], name: str) -> DataFrame:
+def stars(members: Sequence[DataFrame], name: str, reach: Column | None = None) -> DataFrame:
     """(leader, id, pivot) for all comparisons of step 1; pivot is the item's own."""
     parts = []
     for m in members:
-        parts.append(shared_buckets(m, name))
+        parts.append(shared_buckets(m, name, reach))
         if len(members) > 1:
             tidy(m.sparkSession)  # nearly all rows end here, and the next part can have their place on disk
     shared = reduce(DataFrame.union, parts)
@@ -72,18 +94,21 @@ def stars(members: Sequence[DataFrame], name: str) -> DataFrame:
     led = cut(led.select("bucket", "id", F.col("lead.id").alias("leader")).join(pivot, "id"), f"{name}-led")
     mixed = led.groupBy("bucket").agg(F.min("pivot").alias("p"), F.max("pivot").alias("q")).where("p < q").select("bucket")
     own = led.select(F.col("pivot").alias("leader"), "id", "pivot")
-    return own.union(led.join(mixed, "bucket").select("leader", "id", "pivot")).where("leader <> id").distinct()
+    out = cut(own.union(led.join(mixed, "bucket").select("leader", "id", "pivot")).where("leader <> id").distinct(), f"{name}-stars")
+    release(*parts, led)
+    return out
 
 
-def classes(members: DataFrame | Sequence[DataFrame], distances: Distances, radius: float, name: str, open_pairs: OpenPairs | None = None) -> tuple[DataFrame, DataFrame]:
+def classes(members: DataFrame | Sequence[DataFrame], distances: Distances, radius: float, name: str, open_pairs: OpenPairs | None = None, reach: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(id, label) of items that are linked to another, and the links (a, b) that were found.
 
     members: (bucket, id), a row for each bucket of an item; also as parts that have no bucket in common, which are then
     shuffled one after the other, so that the disk need hold one of them only. distances: adds `d` to pairs (a, b) of items; where that is
     over 2 * radius, any lower bound that is over 2 * radius itself may stand for it. open_pairs: for step 2, takes
     (leader, id, pivot, d, label, outsider) of all leaders that have an outsider and gives the pairs (a, b) to compare.
+    reach: see shared_buckets.
     """
-    led = cut(stars([members] if isinstance(members, DataFrame) else members, name), f"{name}-stars")
+    led = stars([members] if isinstance(members, DataFrame) else members, name, reach)
     near = cut(distances(led.select(F.col("leader").alias("a"), F.col("id").alias("b"))).select(F.col("a").alias("leader"), F.col("b").alias("id"), "d"), f"{name}-near")
     if not isinstance(members, DataFrame):
         tidy(near.sparkSession)

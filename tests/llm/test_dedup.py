@@ -204,6 +204,34 @@ def test_rare_runs_keep_alike_lines_together_and_passages_apart():
     assert max(np.unique(keys, return_counts=True)[1]) <= 4  # what 400 lines share is no key
 
 
+def test_runs_at_far_places_bring_no_lines_together(spark):
+    rng = random.Random(21)
+    lines = []
+    for _ in range(60):  # each run stands in three lines, mostly at other places or in lines of another length
+        run = prose(rng, 4)
+        for _ in range(3):
+            w = prose(rng, rng.randrange(40, 140)).split()
+            at = rng.randrange(len(w))
+            lines.append(" ".join([*w[:at], run, *w[at:]]))
+    lines += [reworded(rng, lines[i], rng.randrange(1, 9)) for i in range(60)]
+    lines += ["a " * 60 + "b", "a " * 30 + "c " + "a " * 30, prose(rng, line_dedup.TOP - 5)]
+    lines.append(f"{prose(rng, 20)} {lines[-1]}")  # the run's places and the line's length are over TOP
+    batch = pd.DataFrame({"h": np.arange(len(lines)), "line": lines})
+    filed = pd.concat(line_dedup._file(line_dedup.placed_word_buckets)(iter([batch])))
+    members = spark.createDataFrame(filed, "bucket long, id long, size short, low short, high short")
+
+    def met(reach):
+        buckets = {}
+        for r in links.shared_buckets(members, "places", reach).collect():
+            buckets.setdefault(r["bucket"], []).append(r["id"])
+        return {(a, b) for ids in buckets.values() for a in ids for b in ids if a < b}
+
+    near, shared = met(F.greatest(F.lit(1).cast("long"), F.floor(F.col("size") / 10))), met(None)
+    alike = {(i, 180 + i) for i in range(60) if words_alike(lines[i], lines[180 + i])} | {(240, 241), (242, 243)}
+    assert len(alike) > 30 and alike <= near <= shared
+    assert len(near - alike) < 0.3 * len(shared - alike) and len(shared - alike) > 60
+
+
 def test_lines_with_edited_words_against_brute_force(spark):
     rng = random.Random(9)
     base = [prose(rng, n) for n in (10, 16, 25, 60, 100)]
