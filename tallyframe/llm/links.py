@@ -8,8 +8,8 @@ components of the pairs that are close enough. All pairs of a bucket need not be
    pivot, and where the members of a bucket have different pivots also with the bucket's leader: about as many pairs as
    rows. What is close enough is linked.
 2. A pair that is left open has been compared with one and the same leader, at least one of the two, the outsider, is not
-   close to it, and the two are in different classes. For these the operator names the pairs that can still be close,
-   from what has been measured. In general the triangle inequality says so: |d(leader, a) - d(leader, b)| must be within
+   close to it, and the two are in different classes. Only members of which two or more, the leader aside, are in one of its
+   buckets can make such a pair. For these the operator names the pairs that can still be close, from what has been measured. In general the triangle inequality says so: |d(leader, a) - d(leader, b)| must be within
    the radius. Weighted sets have a much sharper rule, see by_sets.
 
 So no link between two items that share a bucket is lost. Components come from large-star and small-star steps with a
@@ -27,26 +27,43 @@ from pyspark.sql import functions as F
 
 from .common import cut, release, small, tidy
 
+#: Edges of a graph that is small enough for one task: two numbers a row.
+FEW_EDGES = 20_000
+
 Distances = Callable[[DataFrame], DataFrame]
 OpenPairs = Callable[[DataFrame], DataFrame]
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, label) for every item of the edges (a, b): label is the least item of its component. Alternating large-star and small-star steps."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    """(id, label) for every item of the edges (a, b): label is the least item of its component. Alternating large-star and small-star steps.
+
+    At most FEW_EDGES edges, and what comes of them, which is no more, are one partition: no step exchanges any rows then.
+    """
+
+    def kept(pairs: DataFrame, name: str) -> DataFrame:
+        return cut(pairs.where("a <> b").distinct(), name)
+
+    def sums(pairs: DataFrame) -> tuple:
+        return tuple(pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first())
+
+    edges = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    told = sums(edges)
+    few = told[0] <= FEW_EDGES
+    whole = (lambda t: t.coalesce(1)) if few else (lambda t: t)
+    side = (lambda t: t.hint("merge")) if few else (lambda t: t)  # nor are they broadcast
     while True:
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = whole(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = cut(large.where("a <> b").distinct(), "large-star")
+        large = both.join(side(least), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = whole(kept(large, "large-star"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
+        joined = large.join(side(least), "a")
         star = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        star = cut(star.where("a <> b").distinct(), "small-star")
-        sums = [t.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first() for t in (edges, star)]
-        edges = star
-        if sums[0] == sums[1]:
+        edges = whole(kept(whole(star), "small-star"))
+        now = sums(edges)
+        if told == now:
             break
+        told = now
     return edges.select(F.col("a").alias("id"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())
 
 
@@ -80,7 +97,7 @@ def shared_buckets(members: DataFrame, name: str, reach: Column | None = None) -
 
 
 def stars(members: Sequence[DataFrame], name: str, reach: Column | None = None) -> DataFrame:
-    """(leader, id, pivot) for all comparisons of step 1; pivot is the item's own."""
+    """(leader, id, pivot, met) for all comparisons of step 1; pivot is the item's own. met: whether a bucket that the leader is to settle holds the item and a third one."""
     parts = []
     for m in members:
         parts.append(shared_buckets(m, name, reach))
@@ -88,13 +105,15 @@ def stars(members: Sequence[DataFrame], name: str, reach: Column | None = None)
             tidy(m.sparkSession)  # nearly all rows end here, and the next part can have their place on disk
     shared = reduce(DataFrame.union, parts)
     weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
-    lead = shared.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("w", "id")).alias("lead"))
+    lead = shared.join(weight, "id").groupBy("bucket").agg(F.max(F.struct("w", "id")).alias("lead"), F.count("*").alias("k"))
     led = shared.select("bucket", "id").join(lead, "bucket")
     pivot = led.groupBy("id").agg(F.max("lead")["id"].alias("pivot"))
-    led = cut(led.select("bucket", "id", F.col("lead.id").alias("leader")).join(pivot, "id"), f"{name}-led")
+    led = cut(led.select("bucket", "id", F.col("lead.id").alias("leader"), "k").join(pivot, "id"), f"{name}-led")
     mixed = led.groupBy("bucket").agg(F.min("pivot").alias("p"), F.max("pivot").alias("q")).where("p < q").select("bucket")
-    own = led.select(F.col("pivot").alias("leader"), "id", "pivot")
-    out = cut(own.union(led.join(mixed, "bucket").select("leader", "id", "pivot")).where("leader <> id").distinct(), f"{name}-stars")
+    # an item's pivot is in a bucket only as its leader, since it outweighs the leaders of the item's other buckets
+    own = led.select(F.col("pivot").alias("leader"), "id", "pivot", (F.col("k") - (F.col("leader") == F.col("pivot")).cast("int") > 1).alias("met"))
+    others = led.join(mixed, "bucket").select("leader", "id", "pivot", (F.col("k") > 2).alias("met"))
+    out = cut(own.union(others).where("leader <> id").groupBy("leader", "id", "pivot").agg(F.max("met").alias("met")), f"{name}-stars")
     release(*parts, led)
     return out
 
@@ -115,7 +134,7 @@ def classes(members: DataFrame | Sequence[DataFrame], distances: Distances, radi
     links = near.where(F.col("d") <= radius).select(F.col("leader").alias("a"), F.col("id").alias("b"))
     labels = cut(components(links), f"{name}-labels")
     known = small(labels)
-    told = near.join(led, ["leader", "id"]).join(known, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    told = near.join(led.where("met").drop("met"), ["leader", "id"]).join(known, "id", "left").withColumn("label", F.coalesce("label", "id"))
     told = told.join(known.select(F.col("id").alias("leader"), F.col("label").alias("leader_label")), "leader", "left")
     told = told.withColumn("outsider", (F.col("d") > radius) & (F.col("label") != F.coalesce("leader_label", "leader"))).drop("leader_label")
     told = cut(told.join(told.where("outsider").select("leader").distinct(), "leader"), f"{name}-told")
@@ -140,9 +159,27 @@ def by_triangle(told: DataFrame, radius: float) -> DataFrame:
     return x.join(y, "leader").where(F.expr(OPEN) & (F.abs(F.col("xd") - F.col("d")) <= radius)).select("a", "b")
 
 
+def comparable(known: DataFrame, most: Column) -> DataFrame:
+    """(leader, id) of the members that some other one of another class, an outsider or theirs, can be close to.
+
+    known: see by_sets, with elements of mass 1; most: the largest size, from `xn`, of one close to it. Of two that are close
+    the one's elements that the other hasn't got are within its slack, so their sizes, and what they have that the leader
+    lacks, are no further apart. The members are parted where more is free.
+    """
+    rows = known.select("leader", "id", F.col("n").alias("xn"), "lacks", "slack", "label", "outsider")
+    rows = parted(rows, ["leader"], "xn", "xn", most - F.col("xn"), "by_size")
+    part = Window.partitionBy("leader", "by_size")
+    rows = parted(rows.withColumn("slack", F.max("slack").over(part)), ["leader", "by_size"], "lacks", "lacks", F.col("slack"), "by_lacks")
+    part = Window.partitionBy("leader", "by_size", "by_lacks")
+    rows = rows.select("leader", "id", F.max("outsider").over(part).alias("any"), F.min("label").over(part).alias("least"), F.max("label").over(part).alias("last"))
+    return rows.where("any and least < last").select("leader", "id")
+
+
 def by_sets(told: DataFrame, sets: DataFrame, fit: Callable[[bool], Column], name: str, carry: tuple[str, ...] = (), sizes: tuple[Column, Column] | None = None) -> DataFrame:
     """Pairs of an outsider x and another member y of the same leader whose weighted sets can still be close.
 
+    With sizes, the members that no other one can be close to, by what is known before elements are looked at, end first.
+
     sets: (leader, id, o, cells, rest, lacks, slack) of all members told of, and what `carry` names: the mass of its
     elements that the leader has, the same by cells of a partition of the leader's set, those that the leader lacks, their
     mass, and how much mass may come before the first element, in any order, that it shares with one that is close. Each
@@ -162,6 +199,8 @@ def by_sets(told: DataFrame, sets: DataFrame, fit: Callable[[bool], Column], nam
     spark, key = told.sparkSession, ["leader", "id"]
     known = cut(sets.join(told.select("leader", "id", "pivot", "label", "outsider"), key), name)
     tidy(spark)  # the texts that the sets were made of
+    if sizes:
+        known = known.join(comparable(known, sizes[1]), key, "left_semi")
     # elements are by far the most rows here, so they are shuffled with nothing that joins back by item, and without a mass that is 1 for all
     if "mass" in known.columns:
         each, w = known.select(*key, F.explode(F.arrays_zip("rest", "mass")).alias("e")).select(*key, F.col("e.rest").alias("s"), F.col("e.mass").alias("w")), F.col("w")
